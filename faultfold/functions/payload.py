@@ -59,12 +59,10 @@ def with_payload_message(
     def text_of(e: Column) -> Column:
         return F.when(_type_of(e) == "STRING", F.try_variant_get(e["value"], "$", "string"))
 
-    found = F.coalesce(
-        *[
-            F.try_element_at(F.filter(entries, lambda e, k=k: e["key"] == k), F.lit(-1))
-            for k in MESSAGE_KEYS
-        ]
-    )
+    def under(key: str) -> Column:
+        return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))
+
+    found = F.coalesce(*[under(key) for key in MESSAGE_KEYS])
     message = (
         F.when(F.coalesce(F.col(text), F.lit("")) != "", F.col(text))
         .when(hit.isNotNull(), F.coalesce(text_of(hit), F.lit("")))

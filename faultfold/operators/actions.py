@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultfold.functions.prompts import with_prompts
+from faultfold.schemas import RUN, column_names
 
 
 def action_name() -> Column:
@@ -53,53 +54,38 @@ def run_actions(
     executors. A lost task runs its tickets again: delivery is at least once.
     """
     named = actions.withColumn("action_name", action_name()).drop("name")
+    details = [c for c in named.columns if c not in ("app", "pos")]
     steps = named.groupBy("app").agg(
-        F.sort_array(
-            F.collect_list(F.struct("pos", *[c for c in named.columns if c not in ("app", "pos")]))
-        ).alias("_steps")
+        F.sort_array(F.collect_list(F.struct("pos", *details))).alias("_steps")
     )
-    rows = tickets.join(steps, "app")
+    columns = column_names(RUN)
+
+    def sequence(row: dict) -> Iterator[tuple]:
+        ticket = {k: v for k, v in row.items() if k != "_steps"}
+        for action in row["_steps"]:
+            try:
+                output, error = fn(ticket, action), ""
+            except Exception as problem:
+                output, error = "", str(problem) or type(problem).__name__
+            yield (
+                *(ticket[c] for c in ("id", "app", "classification", "severity")),
+                attempt,
+                action["pos"],
+                action["action_name"],
+                error != "",
+                output,
+                error,
+                pd.Timestamp.now(tz="UTC"),
+            )
+            if error:
+                return
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(
-                [run for row in batch.to_dict("records") for run in _run_steps(row, fn, attempt)],
-                columns=RUN_COLUMNS,
-            )
+            rows = [done for row in batch.to_dict("records") for done in sequence(row)]
+            yield pd.DataFrame(rows, columns=columns)
 
-    return rows.mapInPandas(run, RUN_SCHEMA)
-
-
-RUN_SCHEMA = (
-    "ticket_id bigint, app string, classification string, severity string, attempt bigint, "
-    "pos int, action_name string, failed boolean, output string, err_msg string, ts timestamp"
-)
-RUN_COLUMNS = [field.split()[0] for field in RUN_SCHEMA.split(", ")]
-
-
-def _run_steps(row: dict, fn, attempt: int) -> Iterator[tuple]:
-    ticket = {k: v for k, v in row.items() if k != "_steps"}
-    for step in row["_steps"]:
-        action = step if isinstance(step, dict) else step.asDict()
-        try:
-            output, error = fn(ticket, action), ""
-        except Exception as problem:
-            output, error = "", str(problem) or type(problem).__name__
-        yield (
-            ticket["id"],
-            ticket["app"],
-            ticket["classification"],
-            ticket["severity"],
-            attempt,
-            action["pos"],
-            action["action_name"],
-            error != "",
-            output,
-            error,
-            pd.Timestamp.now(tz="UTC"),
-        )
-        if error:
-            return
+    return tickets.join(steps, "app").mapInPandas(run, RUN)
 
 
 def executed_runs(runs: DataFrame) -> DataFrame:

@@ -69,21 +69,23 @@ def classify_with_rule_table(
     lines = df.withColumn("_low", fold_case(text))
     words = rules.select(F.explode("keywords").alias("w"))
     if words.limit(inline_keywords + 1).count() <= inline_keywords:
-        matched = lines.withColumn("_rule", _scan_rules(rules, F.col("_low")))
+        ordered = rules.agg(
+            F.sort_array(F.collect_list(F.struct("rule_no", "keywords", *schemas.LABELS)))
+        )
+        matched = lines.withColumn("_rules", ordered.scalar()).withColumn(
+            "_rule", _first_hit(F.col("_rules"), F.col("_low"))
+        )
     else:
         hits = _match_by_prefix(lines.select(key, "_low"), rules, key)
         matched = lines.join(hits, key, "left")
     fallback = _labels(FALLBACK)
     for label in schemas.LABELS:
         matched = matched.withColumn(label, F.coalesce(F.col("_rule")[label], fallback[label]))
-    return matched.drop("_low", "_rule")
+    return matched.drop("_low", "_rules", "_rule")
 
 
-def _scan_rules(rules: DataFrame, low: Column) -> Column:
-    ordered = rules.agg(
-        F.sort_array(F.collect_list(F.struct("rule_no", "keywords", *schemas.LABELS)))
-    ).scalar()
-    hits = F.filter(ordered, lambda r: F.exists(r["keywords"], lambda k: low.contains(k)))
+def _first_hit(rules: Column, low: Column) -> Column:
+    hits = F.filter(rules, lambda r: F.exists(r["keywords"], lambda k: low.contains(k)))
     return F.try_element_at(hits, F.lit(1))
 
 
@@ -102,20 +104,17 @@ def _match_by_prefix(lines: DataFrame, rules: DataFrame, key: str) -> DataFrame:
         .withColumn("size", F.length("gram"))
     )
     sizes = [row["size"] for row in words.select("size").distinct().collect()]
-    grams = F.array_distinct(F.concat(*[_grams(F.col("_chars"), n) for n in sorted(sizes)]))
-    lines = lines.withColumn("_chars", F.split("_low", ""))
+    grams = F.array_distinct(F.concat(*[_grams(F.col("_low"), n) for n in sorted(sizes)]))
     exploded = lines.withColumn("gram", F.explode(grams))
     hits = exploded.join(words, "gram").filter(F.col("_low").contains(F.col("word")))
     return hits.groupBy(key).agg(F.min("rule").alias("_rule"))
 
 
-def _grams(chars: Column, size: int) -> Column:
-    """All runs of ``size`` characters, from an array of single characters."""
+def _grams(low: Column, size: int) -> Column:
+    """All runs of ``size`` characters, found by one pass of a look-ahead pattern."""
     if size == 0:
         return F.array(F.lit(""))
-    starts = F.sequence(F.lit(1), F.size(chars) - (size - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), ""))
-    return F.when(F.size(chars) >= size, runs).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def parse_replies(df: DataFrame, reply: str = "reply") -> tuple[DataFrame, DataFrame]:

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import threading
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from faultfold import schemas
-from faultfold.operators.tickets import KEY, fold_occurrences, merge_delta
+from faultfold.operators.tickets import fold_occurrences, merge_delta
 
 COLUMNS = schemas.column_names(schemas.TICKET)
+INDEX = (
+    "created_date string, day_version bigint, max_id bigint, max_id_before bigint, "
+    "writer string, batch bigint, done map<string,bigint>, version bigint"
+)
+
+
+@dataclass
+class Version:
+    """A state of the table: current version per day, and what has been folded in."""
+
+    number: int = 0
+    days: dict[str, int] = field(default_factory=dict)
+    max_id: int = 0
+    max_id_before: int = 0
+    done: dict[str, int] = field(default_factory=dict)
 
 
 def backfill_created_date(df: DataFrame) -> DataFrame:
@@ -34,10 +52,16 @@ def load_tickets(spark: SparkSession, path: str) -> DataFrame:
     return as_tickets(spark.read.parquet(path))
 
 
+def by_day(tickets: DataFrame) -> DataFrame:
+    """Gather days before a write by day: few files, while large days are split at run time."""
+    return tickets.hint("rebalance", "created_date")
+
+
 def save_tickets(tickets: DataFrame, path: str) -> None:
     """Write tickets by day, replacing the days they cover and no others."""
     (
-        tickets.write.mode("overwrite")
+        by_day(tickets)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("created_date")
         .parquet(path)
@@ -45,95 +69,99 @@ def save_tickets(tickets: DataFrame, path: str) -> None:
 
 
 class TicketTable:
-    """Tickets by day, where each batch writes new files for the days it touches.
+    """Tickets by day; each batch writes new files for the days it touches and no others.
 
-    ``days/batch=<id>/created_date=<day>`` holds the day as of that batch, and
-    ``index/batch=<id>`` says which batch's files are current for each day and the largest
-    ticket id. The index is written last, so a batch either counts whole or not at all, and
-    running a batch again changes nothing. Old days are neither read nor written.
+    ``days/version=<v>/created_date=<day>`` holds a day as of a version, ``index/version=<v>``
+    says which version is current for each day. The index is written last, so a batch counts
+    whole or not at all. It also records the last batch of every writer, so that a batch that
+    is run again changes nothing. Versions are handed out one at a time: let one driver own a
+    table.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._lock = threading.RLock()
 
-    def _index(self, batch_id: int | None = None) -> tuple[int, dict[str, int], int]:
-        """Last batch (or the last before ``batch_id``), its day to batch map, largest id.
+    def _index(self, writer: str | None = None, batch_id: int | None = None) -> Version:
+        """The newest version, or the one written for the given batch.
 
-        One row per day: the size is the number of days on record, not of tickets.
+        One row per day: its size is the number of days on record, not of tickets.
         """
         try:
-            index = self.spark.read.parquet(f"{self.path}/index")
+            index = self.spark.read.schema(INDEX).parquet(f"{self.path}/index")
         except AnalysisException:
-            return -1, {}, 0
-        if batch_id is not None:
-            index = index.filter(F.col("batch") < batch_id)
-        last = index.agg(F.max("batch")).first()[0]
-        if last is None:
-            return -1, {}, 0
-        rows = index.filter(F.col("batch") == last).collect()
-        return last, {r["created_date"]: r["day_batch"] for r in rows}, rows[0]["max_id"]
+            return Version()
+        if writer is not None:
+            index = index.filter((F.col("writer") == writer) & (F.col("batch") == batch_id))
+        newest = index.agg(F.max("version")).first()[0]
+        if newest is None:
+            return Version()
+        rows = index.filter(F.col("version") == newest).collect()
+        days = {r["created_date"]: r["day_version"] for r in rows}
+        head = rows[0]
+        return Version(newest, days, head["max_id"], head["max_id_before"], dict(head["done"]))
+
+    def done(self, writer: str, batch_id: int) -> bool:
+        return self._index().done.get(writer, -1) >= batch_id
 
     def read(self, days: list[str] | None = None) -> DataFrame:
         """Current tickets, of all days or of the given ones."""
-        _, current, _ = self._index()
-        return self._read(current if days is None else {d: current[d] for d in days if d in current})
+        return self._read(self._index(), days)
 
-    def _read(self, current: dict[str, int]) -> DataFrame:
-        schema = schemas.TICKET
-        if not current:
-            return self.spark.createDataFrame([], schema)
+    def _read(self, version: Version, days: list[str] | None = None) -> DataFrame:
+        chosen = {d: v for d, v in version.days.items() if days is None or d in days}
+        if not chosen:
+            return self.spark.createDataFrame([], schemas.TICKET)
         root = f"{self.path}/days"
-        paths = [f"{root}/batch={b}/created_date={d}" for d, b in sorted(current.items())]
-        reader = self.spark.read.option("basePath", root).schema(schema + ", batch bigint")
-        return reader.parquet(*paths).select(*COLUMNS)
-
-    def upsert(self, occ: DataFrame, batch_id: int) -> DataFrame | None:
-        """Fold a batch of classified occurrences in; the new tickets, or None if already done."""
-        last, _, _ = self._index()
-        if last >= batch_id:
-            return None
-        folded = f"{self.path}/folded/batch={batch_id}"
-        fold_occurrences(occ).write.mode("overwrite").parquet(folded)
-        delta = self.spark.read.parquet(folded)
-        days = [r[0] for r in delta.select("created_date").distinct().collect()]
-        _, current, max_id = self._index(batch_id)
-        before = self._read({d: current[d] for d in days if d in current})
-        self._commit(merge_delta(delta, before, F.lit(max_id)), batch_id)
-        return self.created_in(batch_id)
-
-    def replace(self, tickets: DataFrame, batch_id: int) -> None:
-        """Write changed tickets; they must be whole days as returned by ``read``."""
-        if self._index()[0] < batch_id:
-            self._commit(tickets, batch_id)
-
-    def created_in(self, batch_id: int) -> DataFrame:
-        """Tickets whose id was first given out by this batch."""
-        _, _, before = self._index(batch_id)
-        _, current, _ = self._index(batch_id + 1)
-        touched = {d: b for d, b in current.items() if b == batch_id}
-        return self._read(touched).filter(F.col("id") > before)
-
-    def _commit(self, tickets: DataFrame, batch_id: int) -> None:
-        (
-            tickets.write.mode("overwrite")
-            .partitionBy("created_date")
-            .parquet(f"{self.path}/days/batch={batch_id}")
-        )
-        written = self.spark.read.parquet(f"{self.path}/days/batch={batch_id}")
-        touched = written.groupBy(F.col("created_date").cast("string").alias("created_date")).agg(
-            F.max("id").alias("max_id")
-        )
-        _, current, max_id = self._index(batch_id)
-        for row in touched.collect():
-            current[row["created_date"]] = batch_id
-            max_id = max(max_id, row["max_id"])
-        entries = [(day, day_batch, max_id) for day, day_batch in current.items()]
-        (
-            self.spark.createDataFrame(
-                entries, "created_date string, day_batch bigint, max_id bigint"
+        paths = [f"{root}/version={v}/created_date={d}" for d, v in sorted(chosen.items())]
+        reader = self.spark.read.option("basePath", root)
+        return reader.schema(schemas.TICKET + ", version bigint").parquet(*paths).select(*COLUMNS)
+
+    def upsert(self, occ: DataFrame, batch_id: int, writer: str = "fold") -> None:
+        """Fold a batch of classified occurrences in. The occurrences are read once."""
+        with self._lock:
+            if self.done(writer, batch_id):
+                return
+            folded = f"{self.path}/folded/{writer}={batch_id}"
+            keyed = fold_occurrences(occ)
+            keyed.write.mode("overwrite").parquet(folded)
+            delta = self.spark.read.schema(keyed.schema).parquet(folded)
+            days = days_of(delta)
+            if not days:
+                return
+            version = self._index()
+            merged = merge_delta(delta, self._read(version, days), F.lit(version.max_id))
+            self.replace(merged, batch_id, writer)
+
+    def replace(self, tickets: DataFrame, batch_id: int, writer: str) -> None:
+        """Write the next version of whole days, as they were read and then changed."""
+        with self._lock:
+            if self.done(writer, batch_id):
+                return
+            old = self._index()
+            number = old.number + 1
+            target = f"{self.path}/days/version={number}"
+            by_day(tickets).write.mode("overwrite").partitionBy("created_date").parquet(target)
+            written = self.spark.read.schema(schemas.TICKET).parquet(target)
+            days, max_id = dict(old.days), old.max_id
+            for row in written.groupBy("created_date").agg(F.max("id").alias("id")).collect():
+                days[row["created_date"]] = number
+                max_id = max(max_id, row["id"])
+            done = {**old.done, writer: batch_id}
+            rows = [(d, v, max_id, old.max_id, writer, batch_id, done) for d, v in days.items()]
+            entries = self.spark.createDataFrame(rows, INDEX.removesuffix(", version bigint"))
+            entries.coalesce(1).write.mode("overwrite").parquet(
+                f"{self.path}/index/version={number}"
             )
-            .coalesce(1)
-            .write.mode("overwrite")
-            .parquet(f"{self.path}/index/batch={batch_id}")
-        )
+
+    def created_in(self, batch_id: int, writer: str = "fold") -> DataFrame:
+        """Tickets as the given batch created them."""
+        version = self._index(writer, batch_id)
+        touched = [d for d, v in version.days.items() if v == version.number]
+        return self._read(version, touched).filter(F.col("id") > version.max_id_before)
+
+
+def days_of(df: DataFrame) -> list[str]:
+    """Days present in a batch: a handful of strings, whatever the batch size."""
+    return [r[0] for r in df.select("created_date").distinct().collect()]

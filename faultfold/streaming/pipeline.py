@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultfold.operators.classify import classify_by_rules, occurrences_of
-from faultfold.operators.tickets import apply_publish_outcomes, status_from_events
+from faultfold.operators.tickets import (
+    apply_publish_outcomes,
+    apply_status,
+    status_from_events,
+)
+from faultfold.session import materialize
 from faultfold.sources.messages import message_ids, ticket_messages, write_ticket_messages
-from faultfold.sources.tickets import TicketTable
+from faultfold.sources.tickets import TicketTable, days_of
 
 # Fixed value: seconds between polls when none are given.
 DEFAULT_INTERVAL_S = 30
@@ -103,25 +108,20 @@ def fold_and_publish(
     send: Callable[[DataFrame], DataFrame] | None = None,
     **options,
 ) -> Callable[[DataFrame, int], None]:
-    """Batch step: fold, publish the new tickets, store message ids and failures.
-
-    Each micro-batch takes two table batches, the fold and the outcomes, so both can be
-    repeated independently.
-    """
+    """Batch step: fold, publish the new tickets, store message ids and failures."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        fold_batch(table, classify, **options)(batch, 2 * batch_id)
-        outcomes = publish_new(table, 2 * batch_id, path, send)
-        days = [
-            r[0] for r in table.created_in(2 * batch_id).select("created_date").distinct().collect()
-        ]
-        if days:
-            table.replace(apply_publish_outcomes(table.read(days), outcomes), 2 * batch_id + 1)
+        fold_batch(table, classify, **options)(batch, batch_id)
+        days = days_of(table.created_in(batch_id))
+        if not days or table.done("publish", batch_id):
+            return
+        outcomes = materialize(publish_new(table, batch_id, path, send), "outcomes")
+        table.replace(apply_publish_outcomes(table.read(days), outcomes), batch_id, "publish")
 
     return process
 
 
-def status_batch(table: TicketTable, offset: int = 0) -> Callable[[DataFrame, int], None]:
+def status_batch(table: TicketTable) -> Callable[[DataFrame, int], None]:
     """Batch step: apply worker events to the days of the tickets they name.
 
     Every state may follow every other: a failed ticket that is delivered again goes back to
@@ -129,36 +129,21 @@ def status_batch(table: TicketTable, offset: int = 0) -> Callable[[DataFrame, in
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        latest = status_from_events(batch).select(
-            F.col("ticket_id").alias("id"), F.col("status").alias("_status")
-        )
-        tickets = table.read()
-        named = tickets.join(latest, "id", "left_semi").select("created_date").distinct()
-        days = [r[0] for r in named.collect()]
-        if not days:
-            return
-        changed = (
-            table.read(days)
-            .join(latest, "id", "left")
-            .withColumn("status", F.coalesce("_status", "status"))
-            .drop("_status")
-        )
-        table.replace(changed.select(*tickets.columns), batch_id + offset)
+        latest = materialize(status_from_events(batch), "status")
+        ids = latest.select(F.col("ticket_id").alias("id"))
+        days = days_of(table.read().join(ids, "id", "left_semi"))
+        if days:
+            updates = latest.withColumn("seq", F.lit(0))
+            table.replace(apply_status(table.read(days), updates), batch_id, "status")
 
     return process
 
 
 def stream_status(
-    events: DataFrame,
-    table: TicketTable,
-    checkpoint: str,
-    available_now: bool = False,
-    offset: int = 0,
+    events: DataFrame, table: TicketTable, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
     """Ticket states from a stream of worker events."""
-    return start_ingest(
-        events, status_batch(table, offset), checkpoint, available_now=available_now
-    )
+    return start_ingest(events, status_batch(table), checkpoint, available_now=available_now)
 
 
 def poll_status(polls: DataFrame) -> DataFrame:
