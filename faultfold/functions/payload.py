@@ -17,33 +17,63 @@ MESSAGE_KEYS = ["message", "msg", "log", "error", "err"]
 
 
 def strict_entries(text: Column) -> Column:
-    """Entries of a JSON object in document order, duplicates kept; NULL if not one object."""
+    """Fields of a JSON object as ``struct<key, kind, value>`` in document order.
+
+    Duplicates are kept, ``kind`` is the type of the value. NULL if the text is not exactly
+    one object.
+    """
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
     parsed = F.from_json(wrapped, "array<map<string,variant>>", STRICT)
-    return F.when(F.size(parsed) == 1, F.map_entries(F.try_element_at(parsed, F.lit(1))))
-
+    entries = F.transform(
+        F.map_entries(F.try_element_at(parsed, F.lit(1))),
+        lambda e: F.struct(
+            e["key"].alias("key"),
+            F.schema_of_variant(e["value"]).alias("kind"),
+            e["value"].alias("value"),
+        ),
+    )
+    return F.when(F.size(parsed) == 1, entries)
+
+
+def without_nulls(entries: Column) -> Column:
+    """Fields with a value, keys in lower case: those that set something when decoded."""
+    return F.transform(
+        F.filter(entries, lambda e: e["kind"] != "VOID"),
+        lambda e: F.struct(
+            F.lower(F.replace(e["key"], F.lit("\u017f"), F.lit("s"))).alias("key"),
+            e["kind"].alias("kind"),
+            e["value"].alias("value"),
+        ),
+    )
 
-def _type_of(entry: Column) -> Column:
-    return F.schema_of_variant(entry["value"])
 
+def kinds_fit(fields: Column, kinds: dict[str, str]) -> Column:
+    """True if every known field has the expected type; other fields may be anything."""
 
-def fields_named(entries: Column, name: str) -> Column:
-    """Non-null entries whose key equals ``name`` in any case."""
+    def fits(e: Column) -> Column:
+        test = F.lit(True)
+        for kind in dict.fromkeys(kinds.values()):
+            names = [name for name, k in kinds.items() if k == kind]
+            test = F.when(e["key"].isin(*names), e["kind"] == kind).otherwise(test)
+        return test
 
-    def wanted(e: Column) -> Column:
-        key = F.lower(F.replace(e["key"], F.lit("\u017f"), F.lit("s")))
-        return (key == name) & (_type_of(e) != "VOID")
+    return F.forall(fields, fits)
 
-    return F.filter(entries, wanted)
 
+def last_value(fields: Column, name: str, kind: str) -> Column:
+    """Value of the last field of that name, NULL if there is none."""
+    last = F.try_element_at(F.filter(fields, lambda e: e["key"] == name), F.lit(-1))
+    return F.try_variant_get(last["value"], "$", kind)
 
-def all_of_type(fields: Column, kind: str) -> Column:
-    return F.forall(fields, lambda e: _type_of(e) == kind)
 
+def evaluated(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, whatever is filtered on them later.
 
-def last_value(fields: Column, kind: str) -> Column:
-    """Value of the last entry, NULL if there is none."""
-    return F.try_variant_get(F.try_element_at(fields, F.lit(-1))["value"], "$", kind)
+    A filter on a projected column is pushed below the projection together with a copy of its
+    expression, which would parse the text again for every use. A generator of a one-element
+    array is not looked through.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def with_payload_message(
@@ -56,16 +86,14 @@ def with_payload_message(
     entries = F.col("_entries")
     hit = F.col("_hit")
 
-    def text_of(e: Column) -> Column:
-        return F.when(_type_of(e) == "STRING", F.try_variant_get(e["value"], "$", "string"))
-
     def under(key: str) -> Column:
         return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))
 
     found = F.coalesce(*[under(key) for key in MESSAGE_KEYS])
+    text_of = F.when(hit["kind"] == "STRING", F.try_variant_get(hit["value"], "$", "string"))
     message = (
         F.when(F.coalesce(F.col(text), F.lit("")) != "", F.col(text))
-        .when(hit.isNotNull(), F.coalesce(text_of(hit), F.lit("")))
+        .when(hit.isNotNull(), F.coalesce(text_of, F.lit("")))
         .when(
             entries.isNotNull(),
             F.concat(
@@ -93,24 +121,19 @@ def reply_columns(df: DataFrame, text: str) -> DataFrame:
     # Reply fields and what stands in for an empty one.
     defaults = {"classification": "unknown_error", "severity": "medium", "component": "unknown"}
     names = [*defaults, "fingerprint"]
+    fields = F.col("_fields")
 
     found = df.withColumn("_object", F.regexp_extract(F.col(text), r"(?s)\{.*\}", 0))
-    found = found.withColumn("_entries", strict_entries(F.nullif("_object", F.lit(""))))
-    for name in names:
-        found = found.withColumn(f"_{name}", fields_named(F.col("_entries"), name))
-
-    typed = all_of_type(F.col(f"_{names[0]}"), "STRING")
-    for name in names[1:]:
-        typed = typed & all_of_type(F.col(f"_{name}"), "STRING")
+    found = found.withColumn(
+        "_fields", without_nulls(strict_entries(F.nullif("_object", F.lit(""))))
+    )
     reason = (
         F.when(F.coalesce(F.col("_object"), F.lit("")) == "", "no JSON object found")
-        .when(F.col("_entries").isNull(), "malformed JSON")
-        .when(~typed, "field is not a string")
+        .when(fields.isNull(), "malformed JSON")
+        .when(~kinds_fit(fields, dict.fromkeys(names, "STRING")), "field is not a string")
     )
-    parsed = found.withColumn("reject_reason", reason)
+    values = [F.nullif(last_value(fields, n, "string"), F.lit("")).alias(n) for n in names]
+    parsed = evaluated(found, reason.alias("reject_reason"), *values).drop("_object", "_fields")
     for name, default in defaults.items():
-        value = F.nullif(last_value(F.col(f"_{name}"), "string"), F.lit(""))
-        parsed = parsed.withColumn(name, F.coalesce(value, F.lit(default)))
-    wording = F.nullif(last_value(F.col("_fingerprint"), "string"), F.lit(""))
-    parsed = parsed.withColumn("fingerprint", F.coalesce(wording, F.col("classification")))
-    return parsed.drop("_object", "_entries", *[f"_{n}" for n in names])
+        parsed = parsed.withColumn(name, F.coalesce(name, F.lit(default)))
+    return parsed.withColumn("fingerprint", F.coalesce("fingerprint", "classification"))

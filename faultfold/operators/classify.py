@@ -94,8 +94,9 @@ def _match_by_prefix(lines: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 
     Every keyword is looked up by its first three characters (fewer if it is shorter) among
     the distinct character groups of the line, then checked in full. An equality join, so
-    both sides are partitioned and adaptive execution splits frequent groups. The only thing
-    collected is which of the four group sizes occur.
+    both sides are partitioned and adaptive execution splits frequent groups. The text itself
+    is not copied per group: it joins the few candidates by ``key``. The only thing collected
+    is which of the four group sizes occur.
     """
     rule = F.struct("rule_no", *schemas.LABELS)
     words = (
@@ -105,8 +106,9 @@ def _match_by_prefix(lines: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     )
     sizes = [row["size"] for row in words.select("size").distinct().collect()]
     grams = F.array_distinct(F.concat(*[_grams(F.col("_low"), n) for n in sorted(sizes)]))
-    exploded = lines.withColumn("gram", F.explode(grams))
-    hits = exploded.join(words, "gram").filter(F.col("_low").contains(F.col("word")))
+    exploded = lines.select(key, F.explode(grams).alias("gram"))
+    candidates = exploded.join(words.select("gram", "word", "rule"), "gram").drop("gram")
+    hits = candidates.join(lines, key).filter(F.col("_low").contains(F.col("word")))
     return hits.groupBy(key).agg(F.min("rule").alias("_rule"))
 
 

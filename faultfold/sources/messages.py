@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultfold.functions.payload import all_of_type, fields_named, last_value, strict_entries
+from faultfold.functions.payload import (
+    evaluated,
+    kinds_fit,
+    last_value,
+    strict_entries,
+    without_nulls,
+)
 from faultfold.operators.scan import running_rank
 
 # The times a message may carry, and the empty message.
@@ -99,33 +105,23 @@ def read_ticket_messages(df: DataFrame, body: str = "body") -> tuple[DataFrame,
 
 
 def _parse_messages(df: DataFrame, body: str) -> DataFrame:
-    entries = F.col("_entries")
-    names = ["ticket_id", *TEXT_FIELDS, "first_seen"]
-    empty = F.trim(F.regexp_replace(F.col(body), "[\\t\\n\\r]", " ")) == "null"
-    found = df.withColumn("_empty", empty).withColumn("_entries", strict_entries(F.col(body)))
-    for name in names:
-        found = found.withColumn(f"_{name}", fields_named(entries, name))
-
-    seen = F.transform(
-        F.col("_first_seen"), lambda e: F.try_variant_get(e["value"], "$", "string")
-    )
-    times_fit = F.forall(
-        seen, lambda s: F.regexp_like(s, F.lit(RFC3339)) & F.try_to_timestamp(s).isNotNull()
-    )
-    valid = all_of_type(F.col("_ticket_id"), "BIGINT") & times_fit
-    for name in [*TEXT_FIELDS, "first_seen"]:
-        valid = valid & all_of_type(F.col(f"_{name}"), "STRING")
-
-    parsed = found.withColumn("_valid", F.col("_empty") | (entries.isNotNull() & valid))
-    parsed = parsed.withColumn(
-        "ticket_id", F.coalesce(last_value(F.col("_ticket_id"), "bigint"), F.lit(0).cast("bigint"))
-    )
-    for name in TEXT_FIELDS:
-        parsed = parsed.withColumn(
-            name, F.coalesce(last_value(F.col(f"_{name}"), "string"), F.lit(""))
-        )
-    parsed = parsed.withColumn(
-        "first_seen", F.try_to_timestamp(last_value(F.col("_first_seen"), "string"))
-    )
-    parsed = parsed.withColumn("_valid", F.coalesce("_valid", F.lit(False)))
-    return parsed.drop("_entries", "_empty", *[f"_{n}" for n in names])
+    fields = F.col("_fields")
+    kinds = {"ticket_id": "BIGINT", **dict.fromkeys([*TEXT_FIELDS, "first_seen"], "STRING")}
+
+    def is_time(e: Column) -> Column:
+        value = F.try_variant_get(e["value"], "$", "string")
+        parsed = F.try_to_timestamp(value).isNotNull()
+        return (e["key"] != "first_seen") | (F.regexp_like(value, F.lit(RFC3339)) & parsed)
+
+    null_body = F.trim(F.regexp_replace(F.col(body), "[\\t\\n\\r]", " ")) == "null"
+    valid = fields.isNotNull() & kinds_fit(fields, kinds) & F.forall(fields, is_time)
+    read = df.withColumn("_fields", without_nulls(strict_entries(F.col(body))))
+    zero = F.lit(0).cast("bigint")
+    texts = [F.coalesce(last_value(fields, n, "string"), F.lit("")).alias(n) for n in TEXT_FIELDS]
+    return evaluated(
+        read,
+        F.coalesce(null_body | valid, F.lit(False)).alias("_valid"),
+        F.coalesce(last_value(fields, "ticket_id", "bigint"), zero).alias("ticket_id"),
+        *texts,
+        F.try_to_timestamp(last_value(fields, "first_seen", "string")).alias("first_seen"),
+    ).drop("_fields")
