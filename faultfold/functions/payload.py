@@ -16,34 +16,40 @@ STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 MESSAGE_KEYS = ["message", "msg", "log", "error", "err"]
 
 
-def strict_entries(text: Column) -> Column:
+def with_entries(df: DataFrame, text: Column, out: str) -> DataFrame:
     """Fields of a JSON object as ``struct<key, kind, value>`` in document order.
 
     Duplicates are kept, ``kind`` is the type of the value. NULL if the text is not exactly
     one object.
     """
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    parsed = F.from_json(wrapped, "array<map<string,variant>>", STRICT)
+    objects = F.from_json(wrapped, "array<map<string,variant>>", STRICT)
     entries = F.transform(
-        F.map_entries(F.try_element_at(parsed, F.lit(1))),
+        F.map_entries(F.try_element_at(F.col("_objects"), F.lit(1))),
         lambda e: F.struct(
             e["key"].alias("key"),
             F.schema_of_variant(e["value"]).alias("kind"),
             e["value"].alias("value"),
         ),
     )
-    return F.when(F.size(parsed) == 1, entries)
+    return (
+        df.withColumn("_objects", objects)
+        .withColumn(out, F.when(F.size("_objects") == 1, entries))
+        .drop("_objects")
+    )
 
 
 def without_nulls(entries: Column) -> Column:
-    """Fields with a value, keys in lower case: those that set something when decoded."""
-    return F.transform(
-        F.filter(entries, lambda e: e["kind"] != "VOID"),
-        lambda e: F.struct(
-            F.lower(F.replace(e["key"], F.lit("\u017f"), F.lit("s"))).alias("key"),
-            e["kind"].alias("kind"),
-            e["value"].alias("value"),
-        ),
+    """Fields with a value, keys in lower case, last first: those that decoding would set."""
+    return F.reverse(
+        F.transform(
+            F.filter(entries, lambda e: e["kind"] != "VOID"),
+            lambda e: F.struct(
+                F.lower(F.replace(e["key"], F.lit("\u017f"), F.lit("s"))).alias("key"),
+                e["kind"].alias("kind"),
+                e["value"].alias("value"),
+            ),
+        )
     )
 
 
@@ -61,9 +67,9 @@ def kinds_fit(fields: Column, kinds: dict[str, str]) -> Column:
 
 
 def last_value(fields: Column, name: str, kind: str) -> Column:
-    """Value of the last field of that name, NULL if there is none."""
-    last = F.try_element_at(F.filter(fields, lambda e: e["key"] == name), F.lit(-1))
-    return F.try_variant_get(last["value"], "$", kind)
+    """Value of the last field of that name, from ``without_nulls``; NULL if there is none."""
+    place = F.nullif(F.array_position(fields["key"], F.lit(name)), F.lit(0))
+    return F.try_variant_get(F.try_element_at(fields, place.cast("int"))["value"], "$", kind)
 
 
 def evaluated(df: DataFrame, *columns: Column) -> DataFrame:
@@ -109,7 +115,7 @@ def with_payload_message(
         .otherwise("[empty log entry]")
     )
     return (
-        df.withColumn("_entries", strict_entries(F.col(json)))
+        with_entries(df, F.col(json), "_entries")
         .withColumn("_hit", found)
         .withColumn(out, message)
         .drop("_entries", "_hit")
@@ -124,9 +130,8 @@ def reply_columns(df: DataFrame, text: str) -> DataFrame:
     fields = F.col("_fields")
 
     found = df.withColumn("_object", F.regexp_extract(F.col(text), r"(?s)\{.*\}", 0))
-    found = found.withColumn(
-        "_fields", without_nulls(strict_entries(F.nullif("_object", F.lit(""))))
-    )
+    found = with_entries(found, F.nullif("_object", F.lit("")), "_fields")
+    found = found.withColumn("_fields", without_nulls(fields))
     reason = (
         F.when(F.coalesce(F.col("_object"), F.lit("")) == "", "no JSON object found")
         .when(fields.isNull(), "malformed JSON")

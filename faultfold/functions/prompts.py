@@ -114,14 +114,14 @@ def response_columns(df: DataFrame, body: str, model: str, out: str = "response"
     )
 
 
-def prompt_values() -> Column:
+def ticket_fields() -> dict[str, Column]:
     """Template field name to text, for a ticket row."""
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
     first_seen = F.coalesce(F.col("first_seen").cast("string"), F.lit("0001-01-01 00:00:00"))
-    fields = {
+    return {
         "TicketID": text("id"),
         "AppName": text("app"),
         "Classification": text("classification"),
@@ -132,27 +132,37 @@ def prompt_values() -> Column:
         "RawLog": text("raw_log"),
         "FirstSeen": F.concat(first_seen, F.lit(" +0000 UTC")),
     }
-    pairs = [part for name, value in fields.items() for part in (F.lit(name), value)]
-    return F.create_map(*pairs)
 
 
-def fill_template(template: Column, values: Column) -> Column:
-    """Substitute placeholders in one pass: inserted text is never looked at again.
+def with_template_parts(actions: DataFrame) -> DataFrame:
+    """Cut each action's template, or the default one, at its placeholders.
 
-    NULL if the template names an unknown field.
+    Done once per action, before the actions meet the tickets. ``_places`` holds the position
+    of each placeholder's field, and is NULL if a field is unknown.
     """
-    literals = F.split(template, PLACEHOLDER, -1)
+    template = F.coalesce(
+        F.nullif(F.col("prompt_template"), F.lit("")), F.lit(DEFAULT_ACTION_PROMPT)
+    )
+    known = F.array(*[F.lit(name) for name in ticket_fields()])
     names = F.regexp_extract_all(template, F.lit(PLACEHOLDER_NAME), F.lit(1))
-    filled = F.transform(names, lambda n: F.try_element_at(values, n))
-    pieces = F.zip_with(
-        literals, filled, lambda text, value: F.concat(text, F.coalesce(value, F.lit("")))
+    places = F.transform(names, lambda n: F.array_position(known, n).cast("int"))
+    return actions.withColumn("_literals", F.split(template, PLACEHOLDER, -1)).withColumn(
+        "_places", F.when(~F.array_contains(places, 0), places)
     )
-    return F.when(F.forall(filled, lambda v: v.isNotNull()), F.array_join(pieces, ""))
 
 
 def with_prompts(plan: DataFrame) -> DataFrame:
-    """Add ``prompt`` to tickets joined with an action that has a ``prompt_template``."""
-    template = F.coalesce(
-        F.nullif(F.col("prompt_template"), F.lit("")), F.lit(DEFAULT_ACTION_PROMPT)
+    """Add ``prompt`` to tickets joined with prepared actions.
+
+    Everything is put together in one pass, so inserted text is never looked at again.
+    """
+    values = F.array(*ticket_fields().values(), F.lit(""))
+    places = F.concat("_places", F.array(F.lit(len(ticket_fields()) + 1)))
+    pieces = F.zip_with(
+        "_literals", places, lambda text, place: F.concat(text, F.element_at("_values", place))
+    )
+    return (
+        plan.withColumn("_values", values)
+        .withColumn("prompt", F.array_join(pieces, ""))
+        .drop("_values", "_literals", "_places")
     )
-    return plan.withColumn("prompt", fill_template(template, prompt_values()))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultfold.functions.prompts import with_prompts
+from faultfold.functions.prompts import with_prompts, with_template_parts
 from faultfold.schemas import RUN, column_names
 
 
@@ -36,7 +36,7 @@ def plan_actions(tickets: DataFrame, actions: DataFrame) -> DataFrame:
 
 def render_prompts(tickets: DataFrame, actions: DataFrame) -> DataFrame:
     """Prompt of each agent action of each ticket; NULL if its template has an unknown field."""
-    agents = actions.filter(F.col("type") == "cli_agent")
+    agents = with_template_parts(actions.filter(F.col("type") == "cli_agent"))
     return with_prompts(plan_actions(tickets, agents))
 
 

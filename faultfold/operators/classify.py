@@ -12,8 +12,9 @@ from faultfold.functions.payload import reply_columns
 from faultfold.functions.text import contains_any, dedupe_text, fold_case, with_fingerprint
 from faultfold.plans.rules import DEFAULT_RULES, FALLBACK, Rule, effective_keywords
 
-# Rule tables up to this many keywords travel inside the plan; larger ones are joined.
-INLINE_KEYWORDS = 2000
+# Rule tables up to this many keywords become part of the plan; larger ones are joined. The
+# compiled test of a keyword takes some 80 bytes, and methods beyond 64 KB are not compiled.
+INLINE_KEYWORDS = 500
 GRAM = 3
 
 
@@ -38,7 +39,7 @@ def rule_number(lowered: Column, rules: list[Rule]) -> Column:
 
 
 def classify_by_rules(
-    df: DataFrame, rules: list[Rule] | None = None, text: Column | None = None
+    df: DataFrame, text: Column | None = None, rules: list[Rule] | None = None
 ) -> DataFrame:
     """Add the four labels of the first matching rule. Map side only, no shuffle."""
     rules = DEFAULT_RULES if rules is None else rules
@@ -61,32 +62,22 @@ def classify_with_rule_table(
 ) -> DataFrame:
     """Same labels, with the rules in a table.
 
-    A table within the limit becomes one array value that every task scans in rule order. A
+    A table of at most ``inline_keywords`` keywords is fetched and compiled into the plan. A
     larger one is matched by the first characters of its keywords, see ``_match_by_prefix``.
     ``key`` identifies a line.
     """
     text = dedupe_text() if text is None else text
-    lines = df.withColumn("_low", fold_case(text))
     words = rules.select(F.explode("keywords").alias("w"))
     if words.limit(inline_keywords + 1).count() <= inline_keywords:
-        ordered = rules.agg(
-            F.sort_array(F.collect_list(F.struct("rule_no", "keywords", *schemas.LABELS)))
-        )
-        matched = lines.withColumn("_rules", ordered.scalar()).withColumn(
-            "_rule", _first_hit(F.col("_rules"), F.col("_low"))
-        )
-    else:
-        hits = _match_by_prefix(lines.select(key, "_low"), rules, key)
-        matched = lines.join(hits, key, "left")
+        listed = rules.filter(F.size("keywords") > 0).orderBy("rule_no").collect()
+        found = [Rule(r["keywords"], *[r[label] for label in schemas.LABELS]) for r in listed]
+        return classify_by_rules(df, text, found)
+    lines = df.withColumn("_low", fold_case(text))
+    matched = lines.join(_match_by_prefix(lines.select(key, "_low"), rules, key), key, "left")
     fallback = _labels(FALLBACK)
     for label in schemas.LABELS:
         matched = matched.withColumn(label, F.coalesce(F.col("_rule")[label], fallback[label]))
-    return matched.drop("_low", "_rules", "_rule")
-
-
-def _first_hit(rules: Column, low: Column) -> Column:
-    hits = F.filter(rules, lambda r: F.exists(r["keywords"], lambda k: low.contains(k)))
-    return F.try_element_at(hits, F.lit(1))
+    return matched.drop("_low", "_rule")
 
 
 def _match_by_prefix(lines: DataFrame, rules: DataFrame, key: str) -> DataFrame:

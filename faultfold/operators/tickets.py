@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold import schemas
+from faultfold.functions.text import dedupe_text
+from faultfold.operators.classify import classify_by_rules
 from faultfold.operators.scan import block_counts, carry_forward, rank_in_blocks, running_rank
 from faultfold.session import materialize
 
@@ -22,22 +26,33 @@ def _is_closed(status: Column) -> Column:
     return status.isin(*schemas.CLOSED_STATUSES)
 
 
-def fold_occurrences(occ: DataFrame) -> DataFrame:
+def fold_occurrences(
+    occ: DataFrame, classify: Callable[[DataFrame, Column], DataFrame] = classify_by_rules
+) -> DataFrame:
     """One row per ticket key: what the occurrences of a batch add to a ticket.
 
     Count, first and last are algebraic, so each task reduces its own rows before the
     shuffle and a hot key costs one row per task. Order is arrival order.
+
+    Only the first occurrence gives a ticket its labels. Occurrences without labels are
+    therefore folded first, and ``classify(df, text)`` sees one line per ticket instead of
+    every line. A classifier that may fail for a line has to run before the fold.
     """
-    first = F.struct(
-        F.coalesce("ts", "arrival_ts").alias("seen"), *[F.col(c) for c in schemas.LABELS]
-    )
+    labelled = "fingerprint" in occ.columns
+    carried = [F.col(c) for c in schemas.LABELS] if labelled else [dedupe_text().alias("line")]
+    first = F.struct(F.coalesce("ts", "arrival_ts").alias("seen"), *carried)
     last = F.struct(F.col("raw_line"), F.col("arrival_ts"))
-    return occ.groupBy(*KEY).agg(
+    folded = occ.groupBy(*KEY).agg(
         F.count("*").alias("n"),
         F.min("arrival_seq").alias("first_seq"),
         F.min_by(first, "arrival_seq").alias("first"),
         F.max_by(last, "arrival_seq").alias("last"),
     )
+    if labelled:
+        return folded
+    named = classify(folded, F.col("first.line"))
+    labels = F.struct(F.col("first.seen").alias("seen"), *[F.col(c) for c in schemas.LABELS])
+    return named.withColumn("first", labels).drop(*schemas.LABELS)
 
 
 def _new_rows(new: DataFrame, max_id: Column) -> DataFrame:
@@ -177,9 +192,9 @@ def skipped_counts(occ: DataFrame, tickets: DataFrame) -> DataFrame:
 
 
 def new_tickets(occ: DataFrame, tickets: DataFrame) -> DataFrame:
-    """First occurrence of every key that has no ticket yet; one row per key."""
-    first = F.struct("arrival_seq", "ts", "raw_line", *schemas.LABELS)
-    keys = occ.groupBy(*KEY).agg(F.min_by(first, "arrival_seq").alias("first"))
+    """First occurrence, as it is, of every key that has no ticket yet."""
+    rest = [c for c in occ.columns if c not in KEY]
+    keys = occ.groupBy(*KEY).agg(F.min_by(F.struct(*rest), "arrival_seq").alias("first"))
     return keys.join(tickets.select(*KEY), KEY, "left_anti").select(*KEY, "first.*")
 
 

@@ -716,14 +716,15 @@ def a1_upsert_empty(spark, sf_dir):
         SELECT app, {oracle.hashed('app', 'message')} AS fingerprint_hash,
           {oracle.day('ts')} AS created_date, count(*) AS occurrence_count,
           min(arrival_seq) AS first_seq, arg_max(raw_line, arrival_seq) AS raw_log,
-          date_trunc('second', arg_min(ts, arrival_seq)) AS first_seen
-        FROM v_doclogs GROUP BY 1, 2, 3""",
+          date_trunc('second', arg_min(ts, arrival_seq)) AS first_seen,
+          {oracle.label("classification", "arg_min(n, arrival_seq)")} AS classification
+        FROM (SELECT *, {oracle.rule_case("lower(replace(message, 'İ', 'i'))")} AS n
+          FROM v_doclogs) GROUP BY 1, 2, 3""",
     ),
 )
 def a1_upsert_documents(spark, sf_dir):
     """The same fold over whole documents."""
-    labelled = classify.classify_by_rules(given.doc_logs(spark, sf_dir))
-    folded = tickets.fold_occurrences(classify.occurrences_of(labelled))
+    folded = tickets.fold_occurrences(classify.occurrences_of(given.doc_logs(spark, sf_dir)))
     return folded.select(
         "app",
         "fingerprint_hash",
@@ -732,6 +733,7 @@ def a1_upsert_documents(spark, sf_dir):
         "first_seq",
         F.col("last.raw_line").alias("raw_log"),
         F.date_trunc("second", "first.seen").alias("first_seen"),
+        "first.classification",
     )
 
 
@@ -781,15 +783,14 @@ def j2_skipped_counts(spark, sf_dir):
         KNOWN,
         f"""
         SELECT fingerprint_hash, app, created_date, min(arrival_seq) AS arrival_seq,
-          arg_min(raw_line, arrival_seq) AS raw_line,
-          arg_min(classification, arrival_seq) AS classification
+          arg_min(raw_line, arrival_seq) AS raw_line
         FROM v_second_batch ANTI JOIN v_known USING ({oracle.KEY}) GROUP BY 1, 2, 3""",
     ),
 )
 def j3_new_tickets(spark, sf_dir):
     known, later = batches(spark, sf_dir)
     return tickets.new_tickets(later, known).select(
-        "fingerprint_hash", "app", "created_date", "arrival_seq", "raw_line", "classification"
+        "fingerprint_hash", "app", "created_date", "arrival_seq", "raw_line"
     )
 
 
@@ -1321,8 +1322,7 @@ def z2_dedupe_overlap(spark, sf_dir):
 def z2_upsert_overlapping(spark, sf_dir):
     """The uncorrected fold: every line is read by two polls and counts twice."""
     polled = logs.poll_batches(given.logs(spark, sf_dir), 3600)
-    labelled = classify.occurrences_of(classify.classify_by_rules(polled))
-    folded = tickets.fold_occurrences(labelled)
+    folded = tickets.fold_occurrences(classify.occurrences_of(polled))
     return folded.select(*tickets.KEY, F.col("n").alias("occurrence_count"))
 
 
@@ -1408,9 +1408,9 @@ def z7_poll_status(spark, sf_dir):
 def z8_day_basis(spark, sf_dir):
     """Late lines under the day they arrive, or under their own."""
     late = given.plus_seconds(F.col("ts"), F.lit(36 * 3600))
-    labelled = classify.classify_by_rules(given.logs(spark, sf_dir).withColumn("arrival_ts", late))
+    entries = given.logs(spark, sf_dir).withColumn("arrival_ts", late)
     counts = [
-        classify.occurrences_of(labelled, day_basis=basis)
+        classify.occurrences_of(entries, day_basis=basis)
         .groupBy(F.lit(basis).alias("basis"), F.col("created_date").alias("day"))
         .agg(F.count("*").alias("n"))
         for basis in ("arrival", "event")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultfold.functions.text import raw_line
-from faultfold.operators.classify import classify_by_rules, occurrences_of
+from faultfold.operators.classify import occurrences_of
 from faultfold.plans.rules import DEFAULT_RULES
 from faultfold.sources.messages import message_attributes, message_bodies, ticket_messages
 
@@ -373,8 +373,8 @@ def delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified log entries with their ticket key."""
-    return occurrences_of(classify_by_rules(logs(spark, sf_dir)))
+    """Log entries with their ticket key; labels follow once they are folded."""
+    return occurrences_of(logs(spark, sf_dir))
 
 
 def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:

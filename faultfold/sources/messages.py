@@ -9,7 +9,7 @@ from faultfold.functions.payload import (
     evaluated,
     kinds_fit,
     last_value,
-    strict_entries,
+    with_entries,
     without_nulls,
 )
 from faultfold.operators.scan import running_rank
@@ -115,7 +115,7 @@ def _parse_messages(df: DataFrame, body: str) -> DataFrame:
 
     null_body = F.trim(F.regexp_replace(F.col(body), "[\\t\\n\\r]", " ")) == "null"
     valid = fields.isNotNull() & kinds_fit(fields, kinds) & F.forall(fields, is_time)
-    read = df.withColumn("_fields", without_nulls(strict_entries(F.col(body))))
+    read = with_entries(df, F.col(body), "_fields").withColumn("_fields", without_nulls(fields))
     zero = F.lit(0).cast("bigint")
     texts = [F.coalesce(last_value(fields, n, "string"), F.lit("")).alias(n) for n in TEXT_FIELDS]
     return evaluated(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from faultfold.operators.classify import classify_by_rules, occurrences_of
+from faultfold.operators.classify import occurrences_of
 from faultfold.operators.tickets import (
     apply_publish_outcomes,
     apply_status,
@@ -48,18 +48,21 @@ def start_ingest(
 
 def fold_batch(
     table: TicketTable,
-    classify: Callable[[DataFrame], DataFrame] = classify_by_rules,
+    classify: Callable[[DataFrame], DataFrame] | None = None,
     hash_on: str = "dedupe_text",
     day_basis: str = "arrival",
 ) -> Callable[[DataFrame, int], None]:
     """Batch step: classify, fingerprint and fold entries into the ticket table.
 
+    Without ``classify``, the default rules label each ticket once it is folded.
+
     Days are days of arrival, so late entries join today's tickets and no watermark is
     needed. ``day_basis='event'`` files them under their own day instead.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(occurrences_of(classify(batch), hash_on, day_basis), batch_id)
+        entries = classify(batch) if classify else batch
+        table.upsert(occurrences_of(entries, hash_on, day_basis), batch_id)
 
     return process
 
@@ -104,7 +107,7 @@ def publish_new(
 def fold_and_publish(
     table: TicketTable,
     path: str,
-    classify: Callable[[DataFrame], DataFrame] = classify_by_rules,
+    classify: Callable[[DataFrame], DataFrame] | None = None,
     send: Callable[[DataFrame], DataFrame] | None = None,
     **options,
 ) -> Callable[[DataFrame, int], None]:
