@@ -72,14 +72,14 @@ def last_value(fields: Column, name: str, kind: str) -> Column:
     return F.try_variant_get(F.try_element_at(fields, place.cast("int"))["value"], "$", kind)
 
 
-def evaluated(df: DataFrame, *columns: Column) -> DataFrame:
-    """Add columns that are computed once per row, whatever is filtered on them later.
+def settled(df: DataFrame, flag: str) -> DataFrame:
+    """Let rows be filtered by ``flag`` without computing it again.
 
     A filter on a projected column is pushed below the projection together with a copy of its
-    expression, which would parse the text again for every use. A generator of a one-element
-    array is not looked through.
+    expression, which would parse the text once more for every use. It is not pushed through
+    the generator of a one-element array.
     """
-    return df.select("*", F.inline(F.array(F.struct(*columns))))
+    return df.withColumn(flag, F.explode(F.array(flag)))
 
 
 def with_payload_message(
@@ -138,7 +138,8 @@ def reply_columns(df: DataFrame, text: str) -> DataFrame:
         .when(~kinds_fit(fields, dict.fromkeys(names, "STRING")), "field is not a string")
     )
     values = [F.nullif(last_value(fields, n, "string"), F.lit("")).alias(n) for n in names]
-    parsed = evaluated(found, reason.alias("reject_reason"), *values).drop("_object", "_fields")
+    parsed = found.select("*", reason.alias("reject_reason"), *values)
+    parsed = settled(parsed.drop("_object", "_fields"), "reject_reason")
     for name, default in defaults.items():
         parsed = parsed.withColumn(name, F.coalesce(name, F.lit(default)))
     return parsed.withColumn("fingerprint", F.coalesce("fingerprint", "classification"))

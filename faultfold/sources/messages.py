@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.payload import (
-    evaluated,
     kinds_fit,
     last_value,
+    settled,
     with_entries,
     without_nulls,
 )
@@ -113,15 +113,16 @@ def _parse_messages(df: DataFrame, body: str) -> DataFrame:
         parsed = F.try_to_timestamp(value).isNotNull()
         return (e["key"] != "first_seen") | (F.regexp_like(value, F.lit(RFC3339)) & parsed)
 
-    null_body = F.trim(F.regexp_replace(F.col(body), "[\\t\\n\\r]", " ")) == "null"
+    null_body = F.regexp_like(F.col(body), F.lit(r"^\s*null\s*$"))
     valid = fields.isNotNull() & kinds_fit(fields, kinds) & F.forall(fields, is_time)
     read = with_entries(df, F.col(body), "_fields").withColumn("_fields", without_nulls(fields))
     zero = F.lit(0).cast("bigint")
     texts = [F.coalesce(last_value(fields, n, "string"), F.lit("")).alias(n) for n in TEXT_FIELDS]
-    return evaluated(
-        read,
+    parsed = read.select(
+        "*",
         F.coalesce(null_body | valid, F.lit(False)).alias("_valid"),
         F.coalesce(last_value(fields, "ticket_id", "bigint"), zero).alias("ticket_id"),
         *texts,
         F.try_to_timestamp(last_value(fields, "first_seen", "string")).alias("first_seen"),
-    ).drop("_fields")
+    )
+    return settled(parsed.drop("_fields"), "_valid")
