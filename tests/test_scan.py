@@ -1,0 +1,61 @@
+import random
+
+import pytest
+
+from faultfold.operators import scan
+
+
+@pytest.fixture(params=[(18, 22), (2, 2), (0, 1)])
+def small_blocks(request, monkeypatch):
+    """The default block sizes, and tiny ones that make every level matter."""
+    monkeypatch.setattr(scan, "BLOCK_BITS", request.param[0])
+    monkeypatch.setattr(scan, "SUPER_BITS", request.param[1])
+
+
+def random_rows(seed, n=400, top=2000):
+    """Rows of three keys where one holds most of them, with gaps in the sequence."""
+    rng = random.Random(seed)
+    seqs = rng.sample(range(top), n - 1) + [2**40]
+    return [
+        (rng.choice("aaaaaabc"), s, rng.choice([None, None, 1, 2, 3])) for s in seqs
+    ]
+
+
+def test_running_rank(spark, small_blocks):
+    rows = random_rows(1)
+    df = spark.createDataFrame(rows, "k string, s bigint, v int")
+    got = {(r.k, r.s): r.n for r in scan.running_rank(df, ["k"], "s", "n").collect()}
+    expected = {}
+    for key in "abc":
+        mine = sorted(s for k, s, _ in rows if k == key)
+        expected.update({(key, s): i for i, s in enumerate(mine, start=1)})
+    assert got == expected
+
+
+def test_running_rank_overall(spark, small_blocks):
+    rows = random_rows(2)
+    df = spark.createDataFrame(rows, "k string, s bigint, v int")
+    got = [r.n for r in scan.running_rank(df, [], "s", "n").orderBy("s").collect()]
+    assert got == list(range(1, len(rows) + 1))
+
+
+def test_carry_forward(spark, small_blocks):
+    rows = random_rows(3)
+    df = spark.createDataFrame(rows, "k string, s bigint, v int")
+    carried = scan.carry_forward(df, ["k"], "s", "v", "c")
+    got = {(r.k, r.s): r.c for r in carried.collect()}
+    expected = {}
+    for key in "abc":
+        last = None
+        for _, s, v in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            last = v if v is not None else last
+            expected[(key, s)] = last
+    assert got == expected
+
+
+def test_no_window_over_a_bare_key(spark):
+    """Rows meet in windows only by key and block, so a hot key is spread over many tasks."""
+    df = spark.range(100).selectExpr("'hot' k", "id s")
+    plan = scan.running_rank(df, ["k"], "s", "n")._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [row_number()" in line]
+    assert windows and all("_block#" in line for line in windows)
