@@ -15,17 +15,24 @@ from faultfold.functions.text import infer_severity, raw_line, split_severity, t
 def as_entries(df: DataFrame) -> DataFrame:
     """Log entry columns in order; arrival time and sequence are filled in if absent.
 
-    A generated sequence is unique and follows the input order inside each file split.
+    A stream gets its sequence per micro-batch, see ``with_sequence``.
     """
     if "dedupe_key" not in df.columns:
         df = df.withColumn("dedupe_key", F.lit(""))
     if "arrival_ts" not in df.columns:
         df = df.withColumn("arrival_ts", F.current_timestamp())
     if "arrival_seq" not in df.columns:
-        df = df.withColumn("arrival_seq", F.monotonically_increasing_id())
+        df = df.withColumn("arrival_seq", F.lit(None).cast("bigint"))
+        df = df if df.isStreaming else with_sequence(df)
     return df.select(*schemas.column_names(schemas.LOG_ENTRY))
 
 
+def with_sequence(df: DataFrame) -> DataFrame:
+    """Number rows that have no ``arrival_seq``: unique, in input order inside a file split."""
+    generated = F.monotonically_increasing_id()
+    return df.withColumn("arrival_seq", F.coalesce("arrival_seq", generated))
+
+
 def parse_text_lines(lines: DataFrame, app: str | Column, ts: Column, line: str = "value") -> DataFrame:
     """Entries from text lines: trimmed, without blank and ``#`` lines, severity split off."""
     app = F.lit(app) if isinstance(app, str) else app

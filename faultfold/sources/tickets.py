@@ -35,7 +35,7 @@ def backfill_created_date(df: DataFrame) -> DataFrame:
     day = F.date_format("first_seen", "yyyy-MM-dd")
     if "created_date" not in df.columns:
         return df.withColumn("created_date", day)
-    stored = F.nullif(F.col("created_date"), F.lit(""))
+    stored = F.nullif(F.col("created_date").cast("string"), F.lit(""))
     return df.withColumn("created_date", F.coalesce(stored, day))
 
 
@@ -150,10 +150,11 @@ class TicketTable:
                 max_id = max(max_id, row["id"])
             done = {**old.done, writer: batch_id}
             rows = [(d, v, max_id, old.max_id, writer, batch_id, done) for d, v in days.items()]
-            entries = self.spark.createDataFrame(rows, INDEX.removesuffix(", version bigint"))
-            entries.coalesce(1).write.mode("overwrite").parquet(
-                f"{self.path}/index/version={number}"
-            )
+            self._write_index(rows, number)
+
+    def _write_index(self, rows: list[tuple], number: int) -> None:
+        entries = self.spark.createDataFrame(rows, INDEX.removesuffix(", version bigint"))
+        entries.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index/version={number}")
 
     def created_in(self, batch_id: int, writer: str = "fold") -> DataFrame:
         """Tickets as the given batch created them."""

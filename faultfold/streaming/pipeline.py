@@ -19,6 +19,7 @@ from faultfold.operators.tickets import (
     status_from_events,
 )
 from faultfold.session import materialize
+from faultfold.sources.logs import with_sequence
 from faultfold.sources.messages import message_ids, ticket_messages, write_ticket_messages
 from faultfold.sources.tickets import TicketTable, days_of
 
@@ -61,7 +62,8 @@ def fold_batch(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        entries = classify(batch) if classify else batch
+        entries = with_sequence(batch)
+        entries = classify(entries) if classify else entries
         table.upsert(occurrences_of(entries, hash_on, day_basis), batch_id)
 
     return process
