@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.prompts import with_prompts, with_template_parts
@@ -91,18 +91,18 @@ def run_actions(
 def executed_runs(runs: DataFrame) -> DataFrame:
     """Runs up to and including the first failure of their ticket and attempt.
 
-    A group is one delivery of one ticket, so it is no larger than an app's action list.
+    The first failing position is a minimum, so it needs no ordering of the runs; only
+    deliveries with a failure take part in the join.
     """
-    failed = F.col("failed").cast("int")
-    earlier = (
-        Window.partitionBy("ticket_id", "attempt")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    failures = (
+        runs.filter("failed")
+        .groupBy("ticket_id", "attempt")
+        .agg(F.min("pos").alias("_failed_pos"))
     )
     return (
-        runs.withColumn("_earlier", F.coalesce(F.sum(failed).over(earlier), F.lit(0)))
-        .filter("_earlier = 0")
-        .drop("_earlier")
+        runs.join(failures, ["ticket_id", "attempt"], "left")
+        .filter("_failed_pos is null or pos <= _failed_pos")
+        .drop("_failed_pos")
     )
 
 

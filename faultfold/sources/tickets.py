@@ -14,21 +14,33 @@ from faultfold.operators.tickets import fold_occurrences, merge_delta
 
 COLUMNS = schemas.column_names(schemas.TICKET)
 INDEX = (
-    "created_date string, day_version bigint, max_id bigint, max_id_before bigint, "
-    "writer string, batch bigint, done map<string,bigint>, version bigint"
+    "created_date string, day_version bigint, first_id bigint, last_id bigint, "
+    "max_id_before bigint, writer string, batch bigint, done map<string,bigint>, version bigint"
 )
 
 
-@dataclass
+@dataclass(frozen=True)
+class Day:
+    """Where the current files of a day are, and the ids in them."""
+
+    version: int
+    first_id: int
+    last_id: int
+
+
+@dataclass(frozen=True)
 class Version:
-    """A state of the table: current version per day, and what has been folded in."""
+    """A state of the table: the days on record, and what has been folded in."""
 
     number: int = 0
-    days: dict[str, int] = field(default_factory=dict)
-    max_id: int = 0
+    days: dict[str, Day] = field(default_factory=dict)
     max_id_before: int = 0
     done: dict[str, int] = field(default_factory=dict)
 
+    @property
+    def max_id(self) -> int:
+        return max([day.last_id for day in self.days.values()], default=0)
+
 
 def backfill_created_date(df: DataFrame) -> DataFrame:
     """Fill a missing or empty ``created_date`` from the day of ``first_seen``."""
@@ -75,19 +87,26 @@ class TicketTable:
     says which version is current for each day. The index is written last, so a batch counts
     whole or not at all. It also records the last batch of every writer, so that a batch that
     is run again changes nothing. Versions are handed out one at a time: let one driver own a
-    table.
+    table. Readers elsewhere see each version as soon as its index is there.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
         self._lock = threading.RLock()
+        self._written: Version | None = None
+        self._by_writer: dict[str, tuple[int, Version]] = {}
 
     def _index(self, writer: str | None = None, batch_id: int | None = None) -> Version:
         """The newest version, or the one written for the given batch.
 
-        One row per day: its size is the number of days on record, not of tickets.
+        One row per day: its size is the number of days on record, not of tickets. A table
+        that writes remembers its newest version instead of listing the index again.
         """
+        if writer is None and self._written is not None:
+            return self._written
+        if writer in self._by_writer and self._by_writer[writer][0] == batch_id:
+            return self._by_writer[writer][1]
         try:
             index = self.spark.read.schema(INDEX).parquet(f"{self.path}/index")
         except AnalysisException:
@@ -98,9 +117,10 @@ class TicketTable:
         if newest is None:
             return Version()
         rows = index.filter(F.col("version") == newest).collect()
-        days = {r["created_date"]: r["day_version"] for r in rows}
-        head = rows[0]
-        return Version(newest, days, head["max_id"], head["max_id_before"], dict(head["done"]))
+        days = {
+            r["created_date"]: Day(r["day_version"], r["first_id"], r["last_id"]) for r in rows
+        }
+        return Version(newest, days, rows[0]["max_id_before"], dict(rows[0]["done"]))
 
     def done(self, writer: str, batch_id: int) -> bool:
         return self._index().done.get(writer, -1) >= batch_id
@@ -109,12 +129,17 @@ class TicketTable:
         """Current tickets, of all days or of the given ones."""
         return self._read(self._index(), days)
 
+    def days_with_ids(self, first: int, last: int) -> list[str]:
+        """Days that may hold ids in this range; ids grow with time, so usually few."""
+        days = self._index().days.items()
+        return [d for d, at in days if at.first_id <= last and at.last_id >= first]
+
     def _read(self, version: Version, days: list[str] | None = None) -> DataFrame:
-        chosen = {d: v for d, v in version.days.items() if days is None or d in days}
+        chosen = {d: at for d, at in version.days.items() if days is None or d in days}
         if not chosen:
             return self.spark.createDataFrame([], schemas.TICKET)
         root = f"{self.path}/days"
-        paths = [f"{root}/version={v}/created_date={d}" for d, v in sorted(chosen.items())]
+        paths = [f"{root}/version={at.version}/created_date={d}" for d, at in sorted(chosen.items())]
         reader = self.spark.read.option("basePath", root)
         return reader.schema(schemas.TICKET + ", version bigint").parquet(*paths).select(*COLUMNS)
 
@@ -144,22 +169,31 @@ class TicketTable:
             target = f"{self.path}/days/version={number}"
             by_day(tickets).write.mode("overwrite").partitionBy("created_date").parquet(target)
             written = self.spark.read.schema(schemas.TICKET).parquet(target)
-            days, max_id = dict(old.days), old.max_id
-            for row in written.groupBy("created_date").agg(F.max("id").alias("id")).collect():
-                days[row["created_date"]] = number
-                max_id = max(max_id, row["id"])
-            done = {**old.done, writer: batch_id}
-            rows = [(d, v, max_id, old.max_id, writer, batch_id, done) for d, v in days.items()]
-            self._write_index(rows, number)
-
-    def _write_index(self, rows: list[tuple], number: int) -> None:
+            ranges = written.groupBy("created_date").agg(
+                F.min("id").alias("first_id"), F.max("id").alias("last_id")
+            )
+            days = dict(old.days)
+            for row in ranges.collect():
+                days[row["created_date"]] = Day(number, row["first_id"], row["last_id"])
+            version = Version(number, days, old.max_id, {**old.done, writer: batch_id})
+            self._write_index(version, writer, batch_id)
+            self._written = version
+            self._by_writer[writer] = (batch_id, version)
+
+    def _write_index(self, version: Version, writer: str, batch_id: int) -> None:
+        rows = [
+            (d, at.version, at.first_id, at.last_id, version.max_id_before, writer, batch_id,
+             version.done)
+            for d, at in version.days.items()
+        ]
         entries = self.spark.createDataFrame(rows, INDEX.removesuffix(", version bigint"))
-        entries.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index/version={number}")
+        target = f"{self.path}/index/version={version.number}"
+        entries.coalesce(1).write.mode("overwrite").parquet(target)
 
     def created_in(self, batch_id: int, writer: str = "fold") -> DataFrame:
         """Tickets as the given batch created them."""
         version = self._index(writer, batch_id)
-        touched = [d for d, v in version.days.items() if v == version.number]
+        touched = [d for d, at in version.days.items() if at.version == version.number]
         return self._read(version, touched).filter(F.col("id") > version.max_id_before)
 
 

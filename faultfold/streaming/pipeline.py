@@ -135,8 +135,12 @@ def status_batch(table: TicketTable) -> Callable[[DataFrame, int], None]:
 
     def process(batch: DataFrame, batch_id: int) -> None:
         latest = materialize(status_from_events(batch), "status")
+        first, last = latest.agg(F.min("ticket_id"), F.max("ticket_id")).first()
+        if first is None:
+            return
+        near = table.read(table.days_with_ids(first, last))
         ids = latest.select(F.col("ticket_id").alias("id"))
-        days = days_of(table.read().join(ids, "id", "left_semi"))
+        days = days_of(near.join(ids, "id", "left_semi"))
         if days:
             updates = latest.withColumn("seq", F.lit(0))
             table.replace(apply_status(table.read(days), updates), batch_id, "status")

@@ -92,10 +92,17 @@ def test_repeated_batch_changes_nothing(spark, data, tmp_path):
     first = sorted(table.read().collect())
     table.upsert(occ, 0)
     assert sorted(table.read().collect()) == first
-    table.upsert(occ, 1)
-    assert sum(r.occurrence_count for r in table.read().collect()) == 2 * occ.count()
-    assert table.created_in(1).count() == 0
-    assert table.created_in(0).count() == len(first)
+    restarted = TicketTable(spark, str(tmp_path / "tickets"))
+    restarted.upsert(occ, 0)
+    assert sorted(restarted.read().collect()) == first
+    restarted.upsert(occ, 1)
+    assert sum(r.occurrence_count for r in restarted.read().collect()) == 2 * occ.count()
+    fresh = TicketTable(spark, str(tmp_path / "tickets"))
+    for reader in (restarted, fresh):
+        assert reader.created_in(1).count() == 0
+        assert reader.created_in(0).count() == len(first)
+    assert len(fresh.days_with_ids(1, 1)) == 1
+    assert fresh.days_with_ids(len(first) + 1, 2**60) == []
 
 
 def test_interrupted_batch_is_redone(spark, data, tmp_path, monkeypatch):
