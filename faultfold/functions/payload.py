@@ -7,6 +7,8 @@ reading values as variants keeps their types visible.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +18,27 @@ STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 MESSAGE_KEYS = ["message", "msg", "log", "error", "err"]
 
 
-def with_entries(df: DataFrame, text: Column, out: str) -> DataFrame:
+def with_entries(df: DataFrame, text: Column, out: str, decoded: bool = False) -> DataFrame:
     """Fields of a JSON object as ``struct<key, kind, value>`` in document order.
 
     Duplicates are kept, ``kind`` is the type of the value. NULL if the text is not exactly
-    one object.
+    one object. ``decoded`` is the form for looking up what decoding into a record would set:
+    keys in lower case, none for null values, last field first.
     """
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
     objects = F.from_json(wrapped, "array<map<string,variant>>", STRICT)
-    entries = F.transform(
-        F.map_entries(F.try_element_at(F.col("_objects"), F.lit(1))),
-        lambda e: F.struct(
-            e["key"].alias("key"),
-            F.schema_of_variant(e["value"]).alias("kind"),
-            e["value"].alias("value"),
-        ),
-    )
+
+    def field(e: Column) -> Column:
+        kind = F.schema_of_variant(e["value"])
+        key = e["key"]
+        if decoded:
+            folded = F.lower(F.replace(key, F.lit("\u017f"), F.lit("s")))
+            key = F.when(kind != "VOID", folded)
+        return F.struct(key.alias("key"), kind.alias("kind"), e["value"].alias("value"))
+
+    entries = F.transform(F.map_entries(F.try_element_at(F.col("_objects"), F.lit(1))), field)
+    if decoded:
+        entries = F.reverse(entries)
     return (
         df.withColumn("_objects", objects)
         .withColumn(out, F.when(F.size("_objects") == 1, entries))
@@ -39,35 +46,25 @@ def with_entries(df: DataFrame, text: Column, out: str) -> DataFrame:
     )
 
 
-def without_nulls(entries: Column) -> Column:
-    """Fields with a value, keys in lower case, last first: those that decoding would set."""
-    return F.reverse(
-        F.transform(
-            F.filter(entries, lambda e: e["kind"] != "VOID"),
-            lambda e: F.struct(
-                F.lower(F.replace(e["key"], F.lit("\u017f"), F.lit("s"))).alias("key"),
-                e["kind"].alias("kind"),
-                e["value"].alias("value"),
-            ),
-        )
-    )
-
+def kinds_fit(fields: Column, kinds: dict[str, str], also: Callable | None = None) -> Column:
+    """True if every known field has the expected type and passes ``also``.
 
-def kinds_fit(fields: Column, kinds: dict[str, str]) -> Column:
-    """True if every known field has the expected type; other fields may be anything."""
+    Other fields may be anything.
+    """
 
     def fits(e: Column) -> Column:
         test = F.lit(True)
         for kind in dict.fromkeys(kinds.values()):
             names = [name for name, k in kinds.items() if k == kind]
-            test = F.when(e["key"].isin(*names), e["kind"] == kind).otherwise(test)
+            right = e["kind"] == kind if also is None else (e["kind"] == kind) & also(e)
+            test = F.when(e["key"].isin(*names), right).otherwise(test)
         return test
 
     return F.forall(fields, fits)
 
 
 def last_value(fields: Column, name: str, kind: str) -> Column:
-    """Value of the last field of that name, from ``without_nulls``; NULL if there is none."""
+    """Value of the last field of that name, from decoded entries; NULL if there is none."""
     place = F.nullif(F.array_position(fields["key"], F.lit(name)), F.lit(0))
     return F.try_variant_get(F.try_element_at(fields, place.cast("int"))["value"], "$", kind)
 
@@ -130,8 +127,7 @@ def reply_columns(df: DataFrame, text: str) -> DataFrame:
     fields = F.col("_fields")
 
     found = df.withColumn("_object", F.regexp_extract(F.col(text), r"(?s)\{.*\}", 0))
-    found = with_entries(found, F.nullif("_object", F.lit("")), "_fields")
-    found = found.withColumn("_fields", without_nulls(fields))
+    found = with_entries(found, F.nullif("_object", F.lit("")), "_fields", decoded=True)
     reason = (
         F.when(F.coalesce(F.col("_object"), F.lit("")) == "", "no JSON object found")
         .when(fields.isNull(), "malformed JSON")

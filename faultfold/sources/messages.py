@@ -10,7 +10,6 @@ from faultfold.functions.payload import (
     last_value,
     settled,
     with_entries,
-    without_nulls,
 )
 from faultfold.operators.scan import running_rank
 
@@ -114,8 +113,8 @@ def _parse_messages(df: DataFrame, body: str) -> DataFrame:
         return (e["key"] != "first_seen") | (F.regexp_like(value, F.lit(RFC3339)) & parsed)
 
     null_body = F.regexp_like(F.col(body), F.lit(r"^\s*null\s*$"))
-    valid = fields.isNotNull() & kinds_fit(fields, kinds) & F.forall(fields, is_time)
-    read = with_entries(df, F.col(body), "_fields").withColumn("_fields", without_nulls(fields))
+    valid = fields.isNotNull() & kinds_fit(fields, kinds, is_time)
+    read = with_entries(df, F.col(body), "_fields", decoded=True)
     zero = F.lit(0).cast("bigint")
     texts = [F.coalesce(last_value(fields, n, "string"), F.lit("")).alias(n) for n in TEXT_FIELDS]
     parsed = read.select(
