@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultfold import schemas
@@ -16,6 +16,9 @@ from faultfold.session import materialize
 KEY = schemas.TICKET_KEY
 COLUMNS = schemas.column_names(schemas.TICKET)
 
+# Batches with at most this many ticket keys are numbered directly.
+DIRECT_ROWS = 100_000
+
 
 def _seconds(ts: Column) -> Column:
     """Stored times have whole seconds."""
@@ -55,10 +58,10 @@ def fold_occurrences(
     return named.withColumn("first", labels).drop(*schemas.LABELS)
 
 
-def _new_rows(new: DataFrame, max_id: Column) -> DataFrame:
+def _new_rows(new: DataFrame, max_id: Column, rows: int) -> DataFrame:
     """Ticket rows of keys seen for the first time, with ids in order of first arrival."""
     seen = _seconds(F.col("first.seen"))
-    return assign_ids(new, max_id, "first_seq").select(
+    return assign_ids(new, max_id, "first_seq", rows).select(
         "id",
         "app",
         "fingerprint_hash",
@@ -96,9 +99,17 @@ def largest_id(tickets: DataFrame) -> Column:
     return tickets.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
 
 
-def assign_ids(new: DataFrame, max_id: Column, order: str) -> DataFrame:
-    """Ids without gaps in the given order, continuing after ``max_id``."""
-    ranked = running_rank(new, [], order, "_rank")
+def assign_ids(new: DataFrame, max_id: Column, order: str, rows: int | None = None) -> DataFrame:
+    """Ids without gaps in the given order, continuing after ``max_id``.
+
+    ``rows`` is an upper bound of the number of rows, if known. A small batch is numbered by
+    one task that sees nothing but the order column; any other goes through the block scan.
+    """
+    if rows is not None and rows <= DIRECT_ROWS:
+        position = F.row_number().over(Window.orderBy(order)).cast("bigint")
+        ranked = new.join(new.select(order, position.alias("_rank")), order)
+    else:
+        ranked = running_rank(new, [], order, "_rank")
     return ranked.withColumn("id", F.col("_rank") + max_id).drop("_rank")
 
 
@@ -118,13 +129,14 @@ def upsert_tickets(
 def merge_delta(
     delta: DataFrame, tickets: DataFrame | None = None, max_id: Column | None = None
 ) -> DataFrame:
-    """``upsert_tickets`` from an already folded batch."""
+    """``upsert_tickets`` from an already folded and stored batch."""
+    rows = delta.count()
     if tickets is None:
-        return _new_rows(delta, F.lit(0) if max_id is None else max_id)
+        return _new_rows(delta, F.lit(0) if max_id is None else max_id, rows)
     if max_id is None:
         max_id = largest_id(tickets)
     new = delta.join(tickets.select(*KEY), KEY, "left_anti")
-    return _repeated_rows(tickets, delta).unionByName(_new_rows(new, max_id))
+    return _repeated_rows(tickets, delta).unionByName(_new_rows(new, max_id, rows))
 
 
 def upsert_with_status(

@@ -91,10 +91,12 @@ def known_table(seed):
     return table
 
 
-@pytest.fixture(params=[18, 3])
+@pytest.fixture(params=[(18, 100_000), (18, 0), (3, 0)])
 def blocks(request, monkeypatch):
-    monkeypatch.setattr(scan, "BLOCK_BITS", request.param)
+    """Direct numbering of small batches, and the block scan with large and tiny blocks."""
+    monkeypatch.setattr(scan, "BLOCK_BITS", request.param[0])
     monkeypatch.setattr(scan, "SUPER_BITS", 4)
+    monkeypatch.setattr(tickets, "DIRECT_ROWS", request.param[1])
 
 
 def test_upsert_on_empty_table(spark, blocks):
