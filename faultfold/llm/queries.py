@@ -3,17 +3,77 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from faultfold.llm import bpe, chat, packing, quality_classifier, quality_rules
 from faultfold.llm.common import table
 from faultfold.llm.near_dedup import near_duplicates
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    base = quality_rules.failed(quality_rules.BASE)
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        base.alias("base_failed"),
+        (~base & ~quality_rules.failed(quality_rules.CURRENT)).alias("kept"),
+        "failure_bits",
+    )
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), decoded=True)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(documents, table(spark, sf_dir, "labels"))
+    return quality_classifier.score_documents(documents, model)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
+    return chat.digests(chat.format_conversations(rows))
+
+
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
+    "op5_bpe": op5_bpe,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_packing": op8_packing,
+    "op9_chat_format": op9_chat_format,
 }
 
 ORACLE: dict[str, str] = {}
