@@ -2,9 +2,7 @@
 
 Encoding a piece of text keeps its symbols in a doubly linked list and the possible merges in a priority
 queue ordered by rank and then place. A popped merge whose two symbols have changed meanwhile is stale
-and skipped. Texts are cut where a space follows something that is no white space: no piece of the
-vocabulary's pattern crosses such a place, so what lies between can be encoded on its own. Each worker
-remembers recent units in two generations of bounded size.
+and skipped. Each worker remembers the ids of recent pieces in two generations of bounded size.
 
 Decoding concatenates the vocabulary strings of the ids and reads their characters as bytes; bytes that
 are no UTF-8 become replacement characters. Null text counts as empty and has no ids. Special tokens in
@@ -14,6 +12,7 @@ a text are encoded as themselves. A null id, or ids no vocabulary has, cannot be
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -26,15 +25,34 @@ from faultfold.llm.common import bounded_batches
 
 #: Entries of one generation of the memory.
 MEMORY = 250_000
-#: Longest unit that is remembered, in characters.
-LONG = 64
-#: Marks that always make pieces of their own behind a letter.
-MARKS = ".,!?;:#$%&*|"
+#: Longest piece that is remembered, in characters.
+LONG = 48
 
 #: Fixed value: the published pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: The same for texts whose characters all lie below 256, as classes that the faster standard module knows.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
+_below_256 = re.compile(
+    PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{_S}{_L}{_N}]")
+    .replace(r"\p{L}", f"[{_L}]")
+    .replace(r"\p{N}", f"[{_N}]")
+    .replace(r"\s", f"[{_S}]")
+    .replace(r"\S", f"[^{_S}]")
+).findall
+_any = regex.compile(PATTERN).findall
+
+
+def pieces(text: str) -> list[str]:
+    """The stretches of a text that are merged on their own."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _any(text)
+    return _below_256(text)
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -84,9 +102,6 @@ class ByteBpe:
         value = {c: b for b, c in enumerate(characters)}
         self.strings = {i: bytes(value[c] for c in token) for token, i in vocabulary.items()}
         self.strings |= {i: token.encode() for token, i in self.special.items()}
-        self.pieces = regex.compile(PATTERN).findall
-        self.odd_space = regex.compile(r"\s |\s\Z| (?=\s|\Z)").search
-        self.units = regex.compile(r"(?<=\S)(?= )").split
         self.memory = Memory(MEMORY)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
@@ -124,46 +139,17 @@ class ByteBpe:
                 heappush(queue, (found[0], back, found[1]))
         return tuple([s for s in symbols if s >= 0])
 
-    def split(self, text: str) -> list[str]:
-        """The pieces of a unit. A word of letters, and one with ASCII marks behind it, need no pattern."""
-        word = text.rstrip(MARKS)
-        if (word[1:] if word[:1] == " " else word).isalpha():
-            return [word, text[len(word) :]] if len(word) < len(text) else [text]
-        return self.pieces(text)
-
-    def unit(self, text: str) -> tuple[int, ...]:
-        """The ids of a stretch whose ends no piece crosses."""
-        memory = self.memory
-        ids = memory.get(text)
-        if ids is not None:
-            return ids
-        pieces = self.split(text)
-        if len(pieces) == 1:
-            ids = self.merge(text.encode())
-        else:
-            parts = []
-            for piece in pieces:
-                part = memory.get(piece)
-                if part is None:
-                    part = self.merge(piece.encode())
-                    if len(piece) <= LONG:
-                        memory.put(piece, part)
-                parts.extend(part)
-            ids = tuple(parts)
-        if len(text) <= LONG:
-            memory.put(text, ids)
-        return ids
-
     def _plain(self, text: str, out: list[int]) -> None:
-        if self.odd_space(text):
-            units = self.units(text)
-        else:
-            first, *rest = text.split(" ")
-            units = [first, *[" " + r for r in rest]]
-        memory, unit = self.memory.new, self.unit
-        for u in units:
-            out.extend(memory.get(u) or unit(u))
-            memory = self.memory.new
+        memory = self.memory
+        new, old = memory.new, memory.old
+        for piece in pieces(text):
+            ids = new.get(piece)
+            if ids is None:
+                ids = old.get(piece) or self.merge(piece.encode())
+                if len(piece) <= LONG:
+                    memory.put(piece, ids)
+                    new, old = memory.new, memory.old
+            out.extend(ids)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []

@@ -19,17 +19,17 @@ are packed one by one: repeated rows and null ids too.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultfold.llm.bpe import Memory
+from faultfold.llm.bpe import Memory, byte_characters
 from faultfold.llm.common import bounded_batches, written
 
 LENGTH, END = 4096, 2
@@ -37,8 +37,16 @@ LENGTH, END = 4096, 2
 MEMORY, LONG = 250_000, 48
 
 
+#: The file's pattern for texts in lower case whose characters all lie below 256, where composing changes
+#: nothing and lower case is a matter of single characters. Other texts go to the library whole.
+_below_256 = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
+
+
 class WordTokenizer:
-    """A tokenizer file that drops white space: words are encoded on their own, and recent ones remembered."""
+    """The tokenizers library on a file that drops white space, with recent pieces remembered.
+
+    Pieces are what the file's pattern cuts out; the library's model encodes each on its own.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,34 +54,36 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
+        self.characters = str.maketrans({bytes([b]).decode("latin-1"): c for b, c in enumerate(byte_characters())})
         self.memory = Memory(MEMORY)
-        self.odd_space = regex.compile(r"[^\S \n]").search
 
     def encode(self, text: str) -> list[int]:
-        if self.odd_space(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        words = text.replace("\n", " ").split(" ")
-        memory = self.memory
-        missing = [w for w in dict.fromkeys(words) if w and memory.get(w) is None]
-        fresh = self._fresh(missing) if missing else {}
-        out: list[int] = []
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._whole(text)
+        if "<|" in text and self.special.search(text):
+            return self._whole(text)
+        memory, out = self.memory, []
         new, old = memory.new, memory.old
-        for w in words:
-            if w:
-                out.extend(new.get(w) or old.get(w) or fresh.get(w, ()))
-        for w, ids in fresh.items():
-            if len(w) <= LONG:
-                memory.put(w, ids)
+        for piece in _below_256(text.lower()):
+            ids = new.get(piece)
+            if ids is None:
+                ids = old.get(piece) or self._piece(piece)
+                if len(piece) <= LONG:
+                    memory.put(piece, ids)
+                    new, old = memory.new, memory.old
+            out.extend(ids)
         return out
 
-    def _fresh(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of words, encoded as one text and cut where the tokens' places say."""
-        encoding = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = encoding.ids
-        places = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(ids))
-        begins = np.cumsum([0] + [len(w) + 1 for w in words])
-        cut = np.searchsorted(places, begins).tolist()
-        return {w: tuple(ids[a:b]) for w, a, b in zip(words, cut[:-1], cut[1:])}
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        spelled = piece.encode().decode("latin-1").translate(self.characters)
+        return tuple([token.id for token in self.model.tokenize(spelled)])
 
 
 @lru_cache(maxsize=2)
