@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultfold.llm import bpe, chat, packing, quality_classifier, quality_rules
+from faultfold.llm import bpe, chat, html_wrapper, packing, quality_classifier, quality_rules, topk
 from faultfold.llm.common import table
 from faultfold.llm.near_dedup import near_duplicates
 
@@ -48,6 +48,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(documents, table(spark, sf_dir, "labels"))
@@ -67,13 +71,19 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
+    "op6_top_k": op6_top_k,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE: dict[str, str] = {}
