@@ -7,8 +7,9 @@ with fewer words has one shingle, a text without words none. Two documents are l
 1. Sketch: the set's fingerprint, a signature of ``HASHES`` minima and a hash of each band of ``BAND`` minima.
 2. Documents with equal sets collapse to the smallest id among them.
 3. Candidates share a band bucket. A bucket never emits all its pairs: each member meets the bucket's
-   pivot. Buckets that still hold several components get one more pivot, and what is then still apart
-   is compared across components in blocks of ``BLOCK`` rows inside tasks.
+   smallest member. What a bucket then still holds of several components is compared across components
+   in blocks of ``BLOCK`` rows inside tasks, each pair in the first band it shares, and only the links
+   that join components leave the task.
 4. A candidate's signatures are compared batch by batch; it is dropped as soon as the posterior
    probability that its similarity reaches the threshold falls below ``miss``. The prior is uniform.
 5. Survivors are verified on full sets, recomputed from the texts of the documents that occur in them.
@@ -32,6 +33,8 @@ from faultfold.llm.words import Words, mixed, word_chunks
 
 HASHES, BAND, BATCH, BLOCK = 150, 5, 30, 512
 MISS = 1e-6
+#: Slots of ids that are broadcast to pick the texts to verify: 4 bytes each, and their hash table.
+SLOTS = 1 << 19
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,63 +207,49 @@ def _verified(percent: int):
     return run
 
 
-def verify(documents: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = documents.join(used, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(_set_rows(size), "doc_id long, shingles binary"), "sets")
-    with_a = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "set_a"}), "a")
-    both = with_a.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "set_b"}), "b")
-    links = written(both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long"), "links")
-    dropped(sets)
-    return links
-
-
 # -- components --------------------------------------------------------------------------------
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges`` (a, b): the smallest node it is connected with.
 
-    Large-star and small-star steps alternate until the edges stay the same; each step is a grouped
-    minimum and a join, so a node with very many edges is only ever summarised.
+    Large-star and small-star steps alternate until every node points at one centre that points nowhere;
+    each step is a grouped minimum and a join, so a node with very many edges is only ever summarised.
     """
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    seen = _digest(now)
-    while True:
+    while not _stars(now):
         both = now.union(now.select("v", "u"))
-        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = written(
+            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large"
+        )
         lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.union(lower).where("u <> v").distinct(), "edges")
-        for old in (now, least, large, lower):
+        for old in (now, large, lower):
             dropped(old)
-        digest = _digest(after)
-        if digest == seen:
-            break
-        now, seen = after, digest
-    centres = after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres)
+        now = after
+    centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres)
 
 
-def _digest(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, or none and only edges from greater ones."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")),
+                                          F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.count("*").alias("n"))
+    return nodes.where("up > 1 or (up = 1 and n > 1)").isEmpty()
 
 
 # -- candidates --------------------------------------------------------------------------------
 
 
-def _unresolved(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Bucket members with their component and the bucket's largest one, of buckets that hold several."""
-    if labels is None:
-        named = buckets.withColumn("component", F.col("rep"))
-    else:
-        named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        named = named.withColumn("component", F.coalesce("component", "rep"))
+    named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = written(named.withColumn("component", F.coalesce("component", "rep")), "named")
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(
         F.max_by("component", F.struct("n", -F.col("component"))).alias("main"),
@@ -268,81 +257,164 @@ def _unresolved(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
         F.sum("n").alias("n"),
     )
     main = written(main.where("parts > 1").select("bucket", "main", "n"), "main")
-    return written(named.join(main, "bucket").select("bucket", "rep", "component", "main", "n"), "open")
+    return named.join(main, "bucket").select("bucket", "band", "rep", "component", "main", "n")
+
+
+def _blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of each pair of blocks of a bucket: outsiders of one block, marked ``out``, and members of the other."""
+    signed = members.join(sketches.select("rep", "signature"), "rep")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    signed = signed.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("rep"), blocks)})
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    inside = signed.withColumns({"outer": F.explode(every), "inner": F.col("block"), "out": F.lit(False)})
+    outside = signed.where("component <> main").withColumns(
+        {"outer": F.col("block"), "inner": F.explode(every), "out": F.lit(True)}
+    )
+    return inside.unionByName(outside).select(
+        F.xxhash64("bucket", "outer", "inner").alias("key"), "band", "out", "rep", "component", "signature"
+    )
 
 
-def _pivot_pairs(members: DataFrame, first: bool) -> DataFrame:
-    """Each member with its bucket's pivot: the smallest member, later the smallest outside the largest component."""
-    choice = members if first else members.where("component <> main")
-    pivots = written(choice.groupBy("bucket").agg(F.min("rep").alias("pivot")), "pivots")
-    near = members.join(pivots, "bucket").where("rep <> pivot")
-    if not first:
-        own = choice.select("bucket", F.col("rep").alias("pivot"), F.col("component").alias("other"))
-        near = near.join(own, ["bucket", "pivot"]).where("component <> other")
-    return near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+def _grouped(batches):
+    """Rows of consecutive equal keys; one group is held at a time, about twice ``BLOCK`` rows."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != key:
+                yield held
+                held = []
+            key = row[0]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _crossing(rows, bounds):
+    """Plausible pairs of a block's outsiders and members of other components, in the first band they share."""
+    outside, inside = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    if not outside or not inside:
+        return
+    left = np.frombuffer(b"".join(r[5] for r in outside), np.uint16).reshape(-1, HASHES)
+    right = np.frombuffer(b"".join(r[5] for r in inside), np.uint16).reshape(-1, HASHES)
+    component, band = np.array([r[4] for r in inside]), rows[0][1]
+    for i, row in enumerate(outside):
+        away = np.flatnonzero(component != row[4])
+        away = away[plausible(np.broadcast_to(left[i], (len(away), HASHES)), right[away], bounds)]
+        if len(away):
+            equal = (right[away] == left[i]).reshape(len(away), -1, BAND).all(2)
+            away = away[equal.argmax(1) == band]
+        for j in away.tolist():
+            yield row, inside[j]
+
+
+_ROWS = pa.schema(
+    [
+        ("key", pa.int64()),
+        ("band", pa.int32()),
+        ("out", pa.bool_()),
+        ("rep", pa.int64()),
+        ("component", pa.int64()),
+        ("signature", pa.binary()),
+    ]
+)
+
+
+def _table(rows, schema):
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _paired(bounds):
+    """Of each block, the rows that are in a plausible pair."""
 
+    def run(batches):
+        out = []
+        for rows in _grouped(batches):
+            found = {}
+            for pair in _crossing(rows, bounds):
+                for row in pair:
+                    found[row[2], row[3]] = row
+            out.extend(found.values())
+            if len(out) >= BLOCK:
+                yield _table(out, _ROWS)
+                out = []
+        yield _table(out, _ROWS)
 
-def _across(bounds):
-    """Plausible pairs of different components between the outsiders and the members of a block.
+    return run
 
-    Rows come sorted by block; one block at a time is held, at most twice ``BLOCK`` rows on average.
-    """
 
-    def compare(rows):
-        outside = [r for r in rows if r[1]]
-        inside = [r for r in rows if not r[1]]
-        if not outside or not inside:
-            return
-        left = np.frombuffer(b"".join(r[4] for r in outside), np.uint16).reshape(-1, HASHES)
-        right = np.frombuffer(b"".join(r[4] for r in inside), np.uint16).reshape(-1, HASHES)
-        a_ids, a_of = np.array([r[2] for r in outside]), np.array([r[3] for r in outside])
-        b_ids, b_of = np.array([r[2] for r in inside]), np.array([r[3] for r in inside])
-        for i in range(len(left)):
-            away = np.flatnonzero(b_of != a_of[i])
-            for j in away[plausible(np.broadcast_to(left[i], (len(away), HASHES)), right[away], bounds)]:
-                yield (min(a_ids[i], b_ids[j]), max(a_ids[i], b_ids[j]))
+def _joining(bounds, percent: int):
+    """Of each block, verified links that join components it had apart."""
 
     def run(batches):
-        key, held = None, []
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != key:
-                    out += compare(held)
-                    key, held = row[0], []
-                held.append(row)
-            yield _pairs(out)
-        yield _pairs(list(compare(held)))
+        for rows in _grouped(batches):
+            sets = {r[3]: frozenset(_read_set(r[6]).tolist()) for r in rows}
+            parent: dict[int, int] = {}
+
+            def root(x):
+                while (up := parent.get(x, x)) != x:
+                    x = up
+                return x
+
+            links = []
+            for one, other in _crossing(rows, bounds):
+                here, there = root(one[4]), root(other[4])
+                if here == there:
+                    continue
+                a, b = sets[one[3]], sets[other[3]]
+                both = len(a & b)
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    parent[here] = there
+                    links.append((one[3], other[3]))
+            yield _table(links, _LINKS)
 
     return run
 
 
-def _pairs(rows):
-    return pa.RecordBatch.from_arrays(
-        [pa.array([int(r[0]) for r in rows], pa.int64()), pa.array([int(r[1]) for r in rows], pa.int64())], ["a", "b"]
-    )
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _block_pairs(members: DataFrame, sketches: DataFrame, bounds) -> DataFrame:
-    """Every plausible pair across components: outsider blocks meet all blocks of their bucket."""
-    signed = members.join(sketches.select("rep", "signature"), "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    signed = signed.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("rep"), blocks)})
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    inside = signed.withColumns({"outer": F.explode(every), "inner": F.col("block"), "out": F.lit(False)})
-    outside = signed.where("component <> main").withColumns(
-        {"outer": F.col("block"), "inner": F.explode(every), "out": F.lit(True)}
-    )
-    rows = inside.unionByName(outside).select(
-        F.xxhash64("bucket", "outer", "inner").alias("key"), "out", "rep", "component", "signature"
-    )
-    return (
-        rows.repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_across(bounds), "a long, b long")
-        .where("a <> b")
-        .distinct()
+def _sets(documents: DataFrame, used: DataFrame, size: int) -> DataFrame:
+    """``doc_id, shingles`` of at least the documents ``used``.
+
+    Only texts whose id falls into a slot that is used are cut into shingles. There are :data:`SLOTS` slots
+    at most, whatever the input, so they can be broadcast and no text is shuffled.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
+    slots = used.select(slot).distinct()
+    texts = documents.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").select("doc_id", "text")
+    return texts.mapInArrow(_set_rows(size), "doc_id long, shingles binary")
+
+
+def verify(documents: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    sets = written(_sets(documents, used, size), "sets")
+    with_a = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "set_a"}), "a")
+    both = with_a.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "set_b"}), "b")
+    checked = both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long")
+    links = written(checked.distinct(), "links")
+    dropped(sets)
+    return links
+
+
+def joining_links(
+    documents: DataFrame, members: DataFrame, sketches: DataFrame, bounds, percent: int, size: int
+) -> DataFrame:
+    """Verified links between components that share a bucket."""
+    blocks = _blocks(members, sketches).repartition("key").sortWithinPartitions("key")
+    paired = written(
+        blocks.mapInArrow(
+            _paired(bounds), "key long, band int, out boolean, rep long, component long, signature binary"
+        ),
+        "paired",
     )
+    if paired.isEmpty():
+        return paired.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    sets = _sets(documents, paired.select(F.col("rep").alias("doc_id")), size).withColumnRenamed("doc_id", "rep")
+    rows = paired.join(sets, "rep").select(*_ROWS.names, "shingles")
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_joining(bounds, percent), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5, miss: float = MISS) -> DataFrame:
@@ -366,37 +438,22 @@ def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5, mis
     )
     own = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = own.select(F.col("doc_id").alias("rep"), "signature", "bands")
-    exploded = reps.select("rep", F.explode("bands").alias("bucket"))
-    crowded = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = written(exploded.join(written(crowded, "crowded"), "bucket"), "buckets")
+    exploded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    crowded = exploded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    buckets = written(exploded.join(crowded.select("bucket", "pivot"), "bucket"), "buckets")
     small = reps.select("rep", "signature")
 
-    def signed(pairs):
-        out = pairs.join(small.withColumnsRenamed({"rep": "a", "signature": "sig_a"}), "a")
-        out = out.join(small.withColumnsRenamed({"rep": "b", "signature": "sig_b"}), "b")
-        return out.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(bounds), "a long, b long")
-
-    labels, tested = None, None
-    for step in ("smallest", "outside", "blocks"):
-        if step == "smallest":
-            pairs = signed(_pivot_pairs(buckets, True))
-        else:
-            members = _unresolved(buckets, labels)
-            pairs = signed(_pivot_pairs(members, False)) if step == "outside" else _block_pairs(members, small, bounds)
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "candidates")
-        tested = pairs if tested is None else tested.union(pairs)
-        if pairs.isEmpty():
-            continue
-        links = verify(known, pairs, percent, words)
-        if labels is not None:
-            if links.isEmpty():
-                continue
-            links = links.union(labels.select("node", "component"))
-        labels = written(components(links), "labels")
-
-    if labels is None:
-        labels = buckets.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    pairs = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.join(small.withColumnsRenamed({"rep": "a", "signature": "sig_a"}), "a")
+    pairs = pairs.join(small.withColumnsRenamed({"rep": "b", "signature": "sig_b"}), "b")
+    pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(bounds), "a long, b long")
+    links = verify(known, written(pairs, "candidates"), percent, words)
+    labels = written(components(links), "labels")
+    members = _unresolved(buckets, labels)
+    more = written(joining_links(known, members, small, bounds, percent, words), "links")
+    if not more.isEmpty():
+        stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = written(components(stars.where("a <> b").union(more)), "labels")
 
     out = named.join(labels.withColumnsRenamed({"node": "rep", "component": "joined"}), "rep", "left").select(
         "doc_id", F.coalesce("joined", "rep").alias("linked")
