@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so batches hold fewer rows than Spark's default.
 BATCH_ROWS = 512
@@ -59,3 +60,16 @@ def dropped(df: DataFrame) -> None:
         if "/llm/" in file:
             path = jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sampled(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """At most about ``n`` of ``rows``, to fit a model on: those whose ``key`` has the smallest hashes.
+
+    Only keys are sorted, and only about four times ``n`` of them; rows with a null key are left out.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    share = min(1.0, 4 * n / max(1, rows.count()))
+    hashed = F.xxhash64(key)
+    near = rows.where(F.pmod(hashed, F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
+    keys = near.select(key).distinct().orderBy(hashed, key).limit(n)
+    return rows.join(F.broadcast(keys), key, "left_semi")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultfold.llm.common import bounded_batches
+from faultfold.llm.common import bounded_batches, sampled
 from faultfold.llm.words import Words, mixed, per_row, word_chunks
 
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4)
@@ -111,14 +111,13 @@ def held_out() -> Column:
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """A model from labelled documents that are not held out; at most :data:`TRAIN_ROWS` reach the driver."""
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int"))
+    chosen = sampled(known.where(~held_out()), "doc_id", TRAIN_ROWS)
     rows = (
         documents.select("doc_id", "text")
-        .where(~held_out())
-        .join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "text")
-        .limit(TRAIN_ROWS)
-        .select(F.coalesce("text", F.lit("")).alias("text"), "quality")
+        .join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
         .toArrow()
+        .sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("text", "ascending")])
     )
     return train(rows.column("text").to_pylist(), rows.column("quality").to_pylist())
 
@@ -138,3 +137,16 @@ def score_documents(documents: DataFrame, model: Model, threshold: float = THRES
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def accepted(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that score the threshold or more."""
+    bounded_batches(documents.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            place = batch.schema.get_field_index("text")
+            for lo, hi, words in word_chunks(batch.column(place)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(score(words, model) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -10,12 +10,14 @@ Words are runs of characters other than space and ``\\t`` to ``\\r``. A null tex
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultfold.llm.common import bounded_batches
 from faultfold.llm.words import Words, mixed, per_row, word_chunks
@@ -130,23 +132,46 @@ def measure(words: Words) -> list[np.ndarray]:
     ]
 
 
+#: Name of the column of measurements while they travel with a document's own columns.
+_MEASURED = "measured by rules"
+
+
 def _measured(batches):
     for batch in batches:
-        for lo, hi, words in word_chunks(batch.column(1)):
-            columns = [pa.array(c, pa.int64()) for c in measure(words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["doc_id", *MEASUREMENTS])
+        place = batch.schema.get_field_index("text")
+        for lo, hi, words in word_chunks(batch.column(place)):
+            values = [pa.array(c, pa.int64()) for c in measure(words)]
+            struct = pa.StructArray.from_arrays(values, list(MEASUREMENTS))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.slice(lo, hi - lo).columns, struct], [*batch.schema.names, _MEASURED]
+            )
+
+
+def _with_measurements(documents: DataFrame) -> DataFrame:
+    bounded_batches(documents.sparkSession)
+    fields = T.StructType([T.StructField(m, T.LongType()) for m in MEASUREMENTS])
+    return documents.mapInArrow(_measured, T.StructType([*documents.schema.fields, T.StructField(_MEASURED, fields)]))
+
+
+def _bits() -> Column:
+    """Failure bits from the column of measurements."""
+    total = F.lit(0).cast("long")
+    for rule in RULES:
+        fails = re.sub("|".join(MEASUREMENTS), lambda m: f"`{_MEASURED}`.{m[0]}", rule.fails)
+        total = total.bitwiseOR(F.when(F.expr(fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
+    return total
 
 
 def ledger(documents: DataFrame) -> DataFrame:
     """``doc_id``, the measurements and ``failure_bits`` of every document, in one scan without a shuffle."""
-    bounded_batches(documents.sparkSession)
-    schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASUREMENTS)
-    measured = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measured, schema)
-    bits = [F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long") for rule in RULES]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total.bitwiseOR(bit)
-    return measured.withColumn("failure_bits", total)
+    rows = _with_measurements(documents.select(F.col("doc_id").cast("long"), "text"))
+    return rows.select("doc_id", f"`{_MEASURED}`.*", _bits().alias("failure_bits"))
+
+
+def passing(documents: DataFrame, version: int) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that fail no rule of the policy."""
+    passes = _bits().bitwiseAND(F.lit(policy_mask(version))) == 0
+    return _with_measurements(documents).where(passes).select(*[f"`{c}`" for c in documents.columns])
 
 
 def policy_mask(version: int) -> int:

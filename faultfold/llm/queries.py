@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultfold.llm import bpe, chat, html_wrapper, packing, quality_classifier, quality_rules, topk
+from faultfold.llm import bpe, chat, html_wrapper, licences, packing, pii, quality_classifier, quality_rules, topk
 from faultfold.llm.common import table
 from faultfold.llm.near_dedup import near_duplicates
 
@@ -17,6 +17,28 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return licences.scan(documents, licences.fit(documents))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest are of the rules' spans, ``spans`` and ``n_added`` of the tagger's too."""
+    documents = table(spark, sf_dir, "documents")
+    rows = pii.find(documents, pii.fit(documents))
+
+    def count(kind, column="base"):
+        return F.regexp_count(column, F.lit(f"{kind}:")).cast("long")
+
+    return rows.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+        (count("[a-z]+", "spans") - count("[a-z]+")).alias("n_added"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     base = quality_rules.failed(quality_rules.BASE)
@@ -76,6 +98,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licence_scan": op1_licence_scan,
+    "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
