@@ -128,11 +128,17 @@ def action_events(runs: DataFrame) -> DataFrame:
     )
 
 
-def ticket_outcomes(runs: DataFrame) -> DataFrame:
+def ticket_outcomes(runs: DataFrame, tickets: DataFrame | None = None, attempt: int = 1) -> DataFrame:
     """Per ticket and attempt: done if no action failed, else failed, with the failing position.
 
-    Needs no order and no window: the first failure is a minimum, reduced before the shuffle.
+    ``tickets`` are those a delivery was for: one whose app has no actions has no runs, and is
+    done. Needs no order and no window: the first failure is a minimum, reduced before the
+    shuffle.
     """
+    if tickets is not None:
+        given = tickets.select(F.col("id").alias("ticket_id"), F.lit(attempt).cast("bigint").alias("attempt"))
+        found = runs.select("ticket_id", "attempt", "failed", "pos")
+        runs = given.join(found, ["ticket_id", "attempt"], "left")
     return (
         runs.groupBy("ticket_id", "attempt")
         .agg(F.min(F.when(F.col("failed"), F.col("pos"))).alias("failed_pos"))

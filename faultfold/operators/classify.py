@@ -12,12 +12,6 @@ from faultfold.functions.payload import reply_columns
 from faultfold.functions.text import contains_any, dedupe_text, fold_case, with_fingerprint
 from faultfold.plans.rules import DEFAULT_RULES, FALLBACK, Rule, effective_keywords
 
-# Rule tables up to this many keywords become part of the plan; larger ones are joined. The
-# compiled test of a keyword takes some 80 bytes, and methods beyond 64 KB are not compiled.
-INLINE_KEYWORDS = 500
-GRAM = 3
-
-
 def _labels(rule: Rule) -> Column:
     return F.struct(
         F.lit(rule.classification).alias("classification"),
@@ -54,60 +48,28 @@ def classify_by_rules(
 
 
 def classify_with_rule_table(
-    df: DataFrame,
-    rules: DataFrame,
-    key: str = "arrival_seq",
-    text: Column | None = None,
-    inline_keywords: int = INLINE_KEYWORDS,
+    df: DataFrame, rules: DataFrame, text: Column | None = None
 ) -> DataFrame:
-    """Same labels, with the rules in a table.
+    """Same labels, with the rules in a table. Map side only: lines are neither shuffled nor copied.
 
-    A table of at most ``inline_keywords`` keywords is fetched and compiled into the plan. A
-    larger one is matched by the first characters of its keywords, see ``_match_by_prefix``.
-    ``key`` identifies a line.
+    The table's keywords become one array, sorted by rule, that a line is tested against; a rule
+    table is configuration, and its size is the size of that array. The keyword of the lowest
+    rule decides, and of equal rule numbers the smaller keyword. Null keywords match nothing, a
+    null label is replaced by the fallback's.
     """
     text = dedupe_text() if text is None else text
-    words = rules.select(F.explode("keywords").alias("w"))
-    if words.limit(inline_keywords + 1).count() <= inline_keywords:
-        listed = rules.filter(F.size("keywords") > 0).orderBy("rule_no").collect()
-        found = [Rule(r["keywords"], *[r[label] for label in schemas.LABELS]) for r in listed]
-        return classify_by_rules(df, text, found)
-    lines = df.withColumn("_low", fold_case(text))
-    matched = lines.join(_match_by_prefix(lines.select(key, "_low"), rules, key), key, "left")
+    words = rules.select("rule_no", F.explode("keywords").alias("word"), *schemas.LABELS)
+    entry = F.struct("rule_no", "word", *schemas.LABELS)
+    table = words.filter("word is not null").agg(F.sort_array(F.collect_list(entry))).scalar()
+    # The text is a variable of the outer function, so it is folded once and not for every word.
+    hits = F.transform(
+        F.array(fold_case(text)), lambda low: F.filter(table, lambda w: low.contains(w["word"]))
+    )
+    found = df.withColumn("_rule", F.try_element_at(F.element_at(hits, 1), F.lit(1)))
     fallback = _labels(FALLBACK)
     for label in schemas.LABELS:
-        matched = matched.withColumn(label, F.coalesce(F.col("_rule")[label], fallback[label]))
-    return matched.drop("_low", "_rule")
-
-
-def _match_by_prefix(lines: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """Lowest matching rule per line for a rule table of any size.
-
-    Every keyword is looked up by its first three characters (fewer if it is shorter) among
-    the distinct character groups of the line, then checked in full. An equality join, so
-    both sides are partitioned and adaptive execution splits frequent groups. The text itself
-    is not copied per group: it joins the few candidates by ``key``. The only thing collected
-    is which of the four group sizes occur.
-    """
-    rule = F.struct("rule_no", *schemas.LABELS)
-    words = (
-        rules.select(F.explode("keywords").alias("word"), rule.alias("rule"))
-        .withColumn("gram", F.substring("word", 1, GRAM))
-        .withColumn("size", F.length("gram"))
-    )
-    sizes = [row["size"] for row in words.select("size").distinct().collect()]
-    grams = F.array_distinct(F.concat(*[_grams(F.col("_low"), n) for n in sorted(sizes)]))
-    exploded = lines.select(key, F.explode(grams).alias("gram"))
-    candidates = exploded.join(words.select("gram", "word", "rule"), "gram").drop("gram")
-    hits = candidates.join(lines, key).filter(F.col("_low").contains(F.col("word")))
-    return hits.groupBy(key).agg(F.min("rule").alias("_rule"))
-
-
-def _grams(low: Column, size: int) -> Column:
-    """All runs of ``size`` characters, found by one pass of a look-ahead pattern."""
-    if size == 0:
-        return F.array(F.lit(""))
-    return F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+        found = found.withColumn(label, F.coalesce(F.col("_rule")[label], fallback[label]))
+    return found.drop("_rule")
 
 
 def parse_replies(df: DataFrame, reply: str = "reply") -> tuple[DataFrame, DataFrame]:
@@ -143,7 +105,8 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def occurrences_of(
     classified: DataFrame, hash_on: str = "dedupe_text", day_basis: str = "arrival"
 ) -> DataFrame:
-    """Add the ticket key: fingerprint hash and the day of arrival (or of the event)."""
+    """Add the ticket key: fingerprint hash and the day of arrival (or of the event, if it has a time)."""
     basis = {"arrival": "arrival_ts", "event": "ts"}[day_basis]
     keyed = with_fingerprint(classified, hash_on)
-    return keyed.withColumn("created_date", F.date_format(basis, "yyyy-MM-dd"))
+    at = F.coalesce(F.col(basis), F.col("arrival_ts"))
+    return keyed.withColumn("created_date", F.date_format(at, "yyyy-MM-dd"))

@@ -14,6 +14,9 @@ sequence must be unique within a key.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,13 @@ BLOCK = "_block"
 SUPER = "_super"
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, where null equals null; the keys of ``left`` are kept."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def with_block(df: DataFrame, seq: str) -> DataFrame:
     return df.withColumn(BLOCK, F.shiftright(F.col(seq).cast("bigint"), BLOCK_BITS))
 
@@ -48,7 +58,7 @@ def _prefix(blocks: DataFrame, keys: list[str], value: str, combine, scan) -> Da
         .withColumn("_outer", scan(F.col("_total")).over(_before(keys, SUPER)))
         .drop("_total")
     )
-    return inner.join(outer, [*keys, SUPER]).drop(SUPER)
+    return join_null_safe(inner, outer, [*keys, SUPER]).drop(SUPER)
 
 
 def block_counts(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -64,21 +74,31 @@ def block_counts(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def rank_in_blocks(
-    df: DataFrame, offsets: DataFrame, keys: list[str], seq: str, out: str
+    df: DataFrame,
+    offsets: DataFrame,
+    keys: list[str],
+    seq: str,
+    out: str,
+    ties: list[str] | None = None,
 ) -> DataFrame:
-    """Rank rows by their block's offset; other columns of ``offsets`` come along."""
-    within = Window.partitionBy(*keys, BLOCK).orderBy(seq)
+    """Rank rows by their block's offset; other columns of ``offsets`` come along.
+
+    Rows with one sequence number are ranked by ``ties``.
+    """
+    within = Window.partitionBy(*keys, BLOCK).orderBy(seq, *(ties or []))
     ranked = with_block(df, seq).withColumn("_rn", F.row_number().over(within).cast("bigint"))
     return (
-        ranked.join(offsets, [*keys, BLOCK])
+        join_null_safe(ranked, offsets, [*keys, BLOCK])
         .withColumn(out, F.col("_offset") + F.col("_rn"))
         .drop(BLOCK, "_rn", "_offset")
     )
 
 
-def running_rank(df: DataFrame, keys: list[str], seq: str, out: str) -> DataFrame:
+def running_rank(
+    df: DataFrame, keys: list[str], seq: str, out: str, ties: list[str] | None = None
+) -> DataFrame:
     """1-based position by ``seq`` within ``keys`` (or overall), exact and without gaps."""
-    return rank_in_blocks(df, block_counts(df, keys, seq), keys, seq, out)
+    return rank_in_blocks(df, block_counts(df, keys, seq), keys, seq, out, ties)
 
 
 def carry_forward(df: DataFrame, keys: list[str], seq: str, value: str, out: str) -> DataFrame:
@@ -100,7 +120,7 @@ def carry_forward(df: DataFrame, keys: list[str], seq: str, value: str, out: str
     )
     return (
         blocked.withColumn("_here", F.last(value, ignorenulls=True).over(within))
-        .join(prefix, [*keys, BLOCK])
+        .transform(join_null_safe, prefix, [*keys, BLOCK])
         .withColumn(out, F.coalesce("_here", "_prefix"))
         .drop(BLOCK, "_here", "_prefix")
     )

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold import schemas
 from faultfold.functions.text import dedupe_text
 from faultfold.operators.classify import classify_by_rules
-from faultfold.operators.scan import block_counts, carry_forward, rank_in_blocks, running_rank
+from faultfold.operators.scan import (
+    block_counts,
+    carry_forward,
+    join_null_safe,
+    rank_in_blocks,
+    running_rank,
+)
 from faultfold.session import materialize
 
 KEY = schemas.TICKET_KEY
 COLUMNS = schemas.column_names(schemas.TICKET)
 
-# Batches with at most this many ticket keys are numbered directly.
-DIRECT_ROWS = 100_000
-
-
 def _seconds(ts: Column) -> Column:
     """Stored times have whole seconds."""
     return F.date_trunc("second", ts)
@@ -35,7 +37,8 @@ def fold_occurrences(
     """One row per ticket key: what the occurrences of a batch add to a ticket.
 
     Count, first and last are algebraic, so each task reduces its own rows before the
-    shuffle and a hot key costs one row per task. Order is arrival order.
+    shuffle and a hot key costs one row per task. Order is arrival order; rows that share a
+    sequence number are ordered by their line.
 
     Only the first occurrence gives a ticket its labels. Occurrences without labels are
     therefore folded first, and ``classify(df, text)`` sees one line per ticket instead of
@@ -48,8 +51,8 @@ def fold_occurrences(
     folded = occ.groupBy(*KEY).agg(
         F.count("*").alias("n"),
         F.min("arrival_seq").alias("first_seq"),
-        F.min_by(first, "arrival_seq").alias("first"),
-        F.max_by(last, "arrival_seq").alias("last"),
+        F.min_by(first, F.struct("arrival_seq", "raw_line")).alias("first"),
+        F.max_by(last, F.struct("arrival_seq", "raw_line")).alias("last"),
     )
     if labelled:
         return folded
@@ -58,10 +61,10 @@ def fold_occurrences(
     return named.withColumn("first", labels).drop(*schemas.LABELS)
 
 
-def _new_rows(new: DataFrame, max_id: Column, rows: int) -> DataFrame:
+def _new_rows(new: DataFrame, max_id: Column) -> DataFrame:
     """Ticket rows of keys seen for the first time, with ids in order of first arrival."""
     seen = _seconds(F.col("first.seen"))
-    return assign_ids(new, max_id, "first_seq", rows).select(
+    return assign_ids(new, max_id, "first_seq", KEY).select(
         "id",
         "app",
         "fingerprint_hash",
@@ -84,7 +87,7 @@ def _new_rows(new: DataFrame, max_id: Column, rows: int) -> DataFrame:
 def _repeated_rows(tickets: DataFrame, delta: DataFrame) -> DataFrame:
     """Known tickets with the batch's repeats added; closed and absent keys stay as they are."""
     repeats = delta.select(*KEY, "n", "last")
-    joined = tickets.join(repeats, KEY, "left")
+    joined = join_null_safe(tickets, repeats, KEY, "left")
     hit = F.col("n").isNotNull() & ~_is_closed(F.col("status"))
     updated = {
         "occurrence_count": F.col("occurrence_count") + F.col("n"),
@@ -99,17 +102,11 @@ def largest_id(tickets: DataFrame) -> Column:
     return tickets.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
 
 
-def assign_ids(new: DataFrame, max_id: Column, order: str, rows: int | None = None) -> DataFrame:
-    """Ids without gaps in the given order, continuing after ``max_id``.
-
-    ``rows`` is an upper bound of the number of rows, if known. A small batch is numbered by
-    one task that sees nothing but the order column; any other goes through the block scan.
-    """
-    if rows is not None and rows <= DIRECT_ROWS:
-        position = F.row_number().over(Window.orderBy(order)).cast("bigint")
-        ranked = new.join(new.select(order, position.alias("_rank")), order)
-    else:
-        ranked = running_rank(new, [], order, "_rank")
+def assign_ids(
+    new: DataFrame, max_id: Column, order: str, ties: list[str] | None = None
+) -> DataFrame:
+    """Ids without gaps in the given order, then by ``ties``, continuing after ``max_id``."""
+    ranked = running_rank(new, [], order, "_rank", ties)
     return ranked.withColumn("id", F.col("_rank") + max_id).drop("_rank")
 
 
@@ -130,13 +127,12 @@ def merge_delta(
     delta: DataFrame, tickets: DataFrame | None = None, max_id: Column | None = None
 ) -> DataFrame:
     """``upsert_tickets`` from an already folded and stored batch."""
-    rows = delta.count()
     if tickets is None:
-        return _new_rows(delta, F.lit(0) if max_id is None else max_id, rows)
+        return _new_rows(delta, F.lit(0) if max_id is None else max_id)
     if max_id is None:
         max_id = largest_id(tickets)
-    new = delta.join(tickets.select(*KEY), KEY, "left_anti")
-    return _repeated_rows(tickets, delta).unionByName(_new_rows(new, max_id, rows))
+    new = join_null_safe(delta, tickets.select(*KEY), KEY, "left_anti")
+    return _repeated_rows(tickets, delta).unionByName(_new_rows(new, max_id))
 
 
 def upsert_with_status(
@@ -158,8 +154,8 @@ def upsert_with_status(
     final = status_log.groupBy(*KEY).agg(F.max_by("status", "arrival_seq").alias("_final"))
     was = known.withColumnRenamed("status", "_was")
     return (
-        merged.join(was, KEY, "left")
-        .join(final, KEY, "left")
+        merged.transform(join_null_safe, was, KEY, "left")
+        .transform(join_null_safe, final, KEY, "left")
         .withColumn("status", F.coalesce("_final", "_was", "status"))
         .select(*COLUMNS)
     )
@@ -174,8 +170,8 @@ def occurrences(occ: DataFrame, tickets: DataFrame) -> DataFrame:
     known = tickets.select(
         *KEY, F.col("occurrence_count").alias("_base"), F.col("status").alias("_status")
     )
-    offsets = block_counts(occ, KEY, "arrival_seq").join(known, KEY, "left")
-    ranked = rank_in_blocks(occ, offsets, KEY, "arrival_seq", "_rank")
+    offsets = join_null_safe(block_counts(occ, KEY, "arrival_seq"), known, KEY, "left")
+    ranked = rank_in_blocks(occ, offsets, KEY, "arrival_seq", "_rank", ["raw_line"])
     skipped = F.coalesce(_is_closed(F.col("_status")), F.lit(False))
     zero = F.lit(0).cast("bigint")
     return (
@@ -192,22 +188,22 @@ def occurrences(occ: DataFrame, tickets: DataFrame) -> DataFrame:
 def skip_closed(occ: DataFrame, tickets: DataFrame) -> DataFrame:
     """Occurrences whose ticket of that day is not closed."""
     closed = tickets.filter(_is_closed(F.col("status"))).select(*KEY)
-    return occ.join(closed, KEY, "left_anti")
+    return join_null_safe(occ, closed, KEY, "left_anti")
 
 
 def skipped_counts(occ: DataFrame, tickets: DataFrame) -> DataFrame:
     """Number of skipped occurrences per closed ticket; reduced before the join."""
     closed = tickets.filter(_is_closed(F.col("status"))).select(*KEY, "id")
-    return (
-        occ.groupBy(*KEY).agg(F.count("*").alias("skipped")).join(closed, KEY).drop(*KEY)
-    )
+    counts = occ.groupBy(*KEY).agg(F.count("*").alias("skipped"))
+    return join_null_safe(counts, closed, KEY).drop(*KEY)
 
 
 def new_tickets(occ: DataFrame, tickets: DataFrame) -> DataFrame:
     """First occurrence, as it is, of every key that has no ticket yet."""
     rest = [c for c in occ.columns if c not in KEY]
     keys = occ.groupBy(*KEY).agg(F.min_by(F.struct(*rest), "arrival_seq").alias("first"))
-    return keys.join(tickets.select(*KEY), KEY, "left_anti").select(*KEY, "first.*")
+    new = join_null_safe(keys, tickets.select(*KEY), KEY, "left_anti")
+    return new.select(*KEY, "first.*")
 
 
 def apply_status(tickets: DataFrame, updates: DataFrame) -> DataFrame:

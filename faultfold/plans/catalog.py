@@ -456,12 +456,35 @@ def j6_rule_table(spark, sf_dir):
     return classify.classify_with_rule_table(lines, rule_table(spark)).select(*LABELLED)
 
 
-@register("j6_large_rule_table", CLASSIFIED_DOCS)
+@register(
+    "j6_large_rule_table",
+    """
+    WITH hits AS (SELECT o_orderkey, min(p_partkey) AS rule_no FROM orders JOIN part
+        ON contains('order of customer ' || o_custkey || ' at ' || o_orderdate,
+          'customer ' || p_partkey) GROUP BY o_orderkey)
+    SELECT coalesce('part_' || rule_no, 'unknown_error') AS classification, count(*) AS n
+    FROM orders LEFT JOIN hits USING (o_orderkey) GROUP BY 1""",
+)
 def j6_large_rule_table(spark, sf_dir):
-    """The path for rule tables beyond the inline limit."""
-    lines = given.doc_logs(spark, sf_dir)
-    labelled = classify.classify_with_rule_table(lines, rule_table(spark), inline_keywords=0)
-    return labelled.select(*LABELLED)
+    """A keyword for every part, tried on every order."""
+    named = F.concat(F.lit("part_"), F.col("p_partkey").cast("string"))
+    rules = given.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("int").alias("rule_no"),
+        F.array(F.concat(F.lit("customer "), F.col("p_partkey").cast("string"))).alias("keywords"),
+        named.alias("classification"),
+        F.lit("low").alias("severity"),
+        F.lit("part").alias("component"),
+        named.alias("fingerprint"),
+    )
+    line = F.concat(
+        F.lit("order of customer "),
+        F.col("o_custkey").cast("string"),
+        F.lit(" at "),
+        F.col("o_orderdate").cast("string"),
+    )
+    lines = given.table(spark, sf_dir, "orders").select(line.alias("line"))
+    labelled = classify.classify_with_rule_table(lines, rules, F.col("line"))
+    return labelled.groupBy("classification").agg(F.count("*").alias("n"))
 
 
 @register("p9_prompts", query("v_occ", f"SELECT arrival_seq, {oracle.PROMPT} AS prompt FROM v_occ"))
@@ -708,6 +731,29 @@ def a1_upsert_empty(spark, sf_dir):
     return tickets.upsert_tickets(given.occurrences(spark, sf_dir))
 
 
+@register(
+    "s6_upsert_union",
+    query(
+        "v_logs v_doclogs",
+        f"""
+        SELECT app, created_date, count(*) AS tickets, sum(n) AS lines
+        FROM (SELECT app, {oracle.hashed('app', 'message')} AS fingerprint_hash,
+            {oracle.day('ts')} AS created_date, count(*) AS n
+          FROM (SELECT app, ts, message FROM v_logs
+            UNION ALL SELECT app, ts, message FROM v_doclogs) GROUP BY ALL)
+        GROUP BY app, created_date""",
+    ),
+)
+def s6_upsert_union(spark, sf_dir):
+    """Tickets of two sources that are numbered by the library, with ids that are all different."""
+    sources = [given.logs(spark, sf_dir), given.doc_logs(spark, sf_dir)]
+    entries = logs.union_sources(*[logs.as_entries(s.drop("arrival_seq")) for s in sources])
+    rows = tickets.upsert_tickets(classify.occurrences_of(entries, hash_on="message"))
+    return rows.groupBy("app", "created_date").agg(
+        F.countDistinct("id").alias("tickets"), F.sum("occurrence_count").alias("lines")
+    )
+
+
 @register(
     "a1_upsert_documents",
     query(
@@ -1289,41 +1335,21 @@ def j11_status_from_events(spark, sf_dir):
 # ---- streaming -----------------------------------------------------------------------------
 
 
-@register(
-    "z2_poll_batches",
-    query(
-        "v_logs",
-        """
-        SELECT app, poll_ts, count(*) AS n FROM (SELECT app,
-          unnest([date_trunc('hour', ts) + INTERVAL 1 HOUR,
-            date_trunc('hour', ts) + INTERVAL 2 HOUR]) AS poll_ts FROM v_logs)
-        GROUP BY app, poll_ts""",
-    ),
-)
-def z2_poll_batches(spark, sf_dir):
-    polled = logs.poll_batches(given.logs(spark, sf_dir), 3600)
-    return polled.groupBy("app", "poll_ts").agg(F.count("*").alias("n"))
-
-
 @register("z2_dedupe_overlap", query("v_logs", "SELECT arrival_seq, app, ts FROM v_logs"))
 def z2_dedupe_overlap(spark, sf_dir):
-    polled = logs.poll_batches(given.logs(spark, sf_dir), 3600)
-    return logs.dedupe_overlap(polled, ["app", "arrival_seq"]).select("arrival_seq", "app", "ts")
+    """Lines that two overlapping polls deliver as a stream, each counted once."""
+    root = scratch(spark, "overlap")
+    entries = given.logs(spark, sf_dir)
+    for poll in ("first", "second"):
+        entries.write.parquet(f"{root}/in/{poll}")
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1000)
+    stream = logs.dedupe_overlap(stream.parquet(f"{root}/in/*"), ["app", "arrival_seq"], "1 hour")
 
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-@register(
-    "z2_upsert_overlapping",
-    query(
-        "v_occ",
-        f"""
-        SELECT {oracle.KEY}, 2 * count(*) AS occurrence_count FROM v_occ GROUP BY {oracle.KEY}""",
-    ),
-)
-def z2_upsert_overlapping(spark, sf_dir):
-    """The uncorrected fold: every line is read by two polls and counts twice."""
-    polled = logs.poll_batches(given.logs(spark, sf_dir), 3600)
-    folded = tickets.fold_occurrences(classify.occurrences_of(polled))
-    return folded.select(*tickets.KEY, F.col("n").alias("occurrence_count"))
+    run_stream(spark, stream, keep, "overlap")
+    return spark.read.parquet(f"{root}/out").select("arrival_seq", "app", "ts")
 
 
 def streamed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1342,10 +1368,37 @@ def run_stream(spark: SparkSession, stream: DataFrame, step, label: str) -> None
 def z3_stream_tickets(spark, sf_dir):
     """The same tickets from a stream of log entries."""
     table = stored.TicketTable(spark, scratch(spark, "stream-tickets"))
-    run_stream(spark, streamed_logs(spark, sf_dir), pipeline.fold_batch(table), "tickets")
+    run_stream(spark, streamed_logs(spark, sf_dir), pipeline.fold_batch(table, "events"), "tickets")
     return table.read()
 
 
+@register(
+    "z3_two_streams",
+    f"""
+    WITH e AS ({query("v_occ", f"SELECT {oracle.KEY} FROM v_occ")}),
+      d AS ({query("v_doclogs", f"""
+        SELECT {oracle.hashed('app', 'message')} AS fingerprint_hash, app,
+          {oracle.day('ts')} AS created_date FROM v_doclogs""")})
+    SELECT app, created_date, count(DISTINCT fingerprint_hash) AS tickets, count(*) AS lines
+    FROM (SELECT app, created_date, fingerprint_hash FROM e
+      UNION ALL SELECT app, created_date, fingerprint_hash FROM d) GROUP BY ALL""",
+)
+def z3_two_streams(spark, sf_dir):
+    """Two streams with writers of their own, both from batch 0, into one table."""
+    table = stored.TicketTable(spark, scratch(spark, "two-streams"))
+    run_stream(spark, streamed_logs(spark, sf_dir), pipeline.fold_batch(table, "events"), "events")
+    root = scratch(spark, "documents-in")
+    texts = given.doc_logs(spark, sf_dir)
+    texts.write.parquet(root)
+    stream = spark.readStream.schema(texts.schema).parquet(root)
+    run_stream(spark, stream, pipeline.fold_batch(table, "documents", hash_on="message"), "documents")
+    return (
+        table.read()
+        .groupBy("app", "created_date")
+        .agg(F.count("*").alias("tickets"), F.sum("occurrence_count").alias("lines"))
+    )
+
+
 @register(
     "z4_publish_new",
     query(
@@ -1359,7 +1412,7 @@ def z4_publish_new(spark, sf_dir):
     """Tickets from a stream, their messages published and the message ids stored."""
     root = scratch(spark, "publish")
     table = stored.TicketTable(spark, f"{root}/tickets")
-    step = pipeline.fold_and_publish(table, f"{root}/messages")
+    step = pipeline.fold_and_publish(table, "events", f"{root}/messages")
     run_stream(spark, streamed_logs(spark, sf_dir), step, "publish")
     return table.read().select("id", "status", "message_id")
 
@@ -1367,23 +1420,32 @@ def z4_publish_new(spark, sf_dir):
 @register(
     "z5_stream_status",
     query(
-        "v_occ v_events",
+        "v_occ v_events v_actions",
         f"""
-        SELECT f.id, coalesce(u.status, f.status) AS status FROM ({oracle.fold("v_occ")}) f
-        LEFT JOIN (SELECT ticket_id, CASE arg_max(status, seq) WHEN 'processing'
-          THEN 'in_progress' ELSE arg_max(status, seq) END AS status FROM v_events
-          WHERE ticket_id > 0 GROUP BY ticket_id) u ON f.id = u.ticket_id""",
+        SELECT f.id, CASE WHEN e.id IS NULL THEN f.status WHEN e.failed THEN 'failed'
+          WHEN e.done >= coalesce(p.planned, 0) THEN 'done' ELSE 'in_progress' END AS status
+        FROM ({oracle.fold("v_occ")}) f
+        LEFT JOIN (SELECT ticket_id AS id, bool_or(status = 'failed') AS failed,
+            count(DISTINCT pos) FILTER (WHERE status = 'done') AS done
+          FROM (SELECT *, max(attempt) OVER (PARTITION BY ticket_id) AS latest FROM v_events)
+          WHERE attempt = latest GROUP BY ticket_id) e ON f.id = e.id
+        LEFT JOIN (SELECT app, count(DISTINCT pos) AS planned FROM v_actions GROUP BY app) p
+          ON f.app = p.app""",
     ),
 )
 def z5_stream_status(spark, sf_dir):
-    """Ticket states after a stream of worker events."""
+    """Ticket states after worker events in several batches, cut between a ticket's actions."""
     root = scratch(spark, "status")
     table = stored.TicketTable(spark, f"{root}/tickets")
-    table.upsert(given.occurrences(spark, sf_dir), 0)
-    events = given.worker_events(spark, sf_dir).select("ticket_id", "status", "seq")
-    events.write.parquet(f"{root}/events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{root}/events")
-    run_stream(spark, stream, pipeline.status_batch(table), "status")
+    table.upsert(given.occurrences(spark, sf_dir), 0, "events")
+    events = given.worker_events(spark, sf_dir).select("ticket_id", "attempt", "pos", "status")
+    actions = given.actions(spark, sf_dir)
+    for part in range(3):
+        cut = events.filter(F.col("pos") % 3 == part)
+        cut.write.parquet(f"{root}/events/part={part}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/events/part={part}")
+        step = pipeline.status_batch(table, actions, f"worker{part}")
+        run_stream(spark, stream, step, f"status{part}")
     return table.read().select("id", "status")
 
 

@@ -128,11 +128,11 @@ VIEWS = {
         FROM v_runs""",
     "v_replies": """
         SELECT event_id, CASE event_id % 8
-          WHEN 0 THEN good WHEN 1 THEN 'Here is the analysis: ' || good
+          WHEN 0 THEN good WHEN 1 THEN 'The model says: ' || good
           WHEN 2 THEN good || chr(10) || 'Let me know.' WHEN 3 THEN '{}'
           WHEN 4 THEN '{"classification": "type_' || event_id || '", "severity": ""}'
-          WHEN 5 THEN '{"classification": "foo", "severity":}'
-          WHEN 6 THEN 'no json here at all'
+          WHEN 5 THEN '{"classification": "half", "severity": }'
+          WHEN 6 THEN 'plain words only'
           ELSE '{"classification": "nested", "extra": {"a": 1}, "component": "' || event_type
             || '"} and a brace }' END AS reply
         FROM (SELECT event_id, event_type, '{"classification": "type_' || event_id

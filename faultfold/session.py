@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +26,25 @@ def build_session(app_name: str = "faultfold", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-_local_folders: dict[str, str] = {}
+_own: dict[str, str] = {}
+
+
+def use_shared_folder(spark: SparkSession, folder: str | None = None) -> None:
+    """Name the folder for intermediate files where the session has no ``spark.checkpoint.dir``.
+
+    Without ``folder`` it is one in the warehouse, which all executors share as well.
+    """
+    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    _own[spark.sparkContext.applicationId] = folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see: ``spark.checkpoint.dir``, or a temporary one in local mode."""
-    context = spark.sparkContext
+    """Folder all executors see: ``spark.checkpoint.dir``, or the one that was named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    folder = folder or _own.get(spark.sparkContext.applicationId)
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="faultfold-")
-    return _local_folders[context.applicationId]
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -12,6 +12,10 @@ from faultfold.functions.payload import with_payload_message
 from faultfold.functions.text import infer_severity, raw_line, split_severity, trim_line
 
 
+# Sequence numbers from here on were generated; the sequence of a source must stay below.
+GENERATED = 1 << 62
+
+
 def as_entries(df: DataFrame) -> DataFrame:
     """Log entry columns in order; arrival time and sequence are filled in if absent.
 
@@ -28,9 +32,13 @@ def as_entries(df: DataFrame) -> DataFrame:
 
 
 def with_sequence(df: DataFrame) -> DataFrame:
-    """Number rows that have no ``arrival_seq``: unique, in input order inside a file split."""
-    generated = F.monotonically_increasing_id()
-    return df.withColumn("arrival_seq", F.coalesce("arrival_seq", generated))
+    """Number rows that have no ``arrival_seq``: unique, in input order inside a file split.
+
+    Generated numbers start at ``GENERATED``, so they come after given ones and never meet them. Numbers
+    generated earlier are given anew, which keeps them unique where rows of several sources meet.
+    """
+    given = F.when(F.col("arrival_seq") < GENERATED, F.col("arrival_seq"))
+    return df.withColumn("arrival_seq", F.coalesce(given, F.monotonically_increasing_id() + GENERATED))
 
 
 def parse_text_lines(lines: DataFrame, app: str | Column, ts: Column, line: str = "value") -> DataFrame:
@@ -133,8 +141,12 @@ def source_filter(
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
-    """All entries of all sources; nothing is removed across sources."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+    """All entries of all sources; nothing is removed across sources.
+
+    Rows without a sequence of their own are numbered together, after the union.
+    """
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+    return union if union.isStreaming or "arrival_seq" not in union.columns else with_sequence(union)
 
 
 def poll_batches(df: DataFrame, interval_s: int) -> DataFrame:

@@ -1,45 +1,38 @@
-"""Ticket rows at rest: plain reads and writes, and a table that takes repeatable batches."""
+"""Ticket rows at rest: plain reads and writes, and a table of appended batches."""
 
 from __future__ import annotations
 
+import re
 import threading
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from faultfold import schemas
-from faultfold.operators.tickets import fold_occurrences, merge_delta
+from faultfold.operators.scan import join_null_safe
+from faultfold.operators.tickets import assign_ids, fold_occurrences
+from faultfold.session import materialize
 
 COLUMNS = schemas.column_names(schemas.TICKET)
-INDEX = (
-    "created_date string, day_version bigint, first_id bigint, last_id bigint, "
-    "max_id_before bigint, writer string, batch bigint, done map<string,bigint>, version bigint"
+KEY = schemas.TICKET_KEY
+CHANGE = (
+    "fingerprint_hash string, app string, created_date string, id bigint, n bigint, "
+    "first_seq bigint, first struct<seen:timestamp,classification:string,severity:string,"
+    "component:string,fingerprint:string>, last struct<raw_line:string,arrival_ts:timestamp>, "
+    "status string, message_id string, attempt bigint, done array<int>, failed boolean, "
+    "commit bigint"
 )
+CHANGE_TYPES = {n: t for n, t in re.findall(r"(\w+) ((?:struct<[^>]*>|array<int>|\w+))(?:, |$)", CHANGE)}
+BASE = "base"
 
 
-@dataclass(frozen=True)
-class Day:
-    """Where the current files of a day are, and the ids in them."""
+class Commit(NamedTuple):
+    """One appended batch. A compaction is written under the number of the last commit it covers."""
 
-    version: int
-    first_id: int
-    last_id: int
-
-
-@dataclass(frozen=True)
-class Version:
-    """A state of the table: the days on record, and what has been folded in."""
-
-    number: int = 0
-    days: dict[str, Day] = field(default_factory=dict)
-    max_id_before: int = 0
-    done: dict[str, int] = field(default_factory=dict)
-
-    @property
-    def max_id(self) -> int:
-        return max([day.last_id for day in self.days.values()], default=0)
+    number: int
+    writer: str
+    batch: int
 
 
 def backfill_created_date(df: DataFrame) -> DataFrame:
@@ -81,122 +74,227 @@ def save_tickets(tickets: DataFrame, path: str) -> None:
 
 
 class TicketTable:
-    """Tickets by day; each batch writes new files for the days it touches and no others.
+    """Tickets as appended changes; a day is never rewritten.
 
-    ``days/version=<v>/created_date=<day>`` holds a day as of a version, ``index/version=<v>``
-    says which version is current for each day. The index is written last, so a batch counts
-    whole or not at all. It also records the last batch of every writer, so that a batch that
-    is run again changes nothing. Versions are handed out one at a time: let one driver own a
-    table. Readers elsewhere see each version as soon as its index is there.
+    A fold appends one row per ticket key of its batch, with an id for keys it creates; messages
+    and states append the rows they change. Reading adds the changes up per key: counts are
+    summed, the first and last line and the latest state win by commit. ``compact`` does that for
+    older commits once and for all.
+
+    Every stream has a ``writer`` name of its own. A batch that is run again replaces its own
+    commit; a batch id below the writer's last is an error, never skipped. One driver owns a
+    table and hands out commits one at a time; a commit counts once it is complete.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
         self._lock = threading.RLock()
-        self._written: Version | None = None
-        self._by_writer: dict[str, tuple[int, Version]] = {}
-
-    def _index(self, writer: str | None = None, batch_id: int | None = None) -> Version:
-        """The newest version, or the one written for the given batch.
 
-        One row per day: its size is the number of days on record, not of tickets. A table
-        that writes remembers its newest version instead of listing the index again.
-        """
-        if writer is None and self._written is not None:
-            return self._written
-        if writer in self._by_writer and self._by_writer[writer][0] == batch_id:
-            return self._by_writer[writer][1]
-        try:
-            index = self.spark.read.schema(INDEX).parquet(f"{self.path}/index")
-        except AnalysisException:
-            return Version()
-        if writer is not None:
-            index = index.filter((F.col("writer") == writer) & (F.col("batch") == batch_id))
-        newest = index.agg(F.max("version")).first()[0]
-        if newest is None:
-            return Version()
-        rows = index.filter(F.col("version") == newest).collect()
-        days = {
-            r["created_date"]: Day(r["day_version"], r["first_id"], r["last_id"]) for r in rows
-        }
-        return Version(newest, days, rows[0]["max_id_before"], dict(rows[0]["done"]))
-
-    def done(self, writer: str, batch_id: int) -> bool:
-        return self._index().done.get(writer, -1) >= batch_id
+    # -- commits ---------------------------------------------------------------------------
+
+    def _commits(self) -> list[Commit]:
+        """Complete commits in order: one short name for each since the last compaction."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        files = root.getFileSystem(conf)
+        if not files.exists(root):
+            return []
+        found = []
+        for status in files.listStatus(root):
+            name = status.getPath().getName()
+            if files.exists(jvm.org.apache.hadoop.fs.Path(root, f"{name}/_SUCCESS")):
+                number, writer, batch = name.split(",")
+                found.append(Commit(int(number), writer, int(batch)))
+        return sorted(found)
+
+    def _number(self, writer: str, batch: int) -> tuple[int, list[Commit]]:
+        """The commit number of a batch, and the commits before it."""
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", writer) or writer == BASE:
+            raise ValueError(f"writer name {writer!r}")
+        commits = self._commits()
+        own = [c for c in commits if c.writer == writer]
+        if own and own[-1].batch > batch:
+            raise ValueError(f"writer {writer!r} is at batch {own[-1].batch}, not at {batch}")
+        if own and own[-1].batch == batch:
+            return own[-1].number, [c for c in commits if c.number < own[-1].number]
+        return (commits[-1].number + 1 if commits else 1), commits
+
+    def _write(self, rows: DataFrame, number: int, writer: str, batch: int) -> None:
+        wide = rows.withColumns(
+            {n: F.lit(None).cast(t) for n, t in CHANGE_TYPES.items() if n not in rows.columns}
+        )
+        wide = wide.withColumn("commit", F.lit(number).cast("bigint")).select(*CHANGE_TYPES)
+        wide.write.mode("overwrite").parquet(self._folder(number, writer, batch))
+
+    def _changes(self, commits: list[Commit]) -> DataFrame:
+        bases = [c for c in commits if c.writer == BASE]
+        if bases:
+            covered = bases[-1].batch
+            commits = [bases[-1], *[c for c in commits if c.number > covered and c.writer != BASE]]
+        if not commits:
+            return self.spark.createDataFrame([], CHANGE)
+        paths = [self._folder(c.number, c.writer, c.batch) for c in commits]
+        return self.spark.read.schema(CHANGE).parquet(*paths)
+
+    def compact(self) -> None:
+        """Add up all commits but the last of each writer, which may still be run again."""
+        with self._lock:
+            commits = self._commits()
+            last = {c.writer: c.number for c in commits if c.writer != BASE}
+            covered = [c for c in commits if last and c.number < min(last.values())]
+            if len([c for c in covered if c.writer != BASE]) < 2:
+                return
+            number = covered[-1].number
+            changes = self._changes(covered)
+            events = changes.filter("attempt is not null").groupBy(*KEY, "attempt").agg(*_merged())
+            state = _summed(changes).unionByName(events, allowMissingColumns=True)
+            self._write(state, number, BASE, number)
+            bases = [c for c in commits if c.writer == BASE]
+            if bases:  # what the compaction before this one covered is read by nobody any more
+                self._delete([c for c in commits if c.number <= bases[-1].number])
+
+    def _delete(self, commits: list[Commit]) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for c in commits:
+            path = jvm.org.apache.hadoop.fs.Path(self._folder(c.number, c.writer, c.batch))
+            path.getFileSystem(conf).delete(path, True)
+
+    def _folder(self, number: int, writer: str, batch: int) -> str:
+        return f"{self.path}/log/{number:012d},{writer},{batch}"
+
+    # -- reading ---------------------------------------------------------------------------
 
     def read(self, days: list[str] | None = None) -> DataFrame:
         """Current tickets, of all days or of the given ones."""
-        return self._read(self._index(), days)
-
-    def days_with_ids(self, first: int, last: int) -> list[str]:
-        """Days that may hold ids in this range; ids grow with time, so usually few."""
-        days = self._index().days.items()
-        return [d for d, at in days if at.first_id <= last and at.last_id >= first]
-
-    def _read(self, version: Version, days: list[str] | None = None) -> DataFrame:
-        chosen = {d: at for d, at in version.days.items() if days is None or d in days}
-        if not chosen:
-            return self.spark.createDataFrame([], schemas.TICKET)
-        root = f"{self.path}/days"
-        paths = [f"{root}/version={at.version}/created_date={d}" for d, at in sorted(chosen.items())]
-        reader = self.spark.read.option("basePath", root)
-        return reader.schema(schemas.TICKET + ", version bigint").parquet(*paths).select(*COLUMNS)
-
-    def upsert(self, occ: DataFrame, batch_id: int, writer: str = "fold") -> None:
-        """Fold a batch of classified occurrences in. The occurrences are read once."""
-        with self._lock:
-            if self.done(writer, batch_id):
-                return
-            folded = f"{self.path}/folded/{writer}={batch_id}"
-            keyed = fold_occurrences(occ)
-            keyed.write.mode("overwrite").parquet(folded)
-            delta = self.spark.read.schema(keyed.schema).parquet(folded)
-            days = days_of(delta)
-            if not days:
-                return
-            version = self._index()
-            merged = merge_delta(delta, self._read(version, days), F.lit(version.max_id))
-            self.replace(merged, batch_id, writer)
+        return _as_rows(_summed(_of_days(self._changes(self._commits()), days)))
+
+    def created_in(self, batch_id: int, writer: str) -> DataFrame:
+        """Tickets as the given batch created them."""
+        own = [c for c in self._commits() if (c.writer, c.batch) == (writer, batch_id)]
+        return _as_rows(_summed(self._changes(own).filter("id is not null")))
+
+    # -- writing ---------------------------------------------------------------------------
 
-    def replace(self, tickets: DataFrame, batch_id: int, writer: str) -> None:
-        """Write the next version of whole days, as they were read and then changed."""
+    def upsert(self, occ: DataFrame, batch_id: int, writer: str) -> None:
+        """Append what a batch of classified occurrences adds. The occurrences are read once.
+
+        Keys whose ticket is closed are left out; keys without a ticket get the next ids.
+        """
         with self._lock:
-            if self.done(writer, batch_id):
-                return
-            old = self._index()
-            number = old.number + 1
-            target = f"{self.path}/days/version={number}"
-            by_day(tickets).write.mode("overwrite").partitionBy("created_date").parquet(target)
-            written = self.spark.read.schema(schemas.TICKET).parquet(target)
-            ranges = written.groupBy("created_date").agg(
-                F.min("id").alias("first_id"), F.max("id").alias("last_id")
+            number, before = self._number(writer, batch_id)
+            delta = materialize(fold_occurrences(occ), "delta")
+            known = self._changes(before)
+            first, last = delta.agg(F.min("created_date"), F.max("created_date")).first()
+            near = known.filter(F.col("created_date").between(first, last) | F.col("created_date").isNull())
+            near = join_null_safe(near, delta.select(*KEY), KEY, "left_semi")
+            state = _summed(near).select(*KEY, "id", "status")
+            state = state.withColumnsRenamed({"id": "_id", "status": "_status"})
+            joined = join_null_safe(delta, state, KEY, "left")
+            new = joined.filter("_id is null").drop("_id", "_status")
+            closed = F.coalesce(F.col("_status").isin(*schemas.CLOSED_STATUSES), F.lit(False))
+            old = joined.filter(F.col("_id").isNotNull() & ~closed).drop("_id", "_status")
+            top = known.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
+            rows = assign_ids(new, top, "first_seq", KEY).unionByName(old, allowMissingColumns=True)
+            self._write(rows, number, writer, batch_id)
+
+    def set_messages(self, outcomes: DataFrame, batch_id: int, writer: str) -> None:
+        """Append message ids, and pending for tickets whose publishing failed."""
+        failed = F.col("error").isNotNull()
+        rows = outcomes.select(
+            F.col("ticket_id").alias("_id"),
+            F.when(~failed, F.col("message_id")).alias("message_id"),
+            F.when(failed, "pending").alias("status"),
+        )
+        self._append_by_id(rows, batch_id, writer)
+
+    def set_status(self, updates: DataFrame, batch_id: int, writer: str) -> None:
+        """Append states: ``ticket_id``, ``status``, one row per ticket. Unknown ids are ignored."""
+        self._append_by_id(updates.select(F.col("ticket_id").alias("_id"), "status"), batch_id, writer)
+
+    def add_outcomes(self, events: DataFrame, actions: DataFrame, batch_id: int, writer: str) -> None:
+        """Append worker events and the states that follow from all events so far.
+
+        ``events`` has ``ticket_id``, ``attempt``, ``pos`` and ``status``. Per ticket the latest
+        attempt decides: failed if an action failed, done once every action of the ticket's app
+        is done, else in progress. ``actions`` has a row for each ``app`` and ``pos``.
+        """
+        with self._lock:
+            number, before = self._number(writer, batch_id)
+            known = self._changes(before)
+            done = F.when(F.col("status") == "done", F.col("pos"))
+            fresh = (
+                events.filter("ticket_id > 0")
+                .groupBy(F.col("ticket_id").alias("_id"), "attempt")
+                .agg(F.collect_set(done).alias("done"), F.max(F.col("status") == "failed").alias("failed"))
             )
-            days = dict(old.days)
-            for row in ranges.collect():
-                days[row["created_date"]] = Day(number, row["first_id"], row["last_id"])
-            version = Version(number, days, old.max_id, {**old.done, writer: batch_id})
-            self._write_index(version, writer, batch_id)
-            self._written = version
-            self._by_writer[writer] = (batch_id, version)
-
-    def _write_index(self, version: Version, writer: str, batch_id: int) -> None:
-        rows = [
-            (d, at.version, at.first_id, at.last_id, version.max_id_before, writer, batch_id,
-             version.done)
-            for d, at in version.days.items()
-        ]
-        entries = self.spark.createDataFrame(rows, INDEX.removesuffix(", version bigint"))
-        target = f"{self.path}/index/version={version.number}"
-        entries.coalesce(1).write.mode("overwrite").parquet(target)
-
-    def created_in(self, batch_id: int, writer: str = "fold") -> DataFrame:
-        """Tickets as the given batch created them."""
-        version = self._index(writer, batch_id)
-        touched = [d for d, at in version.days.items() if at.version == version.number]
-        return self._read(version, touched).filter(F.col("id") > version.max_id_before)
+            ids = known.filter("id is not null").select(F.col("id").alias("_id"), *KEY)
+            fresh = materialize(fresh.join(ids, "_id"), "events")
+            past = known.filter("attempt is not null")
+            past = join_null_safe(past, fresh.select(*KEY).distinct(), KEY, "left_semi")
+            both = fresh.drop("_id").unionByName(past.select(*KEY, "attempt", "done", "failed"))
+            merged = both.groupBy(*KEY, "attempt").agg(*_merged())
+            planned = actions.groupBy("app").agg(F.countDistinct("pos").alias("_planned"))
+            complete = F.size("done") >= F.coalesce("_planned", F.lit(0))
+            state = F.when(F.col("failed"), "failed").when(complete, "done").otherwise("in_progress")
+            states = merged.join(planned, "app", "left").groupBy(*KEY).agg(
+                F.max_by(state, "attempt").alias("status")
+            )
+            rows = join_null_safe(fresh.drop("_id"), states, KEY)
+            self._write(rows, number, writer, batch_id)
+
+    def _append_by_id(self, rows: DataFrame, batch_id: int, writer: str) -> None:
+        with self._lock:
+            number, before = self._number(writer, batch_id)
+            ids = self._changes(before).filter("id is not null").select(F.col("id").alias("_id"), *KEY)
+            self._write(rows.join(ids, "_id").drop("_id"), number, writer, batch_id)
+
+
+def _merged() -> list[Column]:
+    """Events of a ticket's attempt added up: the positions done, and whether one failed."""
+    return [
+        F.array_distinct(F.flatten(F.collect_list("done"))).alias("done"),
+        F.max("failed").alias("failed"),
+    ]
+
+
+def _of_days(changes: DataFrame, days: list[str] | None) -> DataFrame:
+    if days is None:
+        return changes
+    day = F.col("created_date")
+    return changes.filter(day.isin([d for d in days if d is not None]) | (day.isNull() & F.lit(None in days)))
+
+
+def _summed(changes: DataFrame) -> DataFrame:
+    """Changes added up to one row per ticket key."""
+    at, folded = F.col("commit"), F.col("n").isNotNull()
+    return changes.groupBy(*KEY).agg(
+        F.min("id").alias("id"),
+        F.sum("n").alias("n"),
+        F.min_by("first", F.when(folded, at)).alias("first"),
+        F.max_by("last", F.when(folded, at)).alias("last"),
+        F.max_by("status", F.when(F.col("status").isNotNull(), at)).alias("status"),
+        F.max_by("message_id", F.when(F.col("message_id").isNotNull(), at)).alias("message_id"),
+    )
 
 
-def days_of(df: DataFrame) -> list[str]:
-    """Days present in a batch: a handful of strings, whatever the batch size."""
-    return [r[0] for r in df.select("created_date").distinct().collect()]
+def _as_rows(summed: DataFrame) -> DataFrame:
+    """Ticket rows of summed changes."""
+    seen = F.date_trunc("second", F.col("first.seen"))
+    later = F.date_trunc("second", F.col("last.arrival_ts"))
+    return summed.select(
+        "id",
+        "app",
+        "fingerprint_hash",
+        F.col("first.fingerprint").alias("fingerprint_text"),
+        F.col("first.classification").alias("classification"),
+        F.col("first.severity").alias("severity"),
+        F.col("first.component").alias("component"),
+        F.col("last.raw_line").alias("raw_log"),
+        seen.alias("first_seen"),
+        F.when(F.col("n") == 1, seen).otherwise(later).alias("last_seen"),
+        "created_date",
+        F.col("n").alias("occurrence_count"),
+        F.coalesce("status", F.lit("open")).alias("status"),
+        F.coalesce("message_id", F.lit("")).alias("message_id"),
+    )

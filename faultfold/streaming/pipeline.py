@@ -1,7 +1,8 @@
 """Structured Streaming: periodic ingest, ticket state per micro-batch, publishing.
 
-State is kept in ``TicketTable`` and updated from ``foreachBatch``. Every step is keyed by the
-batch id, so a batch that is run again after a failure leaves the same result.
+State is kept in ``TicketTable``, to which ``foreachBatch`` steps append. Every step is keyed by
+its stream's writer name and the batch id, so a batch that is run again after a failure leaves the
+same result, and several streams can share a table.
 """
 
 from __future__ import annotations
@@ -13,15 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultfold.operators.classify import occurrences_of
-from faultfold.operators.tickets import (
-    apply_publish_outcomes,
-    apply_status,
-    status_from_events,
-)
 from faultfold.session import materialize
-from faultfold.sources.logs import with_sequence
-from faultfold.sources.messages import message_ids, ticket_messages, write_ticket_messages
-from faultfold.sources.tickets import TicketTable, days_of
+from faultfold.sources.logs import dedupe_overlap, with_sequence
+from faultfold.sources.messages import ticket_messages, write_ticket_messages
+from faultfold.sources.tickets import TicketTable
 
 # Fixed value: seconds between polls when none are given.
 DEFAULT_INTERVAL_S = 30
@@ -49,6 +45,7 @@ def start_ingest(
 
 def fold_batch(
     table: TicketTable,
+    writer: str,
     classify: Callable[[DataFrame], DataFrame] | None = None,
     hash_on: str = "dedupe_text",
     day_basis: str = "arrival",
@@ -64,40 +61,59 @@ def fold_batch(
     def process(batch: DataFrame, batch_id: int) -> None:
         entries = with_sequence(batch)
         entries = classify(entries) if classify else entries
-        table.upsert(occurrences_of(entries, hash_on, day_basis), batch_id)
+        table.upsert(occurrences_of(entries, hash_on, day_basis), batch_id, writer)
 
     return process
 
 
 def stream_tickets(
-    stream: DataFrame, table: TicketTable, checkpoint: str, available_now: bool = False, **options
+    stream: DataFrame,
+    table: TicketTable,
+    checkpoint: str,
+    writer: str,
+    available_now: bool = False,
+    overlap_keys: list[str] | None = None,
+    **options,
 ) -> StreamingQuery:
-    """Tickets from a stream of log entries."""
+    """Tickets from a stream of log entries. Each stream on a table has a ``writer`` of its own.
+
+    Polls look back two intervals, so a source that is polled delivers lines again. With
+    ``overlap_keys``, the columns that tell a source's lines apart, each line counts once.
+    """
     interval = options.pop("interval_s", DEFAULT_INTERVAL_S)
-    step = fold_batch(table, **options)
+    if overlap_keys:
+        stream = dedupe_overlap(stream, overlap_keys, f"{4 * (interval or DEFAULT_INTERVAL_S)} seconds")
+    step = fold_batch(table, writer, **options)
     return start_ingest(stream, step, checkpoint, interval, available_now)
 
 
 def publish_new(
     table: TicketTable,
     batch_id: int,
+    writer: str,
     path: str,
     send: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Publish the tickets a batch created, once, and return the outcome per ticket.
 
-    Messages go to ``path/batch=<id>``; a second run replaces that folder with the same
+    Messages go to ``path/<writer>/batch=<id>``; a second run replaces that folder with the same
     content. The time of publishing is the newest ``last_seen`` of the batch, so that it does
-    not change on a second run either. ``send`` may replace the file sink: it takes the
-    messages and returns ``ticket_id``, ``message_id`` and ``error``.
+    not change on a second run either. The counter of a message id is the ticket's id: it never
+    starts again, so ids stay unique over all batches and writers. ``send`` may replace the file
+    sink: it takes the messages and returns ``ticket_id``, ``message_id`` and ``error``.
     """
-    created = table.created_in(batch_id)
+    created = table.created_in(batch_id, writer)
     messages = ticket_messages(created)
     if send is not None:
         return send(messages)
     published_at = created.agg(F.max("last_seen")).scalar()
-    numbered = message_ids(messages, published_at)
-    folder = f"{path}/batch={batch_id}"
+    numbered = messages.withColumn("published_at", published_at).withColumn(
+        "mock_message_id",
+        F.concat_ws(
+            "-", F.lit("mock-msg"), F.unix_millis("published_at").cast("string"), F.col("ticket_id").cast("string")
+        ),
+    )
+    folder = f"{path}/{writer}/batch={batch_id}"
     write_ticket_messages(numbered, folder, mode="overwrite")
     return table.spark.read.text(folder).select(
         F.get_json_object("value", "$.ticket_id").cast("bigint").alias("ticket_id"),
@@ -108,51 +124,50 @@ def publish_new(
 
 def fold_and_publish(
     table: TicketTable,
+    writer: str,
     path: str,
     classify: Callable[[DataFrame], DataFrame] | None = None,
     send: Callable[[DataFrame], DataFrame] | None = None,
     **options,
 ) -> Callable[[DataFrame, int], None]:
     """Batch step: fold, publish the new tickets, store message ids and failures."""
+    fold = fold_batch(table, writer, classify, **options)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        fold_batch(table, classify, **options)(batch, batch_id)
-        days = days_of(table.created_in(batch_id))
-        if not days or table.done("publish", batch_id):
-            return
-        outcomes = materialize(publish_new(table, batch_id, path, send), "outcomes")
-        table.replace(apply_publish_outcomes(table.read(days), outcomes), batch_id, "publish")
+        fold(batch, batch_id)
+        outcomes = materialize(publish_new(table, batch_id, writer, path, send), "outcomes")
+        table.set_messages(outcomes, batch_id, f"{writer}.publish")
 
     return process
 
 
-def status_batch(table: TicketTable) -> Callable[[DataFrame, int], None]:
-    """Batch step: apply worker events to the days of the tickets they name.
+def status_batch(
+    table: TicketTable, actions: DataFrame, writer: str = "status"
+) -> Callable[[DataFrame, int], None]:
+    """Batch step: store the ticket states that follow from worker events.
 
-    Every state may follow every other: a failed ticket that is delivered again goes back to
-    in progress, without a limit on attempts.
+    A ticket is in progress until every action of its app is done, whatever batch the events
+    come in. A failed ticket that is delivered again goes back to in progress, without a limit
+    on attempts. Events have ``ticket_id``, ``attempt``, ``pos`` and ``status``.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        latest = materialize(status_from_events(batch), "status")
-        first, last = latest.agg(F.min("ticket_id"), F.max("ticket_id")).first()
-        if first is None:
-            return
-        near = table.read(table.days_with_ids(first, last))
-        ids = latest.select(F.col("ticket_id").alias("id"))
-        days = days_of(near.join(ids, "id", "left_semi"))
-        if days:
-            updates = latest.withColumn("seq", F.lit(0))
-            table.replace(apply_status(table.read(days), updates), batch_id, "status")
+        table.add_outcomes(batch, actions, batch_id, writer)
 
     return process
 
 
 def stream_status(
-    events: DataFrame, table: TicketTable, checkpoint: str, available_now: bool = False
+    events: DataFrame,
+    table: TicketTable,
+    actions: DataFrame,
+    checkpoint: str,
+    available_now: bool = False,
+    writer: str = "status",
 ) -> StreamingQuery:
     """Ticket states from a stream of worker events."""
-    return start_ingest(events, status_batch(table), checkpoint, available_now=available_now)
+    step = status_batch(table, actions, writer)
+    return start_ingest(events, step, checkpoint, available_now=available_now)
 
 
 def poll_status(polls: DataFrame) -> DataFrame:

@@ -144,3 +144,22 @@ def test_delivery_lifecycle(spark):
     assert depth(2) == (2, 2)
     assert depth(40) == (3, 1)
     assert depth(301) == (4, 0)
+
+
+def test_tickets_without_actions_are_done(spark):
+    from faultfold.operators.actions import run_actions, ticket_outcomes
+
+    tickets = spark.createDataFrame(
+        [(1, "a", "c", "low"), (2, "b", "c", "low")],
+        "id bigint, app string, classification string, severity string",
+    )
+    actions = spark.createDataFrame(
+        [("a", 1, "webhook", "", "u", "c")],
+        "app string, pos int, type string, name string, url string, command string",
+    )
+
+    def fn(ticket, action):
+        raise ValueError("down")
+
+    got = ticket_outcomes(run_actions(tickets, actions, fn), tickets).collect()
+    assert {(r.ticket_id, r.status) for r in got} == {(1, "failed"), (2, "done")}

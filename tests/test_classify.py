@@ -53,7 +53,7 @@ def test_rule_list_and_tables_agree_with_plain_python(spark, texts):
     ways = [
         classify_by_rules(df),
         classify_with_rule_table(df, table),
-        classify_with_rule_table(df, table, inline_keywords=0),
+        classify_with_rule_table(df, table),
     ]
     expected = [tuple(first_rule(t)[1:]) for t in texts]
     for way in ways:
@@ -71,7 +71,7 @@ def test_large_table_with_short_and_empty_keywords(spark):
     rows = [(n, *r) for n, r in enumerate(rules, start=1)]
     table = spark.createDataFrame(rows, schemas.RULE)
     df = lines(spark, ["a zz q", "q", "Straße 9", "straße 8", "", "z"])
-    got = classify_with_rule_table(df, table, inline_keywords=0).orderBy("arrival_seq")
+    got = classify_with_rule_table(df, table).orderBy("arrival_seq")
     assert [r.classification for r in got.collect()] == [
         "two",
         "one",

@@ -18,7 +18,7 @@ FULL = '{"classification":"c","severity":"high","component":"db","fingerprint":"
 
 ACCEPTED = {
     FULL: ("c", "high", "db", "f"),
-    f"Here is the analysis: {FULL} bye": ("c", "high", "db", "f"),
+    f"The model says: {FULL} bye": ("c", "high", "db", "f"),
     "{}": ("unknown_error", "medium", "unknown", "unknown_error"),
     '{"classification":"x","component":""}': ("x", "medium", "unknown", "x"),
     '{"Classification":"x","SEVERITY":"low"}': ("x", "low", "unknown", "x"),
@@ -28,8 +28,8 @@ ACCEPTED = {
     '{"ſeverity":"low"}': ("unknown_error", "low", "unknown", "unknown_error"),
 }
 REJECTED = [
-    "no json here at all",
-    '{"classification": "foo", "severity":}',
+    "plain words only",
+    '{"classification": "half", "severity": }',
     '{"classification": 5}',
     '{"classification": 5, "classification": "a"}',
     "{'classification': 'a'}",

@@ -1,6 +1,6 @@
 import pytest
 
-from faultfold.session import materialize, shared_folder
+from faultfold.session import materialize, shared_folder, use_shared_folder
 
 
 class Fake:
@@ -22,11 +22,17 @@ def test_folder_of_the_session_is_used():
     assert shared_folder(Fake("spark://x", "hdfs://y/z/")) == "hdfs://y/z"
 
 
-def test_only_local_mode_may_invent_a_folder():
-    local = Fake("local[2]")
-    assert shared_folder(local) == shared_folder(local)
-    with pytest.raises(RuntimeError):
-        shared_folder(Fake("yarn"))
+def test_a_missing_folder_is_an_error():
+    for master in ("local[2]", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_folder(Fake(master))
+
+
+def test_a_folder_can_be_named():
+    session = Fake("local[3]")
+    use_shared_folder(session, "hdfs://a/b/")
+    assert shared_folder(session) == "hdfs://a/b"
+    assert shared_folder(Fake("local[3]", "hdfs://y")) == "hdfs://y"
 
 
 def test_materialize_cuts_the_plan(spark):

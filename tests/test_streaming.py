@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from faultfold.operators import tickets
@@ -37,7 +38,9 @@ def test_stream_equals_batch_over_several_batches(spark, data, tmp_path):
     entries = landed(spark, data, str(tmp_path / "in"))
     table = TicketTable(spark, str(tmp_path / "tickets"))
     stream = stream_of(spark, entries, str(tmp_path / "in"))
-    query = pipeline.stream_tickets(stream, table, str(tmp_path / "cp"), available_now=True)
+    query = pipeline.stream_tickets(
+        stream, table, str(tmp_path / "cp"), "logs", available_now=True
+    )
     query.awaitTermination()
     assert len(query.recentProgress) >= 4
     batch = tickets.upsert_tickets(occurrences_of(entries))
@@ -51,7 +54,7 @@ def test_publish_once_and_mark_failures(spark, data, tmp_path):
     table = TicketTable(spark, str(tmp_path / "tickets"))
     queue = str(tmp_path / "queue")
     stream = stream_of(spark, entries, str(tmp_path / "in"))
-    step = pipeline.fold_and_publish(table, queue)
+    step = pipeline.fold_and_publish(table, "logs", queue)
     pipeline.start_ingest(stream, step, str(tmp_path / "cp"), available_now=True).awaitTermination()
     ok, rejects = read_ticket_messages(
         spark.read.option("recursiveFileLookup", "true").text(queue), "value"
@@ -61,8 +64,8 @@ def test_publish_once_and_mark_failures(spark, data, tmp_path):
     assert table.read().filter("message_id = ''").count() == 0
 
     before = table.read().collect()
-    step(entries.limit(50), 1)
-    assert sorted(table.read().collect()) == sorted(before)
+    query_batches = len(list((tmp_path / "queue/logs").glob("batch=*")))
+    assert query_batches == 2 and sorted(table.read().collect()) == sorted(before)
 
 
 def test_failed_publish_leaves_tickets_pending(spark, data, tmp_path):
@@ -78,7 +81,7 @@ def test_failed_publish_leaves_tickets_pending(spark, data, tmp_path):
             F.when(failed, "down").alias("error"),
         )
 
-    step = pipeline.fold_and_publish(table, str(tmp_path / "q"), send=send)
+    step = pipeline.fold_and_publish(table, "logs", str(tmp_path / "q"), send=send)
     step(given.logs(spark, data), 0)
     rows = table.read().collect()
     assert {(r.id % 2, r.status) for r in rows} == {(0, "pending"), (1, "open")}
@@ -88,77 +91,113 @@ def test_failed_publish_leaves_tickets_pending(spark, data, tmp_path):
 def test_repeated_batch_changes_nothing(spark, data, tmp_path):
     table = TicketTable(spark, str(tmp_path / "tickets"))
     occ = occurrences_of(given.logs(spark, data))
-    table.upsert(occ, 0)
+    table.upsert(occ, 0, "a")
     first = sorted(table.read().collect())
-    table.upsert(occ, 0)
+    table.upsert(occ, 0, "a")
     assert sorted(table.read().collect()) == first
     restarted = TicketTable(spark, str(tmp_path / "tickets"))
-    restarted.upsert(occ, 0)
+    restarted.upsert(occ, 0, "a")
     assert sorted(restarted.read().collect()) == first
-    restarted.upsert(occ, 1)
+    restarted.upsert(occ, 1, "a")
     assert sum(r.occurrence_count for r in restarted.read().collect()) == 2 * occ.count()
-    fresh = TicketTable(spark, str(tmp_path / "tickets"))
-    for reader in (restarted, fresh):
-        assert reader.created_in(1).count() == 0
-        assert reader.created_in(0).count() == len(first)
-    assert len(fresh.days_with_ids(1, 1)) == 1
-    assert fresh.days_with_ids(len(first) + 1, 2**60) == []
+    assert restarted.created_in(1, "a").count() == 0
+    assert restarted.created_in(0, "a").count() == len(first)
+    with pytest.raises(ValueError, match="is at batch 1"):
+        restarted.upsert(occ, 0, "a")
+
+
+def test_two_writers_share_a_table(spark, data, tmp_path):
+    """Batches with equal ids of two streams, a state and a compaction between them: nothing is lost."""
+    table = TicketTable(spark, str(tmp_path / "tickets"))
+    occ = occurrences_of(given.logs(spark, data))
+    parts = [occ.filter(F.col("arrival_seq") % 4 == k) for k in range(4)]
+    table.upsert(parts[0], 0, "a")
+    table.upsert(parts[1], 0, "b")
+    table.set_status(spark.createDataFrame([(1, "in_progress")], "ticket_id bigint, status string"), 0, "s")
+    table.upsert(parts[2], 1, "a")
+    before = sorted(table.read().collect())
+    table.compact()
+    assert sorted(table.read().collect()) == before
+    table.upsert(parts[3], 1, "b")
+    table.upsert(parts[3].limit(0), 1, "s2")
+    table.compact()
+    rows = table.read().collect()
+    assert sum(r.occurrence_count for r in rows) == occ.count()
+    assert sorted(r.id for r in rows) == list(range(1, len(rows) + 1))
+    assert {r.id for r in rows if r.status != "open"} == {1}
 
 
 def test_interrupted_batch_is_redone(spark, data, tmp_path, monkeypatch):
-    """A batch that fails before its index is written leaves the table as it was."""
+    """A batch that fails before it is complete leaves the table as it was."""
     table = TicketTable(spark, str(tmp_path / "tickets"))
     occ = occurrences_of(given.logs(spark, data))
-    early = occ.filter("arrival_seq < 400")
-    late = occ.filter("arrival_seq >= 400")
-    table.upsert(early, 0)
+    table.upsert(occ.filter("arrival_seq < 400"), 0, "a")
     before = sorted(table.read().collect())
+    late = occ.filter("arrival_seq >= 400")
 
     def fail(*args, **kwargs):
         raise RuntimeError("driver lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(TicketTable, "_write_index", fail)
-        try:
-            table.upsert(late, 1)
-            raise AssertionError("the failure should surface")
-        except RuntimeError:
-            pass
+        patch.setattr(TicketTable, "_write", fail)
+        with pytest.raises(RuntimeError):
+            table.upsert(late, 1, "a")
+    (tmp_path / "tickets/log/000000000002,a,1").mkdir()
     assert sorted(table.read().collect()) == before
-    table.upsert(late, 1)
+    table.upsert(late, 1, "a")
     assert same(table.read(), tickets.upsert_tickets(occ))
 
 
 def test_status_stream(spark, data, tmp_path):
+    """Done only once every action is done, over batches; failed and delivered again in progress."""
     table = TicketTable(spark, str(tmp_path / "tickets"))
-    table.upsert(occurrences_of(given.logs(spark, data)), 0)
-    schema = "ticket_id bigint, status string, seq bigint"
+    table.upsert(occurrences_of(given.logs(spark, data)), 0, "a")
+    apps = {r.id: r.app for r in table.read().collect()}
+    actions = spark.createDataFrame(
+        [(apps[1], 1), (apps[1], 2), (apps[2], 1), (apps[2], 2)], "app string, pos int"
+    ).distinct()
+    schema = "ticket_id bigint, attempt bigint, pos int, status string"
     events = str(tmp_path / "events")
     rounds = [
-        [(1, "processing", 1), (2, "processing", 1)],
-        [(1, "done", 2), (2, "failed", 2), (0, "done", 1)],
-        [(2, "processing", 3), (99999999, "done", 1)],
+        [(1, 1, 1, "processing"), (2, 1, 1, "processing"), (1, 1, 1, "done")],
+        [(2, 1, 1, "failed"), (0, 1, 1, "done")],
+        [(1, 1, 2, "processing"), (1, 1, 2, "done"), (2, 2, 1, "processing"), (99999999, 1, 1, "done")],
     ]
+    seen = []
     for rows in rounds:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(events)
         stream = spark.readStream.schema(schema).parquet(events)
-        pipeline.stream_status(stream, table, str(tmp_path / "cp"), True).awaitTermination()
-    by_id = {r.id: r.status for r in table.read().collect()}
-    assert (by_id[1], by_id[2], by_id[3]) == ("done", "in_progress", "open")
+        pipeline.stream_status(stream, table, actions, str(tmp_path / "cp"), True).awaitTermination()
+        by_id = {r.id: r.status for r in table.read().collect()}
+        seen.append((by_id[1], by_id[2], by_id[3]))
+    assert seen == [
+        ("in_progress", "in_progress", "open"),
+        ("in_progress", "failed", "open"),
+        ("done", "in_progress", "open"),
+    ]
 
 
 def test_closed_tickets_stay_closed_across_batches(spark, data, tmp_path):
     table = TicketTable(spark, str(tmp_path / "tickets"))
     occ = occurrences_of(given.logs(spark, data))
-    table.upsert(occ, 0)
-    closed = table.read().withColumn("status", F.lit("done"))
-    table.replace(closed, 0, "status")
-    table.upsert(occ, 1)
+    table.upsert(occ, 0, "a")
+    table.set_status(table.read().select(F.col("id").alias("ticket_id"), F.lit("done").alias("status")), 0, "s")
+    table.upsert(occ, 1, "a")
     rows = table.read().collect()
     assert {r.status for r in rows} == {"done"}
     assert sum(r.occurrence_count for r in rows) == occ.count()
 
 
+def test_message_ids_are_unique_over_batches(spark, data, tmp_path):
+    table = TicketTable(spark, str(tmp_path / "tickets"))
+    step = pipeline.fold_and_publish(table, "logs", str(tmp_path / "q"))
+    entries = given.logs(spark, data)
+    step(entries.filter("arrival_seq < 400"), 0)
+    step(entries.filter("arrival_seq >= 400"), 1)
+    ids = [r.message_id for r in table.read().collect()]
+    assert len(set(ids)) == len(ids) and "" not in ids
+
+
 def test_overlap(spark, data, tmp_path):
     entries = given.logs(spark, data)
     polled = poll_batches(entries, 3600)
@@ -185,11 +224,11 @@ def test_late_lines_join_the_day_of_arrival(spark, tmp_path):
         "'l' raw_line, 'k' dedupe_key, timestamp'2024-01-03 10:00:00' arrival_ts, 1L arrival_seq"
     )
     table = TicketTable(spark, str(tmp_path / "arrival"))
-    pipeline.fold_batch(table)(rows, 0)
+    pipeline.fold_batch(table, "logs")(rows, 0)
     row = table.read().first()
     assert row.created_date == "2024-01-03" and row.first_seen.day == 1
     own = TicketTable(spark, str(tmp_path / "event"))
-    pipeline.fold_batch(own, day_basis="event")(rows, 0)
+    pipeline.fold_batch(own, "logs", day_basis="event")(rows, 0)
     assert own.read().first().created_date == "2024-01-01"
 
 
@@ -212,6 +251,8 @@ def test_stream_text_logs(spark, tmp_path):
     (folder / "a.log").write_text("ERROR db down\n# x\nplain\n")
     table = TicketTable(spark, str(tmp_path / "t"))
     stream = stream_text_logs(spark, str(folder), "web", F.current_timestamp())
-    pipeline.stream_tickets(stream, table, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    pipeline.stream_tickets(
+        stream, table, str(tmp_path / "cp"), "logs", available_now=True
+    ).awaitTermination()
     got = {r.raw_log.split("] ")[1]: r.classification for r in table.read().collect()}
     assert got == {"ERROR db down": "database_connection_timeout", "ERROR plain": "unknown_error"}

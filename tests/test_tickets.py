@@ -91,12 +91,11 @@ def known_table(seed):
     return table
 
 
-@pytest.fixture(params=[(18, 100_000), (18, 0), (3, 0)])
+@pytest.fixture(params=[18, 3])
 def blocks(request, monkeypatch):
-    """Direct numbering of small batches, and the block scan with large and tiny blocks."""
-    monkeypatch.setattr(scan, "BLOCK_BITS", request.param[0])
+    """The block scan with large and tiny blocks."""
+    monkeypatch.setattr(scan, "BLOCK_BITS", request.param)
     monkeypatch.setattr(scan, "SUPER_BITS", 4)
-    monkeypatch.setattr(tickets, "DIRECT_ROWS", request.param[1])
 
 
 def test_upsert_on_empty_table(spark, blocks):
@@ -254,3 +253,46 @@ def test_publish_outcomes(spark):
     assert (by_id[1].status, by_id[1].message_id) == ("open", "m")
     assert by_id[2].status == "pending"
     assert by_id[3].status == "open"
+
+
+def test_two_text_sources_have_one_sequence(spark, tmp_path):
+    """Lines of two files, numbered by the library: a ticket each, with ids that are all different."""
+    from pyspark.sql import functions as F
+
+    from faultfold.operators.classify import occurrences_of
+    from faultfold.sources.logs import read_text_logs, union_sources
+
+    for app in ("shop", "auth"):
+        (tmp_path / app).write_text(f"ERROR {app} one\nERROR {app} two\n")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    both = union_sources(*[read_text_logs(spark, str(tmp_path / a), a, at) for a in ("shop", "auth")])
+    assert both.select("arrival_seq").distinct().count() == 4
+    rows = tickets.upsert_tickets(occurrences_of(both)).collect()
+    assert sorted(r.id for r in rows) == [1, 2, 3, 4]
+    assert {(r.app, r.occurrence_count) for r in rows} == {("shop", 1), ("auth", 1)}
+
+
+def test_tied_sequence_numbers(spark):
+    rows = stream(6, 60)
+    tied = [{**r, "arrival_seq": 7} if isinstance(r, dict) else r for r in rows]
+    occ = spark.createDataFrame(tied, OCC)
+    got = tickets.upsert_tickets(occ).collect()
+    assert len(got) == occ.select(*tickets.KEY).distinct().count()
+    assert sorted(r.id for r in got) == list(range(1, len(got) + 1))
+
+
+def test_null_keys_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    rows = stream(8, 40)
+    occ = spark.createDataFrame(rows, OCC).withColumn(
+        "app", F.when(F.col("arrival_seq") % 2 == 0, F.col("app"))
+    ).withColumn("created_date", F.when(F.col("arrival_seq") % 3 == 0, F.col("created_date")))
+    none = spark.createDataFrame([], schemas.TICKET)
+    assert tickets.occurrences(occ, none).count() == len(rows)
+    log = occ.select(*tickets.KEY, F.lit("done").alias("status"), "arrival_seq").limit(0)
+    assert tickets.status_as_of(occ, log).count() == len(rows)
+    once = tickets.upsert_tickets(occ)
+    again = tickets.upsert_tickets(occ, once)
+    assert again.count() == once.count()
+    assert again.agg(F.sum("occurrence_count")).first()[0] == 2 * len(rows)
