@@ -62,14 +62,16 @@ def classify_with_rule_table(
     entry = F.struct("rule_no", "word", *schemas.LABELS)
     table = words.filter("word is not null").agg(F.sort_array(F.collect_list(entry))).scalar()
     # The text is a variable of the outer function, so it is folded once and not for every word.
+    both = F.array(F.struct(fold_case(text).alias("low"), F.col("_words").alias("words")))
     hits = F.transform(
-        F.array(fold_case(text)), lambda low: F.filter(table, lambda w: low.contains(w["word"]))
+        both, lambda r: F.filter(r["words"], lambda w: r["low"].contains(w["word"]))
     )
-    found = df.withColumn("_rule", F.try_element_at(F.element_at(hits, 1), F.lit(1)))
+    found = df.withColumn("_words", table)
+    found = found.withColumn("_rule", F.try_element_at(F.element_at(hits, 1), F.lit(1)))
     fallback = _labels(FALLBACK)
     for label in schemas.LABELS:
         found = found.withColumn(label, F.coalesce(F.col("_rule")[label], fallback[label]))
-    return found.drop("_rule")
+    return found.drop("_rule", "_words")
 
 
 def parse_replies(df: DataFrame, reply: str = "reply") -> tuple[DataFrame, DataFrame]:
