@@ -51,7 +51,8 @@ def run_actions(
     An exception fails the action and ends its ticket's sequence, so later actions do not
     run. The actions of an app are gathered first (their number is a matter of
     configuration); each ticket is then one row, and tickets run in parallel on all
-    executors. A lost task runs its tickets again: delivery is at least once.
+    executors. A lost task runs its tickets again: delivery is at least once. A column
+    ``attempt`` of the tickets replaces the argument.
     """
     named = actions.withColumn("action_name", action_name()).drop("name")
     details = [c for c in named.columns if c not in ("app", "pos")]
@@ -69,7 +70,7 @@ def run_actions(
                 output, error = "", str(problem) or type(problem).__name__
             yield (
                 *(ticket[c] for c in ("id", "app", "classification", "severity")),
-                attempt,
+                ticket.get("attempt", attempt),
                 action["pos"],
                 action["action_name"],
                 error != "",
@@ -128,7 +129,9 @@ def action_events(runs: DataFrame) -> DataFrame:
     )
 
 
-def ticket_outcomes(runs: DataFrame, tickets: DataFrame | None = None, attempt: int = 1) -> DataFrame:
+def ticket_outcomes(
+    runs: DataFrame, tickets: DataFrame | None = None, attempt: int = 1
+) -> DataFrame:
     """Per ticket and attempt: done if no action failed, else failed, with the failing position.
 
     ``tickets`` are those a delivery was for: one whose app has no actions has no runs, and is
@@ -136,7 +139,10 @@ def ticket_outcomes(runs: DataFrame, tickets: DataFrame | None = None, attempt:
     shuffle.
     """
     if tickets is not None:
-        given = tickets.select(F.col("id").alias("ticket_id"), F.lit(attempt).cast("bigint").alias("attempt"))
+        number = F.col("attempt") if "attempt" in tickets.columns else F.lit(attempt)
+        given = tickets.select(
+            F.col("id").alias("ticket_id"), number.cast("bigint").alias("attempt")
+        )
         found = runs.select("ticket_id", "attempt", "failed", "pos")
         runs = given.join(found, ["ticket_id", "attempt"], "left")
     return (

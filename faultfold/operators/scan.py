@@ -9,7 +9,10 @@ a single hot key may hold a third of all rows. Here the sequence number is cut i
   (key, super-block) of at most 2^22 blocks and then over at most 2^23 super-blocks.
 
 Together that is 63 bits, so the bounds hold for every non-negative bigint sequence. The
-sequence must be unique within a key.
+sequence should be unique within a key: rows that share a number share a block.
+
+The summaries are written to the shared folder once, when one of these functions is called: the
+input is read for them and for the rows, and not again for every level of the scan.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultfold.session import materialize
+
 BLOCK_BITS = 18
 SUPER_BITS = 22
 
@@ -64,6 +69,7 @@ def _prefix(blocks: DataFrame, keys: list[str], value: str, combine, scan) -> Da
 def block_counts(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Per (key, block), the number of rows in earlier blocks as ``_offset``."""
     counts = with_block(df, seq).groupBy(*keys, BLOCK).agg(F.count("*").alias("_n"))
+    counts = materialize(counts, "block-counts")
     zero = F.lit(0).cast("bigint")
     scanned = _prefix(counts, keys, "_n", lambda v, _: F.sum(v), F.sum)
     return scanned.select(
@@ -106,6 +112,7 @@ def carry_forward(df: DataFrame, keys: list[str], seq: str, value: str, out: str
     blocked = with_block(df, seq)
     present = F.when(F.col(value).isNotNull(), F.col(seq))
     lasts = blocked.groupBy(*keys, BLOCK).agg(F.max_by(value, present).alias("_last"))
+    lasts = materialize(lasts, "block-lasts")
 
     def latest(v: Column) -> Column:
         return F.last(v, ignorenulls=True)

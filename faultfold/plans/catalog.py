@@ -12,7 +12,7 @@ from faultfold import schemas
 from faultfold.functions import prompts, text
 from faultfold.functions.records import record_component
 from faultfold.operators import actions as act
-from faultfold.operators import classify, delivery, tickets, views
+from faultfold.operators import classify, delivery, tickets, views, work
 from faultfold.plans import oracle
 from faultfold.plans import views as given
 from faultfold.plans.oracle import query
@@ -1086,6 +1086,37 @@ def x3_run_actions(spark, sf_dir):
     return done.select("ticket_id", "pos", "action_name", "failed", "output", "err_msg")
 
 
+@register(
+    "z5_worker_step",
+    query(
+        "v_tickets v_actions v_delivery",
+        """
+        SELECT t.id AS message_id, 1 + coalesce(d.n, 0) AS attempt,
+          CASE WHEN t.app = 'app2' THEN 'mismatched' WHEN bad.app IS NOT NULL AND t.id % 3 = 0
+            THEN 'failed' ELSE 'deleted' END AS kind
+        FROM v_tickets t
+        LEFT JOIN (SELECT message_id, count(*) AS n FROM v_delivery WHERE kind = 'received'
+          GROUP BY message_id) d ON t.id = d.message_id
+        LEFT JOIN (SELECT DISTINCT app FROM v_actions WHERE pos = 4) bad ON t.app = bad.app""",
+    ),
+)
+def z5_worker_step(spark, sf_dir):
+    """A message for every ticket, received by the workers of two of the three apps."""
+
+    def sample_action(ticket: dict, action: dict) -> str:
+        if action["pos"] == 4 and ticket["id"] % 3 == 0:
+            raise RuntimeError("down")
+        return action["action_name"]
+
+    bodies = messages.message_bodies(messages.ticket_messages(given.tickets(spark, sf_dir)))
+    received = messages.message_attributes(bodies).select(
+        F.col("ticket_id").alias("message_id"), "body", "attributes"
+    )
+    apps = spark.createDataFrame([("app0",), ("app1",)], "app string")
+    log, actions = given.delivery_log(spark, sf_dir), given.actions(spark, sf_dir)
+    return work.process_messages(received, log, apps, actions, sample_action).deliveries
+
+
 @register(
     "x1_user_classifier",
     query(
