@@ -180,8 +180,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     queries = file.where(is_query)
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
 
+    # Both sides number blocks as int: a cogroup compares hashes of keys as they are, without casts.
     def block(count):
-        return F.pmod(F.xxhash64("vec_id"), F.lit(count))
+        return F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
 
     def every(count):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))

@@ -108,6 +108,17 @@ def test_top_k_matches_all_products(spark, monkeypatch):
         got = topk.top_k(df, F.col("vec_id") % 20 == 0, k).collect()
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == best(rows, k, lambda q: q % 20 == 0)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    # Blocks meet however many partitions they are dealt over.
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        got = topk.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == best(rows, 5, lambda q: q % 20 == 0)
 
 
 def test_tables_of_vectors(spark, data, read):
