@@ -49,7 +49,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 50"),
     Rule(1, "repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(3, "repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule(4, "word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
     Rule(5, "capitals", "100 * n_capitals > 50 * n_letters"),
     Rule(6, "shouts", "10 * n_shouts > n_words"),
