@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultfold.llm import packing, pii, quality_classifier, quality_rules
-from faultfold.llm.common import table, written
+from faultfold.llm.common import table, without_ids, written
 from faultfold.llm.near_dedup import near_duplicates
 from faultfold.llm.queries import vocabulary
 
@@ -27,8 +27,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays; those without an id stay."""
-    kept = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    copies = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return without_ids(docs, written(copies, "copies"), "doc_id")
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

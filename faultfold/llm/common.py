@@ -72,3 +72,20 @@ def sampled(rows: DataFrame, key: str, n: int) -> DataFrame:
     near = rows.where(F.pmod(hashed, F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
     keys = near.select(key).distinct().orderBy(hashed, key).limit(n)
     return rows.join(F.broadcast(keys), key, "left_semi")
+
+
+#: Slots of hashed ids that are broadcast to find the rows of a table that some ids may concern.
+SLOTS = 1 << 19
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` but those whose ``key`` is among ``ids``; null keys stay.
+
+    There are :data:`SLOTS` slots of hashed ids at most, whatever the input. Rows in a slot that no id uses are
+    kept where they lie; only the others are shuffled to be compared.
+    """
+    slots = ids.select(F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("_used")).distinct()
+    slot = F.pmod(F.xxhash64(rows[key]), F.lit(SLOTS))
+    clear = rows.join(F.broadcast(slots), slot == slots["_used"], "left_anti")
+    near = rows.join(F.broadcast(slots), slot == slots["_used"], "left_semi")
+    return clear.union(near.join(ids, key, "left_anti").select(rows.columns))

@@ -432,12 +432,12 @@ def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5, mis
     )
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     fingerprint = ["n_shingles", "high", "low"]
-    classes = written(full.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep")), "classes")
-    named = written(
-        full.join(classes, fingerprint).select("doc_id", "rep"), "members"
+    # Documents of a class have equal sets and so equal signatures; the smallest id stands for them.
+    classes = full.groupBy(*fingerprint).agg(
+        F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
     )
-    own = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = own.select(F.col("doc_id").alias("rep"), "signature", "bands")
+    reps = written(classes, "classes")
+    named = written(full.join(reps.select(*fingerprint, "rep"), fingerprint).select("doc_id", "rep"), "members")
     exploded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     crowded = exploded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     buckets = written(exploded.join(crowded.select("bucket", "pivot"), "bucket"), "buckets")
@@ -447,7 +447,8 @@ def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5, mis
     pairs = pairs.join(small.withColumnsRenamed({"rep": "a", "signature": "sig_a"}), "a")
     pairs = pairs.join(small.withColumnsRenamed({"rep": "b", "signature": "sig_b"}), "b")
     pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(bounds), "a long, b long")
-    links = verify(known, written(pairs, "candidates"), percent, words)
+    candidates = written(pairs, "candidates")
+    links = verify(known, candidates, percent, words)
     labels = written(components(links), "labels")
     members = _unresolved(buckets, labels)
     more = written(joining_links(known, members, small, bounds, percent, words), "links")
@@ -455,6 +456,8 @@ def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5, mis
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = written(components(stars.where("a <> b").union(more)), "labels")
 
+    for old in (buckets, candidates, links, reps):
+        dropped(old)
     out = named.join(labels.withColumnsRenamed({"node": "rep", "component": "joined"}), "rep", "left").select(
         "doc_id", F.coalesce("joined", "rep").alias("linked")
     )
