@@ -72,6 +72,16 @@ def test_alignment_makes_optional_and_repeated_groups():
     assert [(n.key, n.repeated) for n in pairs[0].inside] == [("#group", True)]
 
 
+def test_ids_and_classes_made_from_titles_are_no_roles():
+    page = (
+        "<article><h2 id='search-algorithms'>A</h2><h2 id='related-work'>B</h2><section id='discussion'>C</section>"
+        "<h3 id='alert-rules'>D</h3><div class='share-prices'>E</div><div class='section' id='discussion'>F</div>"
+        "<div class='comment-list'>x</div><div class='share buttons'>y</div><ul role=navigation><li>z</ul></article>"
+    )
+    assert one(page) == "\n\n".join("ABCDEF")
+    assert one(re.sub("</?article>", "", page)) == "\n\n".join("ABCDE")
+
+
 def test_null_pages_and_no_pages(spark):
     rows = [(1, None, None), (None, "odd", "<p>x</p>"), (1, "http://A.example/b", "<article>y</article>")] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))
