@@ -82,6 +82,20 @@ def test_ids_and_classes_made_from_titles_are_no_roles():
     assert one(re.sub("</?article>", "", page)) == "\n\n".join("ABCDE")
 
 
+@pytest.mark.parametrize("depth", [99, 150, 20000])
+def test_nesting_has_no_limit(depth):
+    def nest(inner, tag="div"):
+        return f"<{tag}>" * depth + inner + f"</{tag}>" * depth
+
+    assert one(nest("<article><p>a</p></article>")) == "a"
+    assert one(f"<article><div>{nest('x')}<p>after</p></div>end</article>menu") == "x\n\nafter\n\nend"
+    assert one(nest("<nav>n</nav><form>f</form><div class=comments>c</div>t")) == "t"
+    assert one(f"<article><div>{'<font>' * depth}a</div><p>b<p>c</article>") == "a\n\nb\n\nc"
+    pages = [nest(f"<b>Story {k}</b><hr>" + "<i>k</i>" * k) for k in range(3)]
+    wrapper = wrap.read_wrapper(wrap.decided(wrap.infer(pages), 3))
+    assert wrap.extract(pages[1], wrapper).startswith("Story 1")
+
+
 def test_null_pages_and_no_pages(spark):
     rows = [(1, None, None), (None, "odd", "<p>x</p>"), (1, "http://A.example/b", "<article>y</article>")] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))
