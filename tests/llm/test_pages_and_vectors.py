@@ -96,6 +96,26 @@ def test_nesting_has_no_limit(depth):
     assert wrap.extract(pages[1], wrapper).startswith("Story 1")
 
 
+def test_texts_that_differ_outside_the_sample_are_kept(spark):
+    def page(k):
+        body = "Same words" if k < 2 else f"Story {k} <b>bold {k}</b> end {k}"
+        quote = f"<blockquote>Quote {k}</blockquote>" if k % 15 == 0 else ""
+        return f"<div>Our site</div><div><h1>Title {k}</h1>{quote}<p>{body}</p></div><div>Call us</div>"
+
+    rows = [(k, "http://a.example/x", page(k)) for k in range(60)] + [(k, "http://a.example/x", page(2)) for k in range(60, 200)]
+    rows.append((200, "http://a.example/x", "<div>Changed site</div><div><h1>T</h1><p>p</p></div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in wrap.extract_pages(df).collect()}
+    for k in range(60):
+        said = "Same words" if k < 2 else f"Story {k} bold {k} end {k}"
+        quote = f"Quote {k}\n\n" if k % 15 == 0 else ""
+        assert texts[k] == f"Title {k}\n\n{quote}{said}"
+    assert texts[200] == "Changed site\n\nT\n\np"
+    # A sample of two near copies does not make their text constant.
+    near = df.where("page_id < 60")
+    assert {r.page_id: r.text for r in wrap.extract_pages(near, 2).collect()}[0].endswith("Quote 0\n\nSame words")
+
+
 def test_null_pages_and_no_pages(spark):
     rows = [(1, None, None), (None, "odd", "<p>x</p>"), (1, "http://A.example/b", "<article>y</article>")] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))
