@@ -12,6 +12,10 @@ from faultfold.functions.payload import reply_columns
 from faultfold.functions.text import contains_any, dedupe_text, fold_case, with_fingerprint
 from faultfold.plans.rules import DEFAULT_RULES, FALLBACK, Rule, effective_keywords
 
+# Characters at whose places runs are cut from one part of a long text.
+PART = 256
+
+
 def _labels(rule: Rule) -> Column:
     return F.struct(
         F.lit(rule.classification).alias("classification"),
@@ -50,28 +54,56 @@ def classify_by_rules(
 def classify_with_rule_table(
     df: DataFrame, rules: DataFrame, text: Column | None = None
 ) -> DataFrame:
-    """Same labels, with the rules in a table. Map side only: lines are neither shuffled nor copied.
+    """Same labels, with the rules in a table of any size.
 
-    The table's keywords become one array, sorted by rule, that a line is tested against; a rule
-    table is configuration, and its size is the size of that array. The keyword of the lowest
+    Every run of characters of a line that is as long as some keyword is looked up among the
+    keywords, by an equality join; only the lengths of keywords are gathered in one value. Lines
+    are known by a digest of their text there, and texts are not copied. The keyword of the lowest
     rule decides, and of equal rule numbers the smaller keyword. Null keywords match nothing, a
     null label is replaced by the fallback's.
     """
     text = dedupe_text() if text is None else text
     words = rules.select("rule_no", F.explode("keywords").alias("word"), *schemas.LABELS)
-    entry = F.struct("rule_no", "word", *schemas.LABELS)
-    table = words.filter("word is not null").agg(F.sort_array(F.collect_list(entry))).scalar()
-    # The text is a variable of the outer function, so it is folded once and not for every word.
-    both = F.array(F.struct(fold_case(text).alias("low"), F.col("_words").alias("words")))
-    hits = F.transform(
-        both, lambda r: F.filter(r["words"], lambda w: r["low"].contains(w["word"]))
-    )
-    found = df.withColumn("_words", table)
-    found = found.withColumn("_rule", F.try_element_at(F.element_at(hits, 1), F.lit(1)))
+    words = words.filter("word is not null")
+    rule = F.struct("rule_no", "word", *schemas.LABELS)
+    by_word = words.groupBy(F.col("word").alias("_gram")).agg(F.min(rule).alias("_rule"))
+    sizes = words.agg(F.collect_set(F.length("word"))).scalar()
+    low = fold_case(text)
+    keyed = df.withColumn("_key", F.unhex(F.sha2(low.cast("binary"), 256)))
+    lines = keyed.select("_key", low.alias("_low")).withColumn("_sizes", sizes)
+    grams = lines.select("_key", F.explode(_runs(F.col("_low"), F.col("_sizes"))).alias("_gram"))
+    hits = grams.join(by_word, "_gram").groupBy("_key").agg(F.min("_rule").alias("_rule"))
+    found = keyed.join(hits, "_key", "left")
     fallback = _labels(FALLBACK)
     for label in schemas.LABELS:
         found = found.withColumn(label, F.coalesce(F.col("_rule")[label], fallback[label]))
-    return found.drop("_rule", "_words")
+    return found.drop("_rule", "_key")
+
+
+def _runs(low: Column, sizes: Column) -> Column:
+    """The distinct runs of characters of the given lengths. A place in a string is found by
+    counting from its start, so long texts are cut into overlapping parts first."""
+    n = F.length(low)
+
+    def starts(last: Column, step: int) -> Column:
+        made = F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step))
+        return F.when(last >= 1, made).otherwise(F.array().cast("array<int>"))
+
+    def of_size(size: Column) -> Column:
+        def of_part(at: Column) -> Column:
+            part = F.array(F.substring(low, at, size + (PART - 1)))
+            runs = F.transform(
+                part,
+                lambda p: F.transform(
+                    starts(F.length(p) - size + 1, 1), lambda i: F.substring(p, i, size)
+                ),
+            )
+            return F.element_at(runs, 1)
+
+        parts = F.flatten(F.transform(starts(n - size + 1, PART), of_part))
+        return F.when(size == 0, F.array(F.lit(""))).otherwise(parts)
+
+    return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
 
 
 def parse_replies(df: DataFrame, reply: str = "reply") -> tuple[DataFrame, DataFrame]:
