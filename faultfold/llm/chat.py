@@ -7,10 +7,11 @@ the template rewrites history, and the spans found so far are wrong. The text a
 the same way: the turn is rendered twice more, with two texts of one different letter each. Where these
 outputs differ is the place of the text; what follows the letter follows the text.
 
-Long conversations are rendered in segments of :data:`SEGMENT` turns, so the work grows with the turns
-and not with their square; a conversation's rows are sorted and streamed, and only one segment is held.
-A template that rewrites history across segments is found by rendering each segment's first turn with
-the turn before it: the addition must be the same as without.
+Of a template nothing else is assumed, so every prefix of the whole conversation is rendered; that work grows
+with the square of its turns, and a task holds one conversation. A template may declare that it renders each
+turn the same wherever it stands (an attribute ``context_free`` that is true). Its conversations are rendered
+in segments of :data:`SEGMENT` turns, so the work grows with the turns and only one segment is held. The
+declaration is checked: each turn is rendered alone too, and each segment's first turn behind the turn before.
 
 Rows are ordered by turn, role and text. A null role or text counts as empty, rows with a null ``conv_id``
 make one conversation, repeated rows are repeated turns. Conversations without rows do not exist.
@@ -30,7 +31,7 @@ from faultfold.llm.common import bounded_batches
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Turns rendered together, and segments in an Arrow batch.
+#: Turns of a context-free template rendered together, and segments in an Arrow batch.
 SEGMENT, HELD = 64, 32
 
 _spans = pa.list_(pa.list_(pa.int64()))
@@ -76,6 +77,9 @@ def turn_template(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{escape(role)}{CLOSE}{escape(text)}{STOP}" for role, text in turns)
 
 
+turn_template.context_free = True
+
+
 def read_turns(formatted: str) -> list[Turn]:
     """The turns of what :func:`turn_template` wrote; anything else raises ``ValueError``."""
     turns = []
@@ -127,12 +131,12 @@ def rewrites_history(template: Template, turns: list[Turn]) -> bool:
     return False
 
 
-def _conversations(batches) -> Iterator[tuple[int | None, list[Turn], bool]]:
-    """Consecutive segments of turns, with their conversation and whether they are its first."""
+def _conversations(batches, size: int | None) -> Iterator[tuple[int | None, list[Turn], bool]]:
+    """Consecutive segments of at most ``size`` turns, with their conversation and whether they are its first."""
     key, held, first = None, [], True
     for batch in batches:
         for conv, role, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and (conv != key or len(held) == SEGMENT):
+            if held and (conv != key or len(held) == size):
                 yield key, held, first
                 first, held = conv != key, []
             key = conv
@@ -144,14 +148,18 @@ def _conversations(batches) -> Iterator[tuple[int | None, list[Turn], bool]]:
 def format_conversations(conversations: DataFrame, template: Template = turn_template) -> DataFrame:
     """``conv_id, segment, formatted, turn_spans, loss_spans``: segments of up to :data:`SEGMENT` turns.
 
-    ``turn_spans`` and ``loss_spans`` (of assistant texts) hold starts and ends in ``formatted``.
+    If the template does not declare to be context-free, a conversation is one segment. ``turn_spans`` and
+    ``loss_spans`` (of assistant texts) hold starts and ends in ``formatted``.
     """
     bounded_batches(conversations.sparkSession, 2048)
 
     def run(batches):
         segment, last, rows = 0, None, []
-        for conv, turns, first in _conversations(batches):
+        free = getattr(template, "context_free", False)
+        for conv, turns, first in _conversations(batches, SEGMENT if free else None):
             formatted, whole, texts = spans(template, turns)
+            if free and any(template([turn]) != formatted[a:b] for turn, (a, b) in zip(turns, whole)):
+                raise RewritesHistory("a turn is rendered differently alone")
             if not first:
                 alone, joined = template(turns[:1]), template([last, turns[0]])
                 if joined != template([last]) + alone:

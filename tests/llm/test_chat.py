@@ -3,6 +3,7 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -64,3 +65,27 @@ def test_long_conversations_nulls_ties_and_no_rows(spark):
     assert digests(chat.digests(formatted)) == plain(rows)
     assert formatted.where("conv_id = 1").count() == 4
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_other_templates_see_the_whole_conversation(spark):
+    n = 2 * chat.SEGMENT + 5
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def numbered(turns):
+        return "<s>" + "".join(f"{k}{turns[0][0]}:{chat.turn_template([turn])}" for k, turn in enumerate(turns))
+
+    got = chat.format_conversations(df, numbered).collect()
+    assert [(r.segment, r.formatted) for r in got] == [(0, numbered([(r[2], r[3]) for r in rows]))]
+    assert [got[0].formatted[a:b] for a, b in got[0].loss_spans] == [r[3] for r in rows if r[2] == "assistant"]
+
+    def recent(turns):
+        return chat.turn_template(turns[-100:])
+
+    def declared(turns):
+        return numbered(turns)
+
+    declared.context_free = True
+    for template in (recent, declared):
+        with pytest.raises(Exception, match="RewritesHistory"):
+            chat.format_conversations(df, template).collect()
