@@ -7,6 +7,12 @@ sound like licences, and a bounded sample of the corpus' own paragraphs; its con
 temperature and a threshold chosen on variants that were held back. A prediction is confirmed if the
 paragraph holds at least :data:`SIMILAR` of the word trigrams of one of the family's templates.
 
+Notices are often wrapped at 72 to 80 columns, so that no line of them holds half of a template. So the
+template trigrams of a text are found across its lines too. Those of one template that follow each other
+within a template's length are a notice; if together they hold :data:`SIMILAR` of the template and no line
+does alone, the notice counts as a paragraph of that family, predicted and confirmed. Of families whose
+notices cover each other by more than half, as those of the GNU licences do, the most similar one counts.
+
 The main path is DataFrame functions only. Weights and templates are small fixed-size tables (at most
 :data:`FEATURES` n-grams) and are broadcast. A paragraph without any word of the weights has the bias as
 its score, which says unknown, so only paragraphs with such a word are cut into n-grams.
@@ -24,6 +30,7 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from faultfold.llm.common import sampled, written
 
@@ -324,14 +331,81 @@ def paragraphs(documents: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def wrapped_notices(documents: DataFrame) -> DataFrame:
+    """``doc_id, family, similarity`` of each notice that only several lines together confirm."""
+    spark = documents.sparkSession
+    templates = spark.createDataFrame(template_grams(), "family string, template int, gram string")
+    sizes = templates.groupBy("family", "template").agg(F.count("*").alias("of"))
+    templates = templates.where(F.size(F.split("gram", " ")) == 3).join(sizes, ["family", "template"])
+
+    def line_words(line, number):
+        tokens = F.array_remove(F.split(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " "), " "), "")
+        return F.transform(tokens, lambda w: F.struct(w.alias("word"), number.alias("line")))
+
+    # Ids may repeat, so texts are told apart by a number of their own.
+    words = documents.where("text is not null").select(
+        "doc_id",
+        F.monotonically_increasing_id().alias("text_id"),
+        F.flatten(F.transform(F.split("text", "\n"), line_words)).alias("words"),
+    )
+    at = F.sequence(F.lit(1), F.size("words") - 2)
+
+    def trigram(i):
+        three = [F.element_at("words", i + k) for k in range(3)]
+        gram = F.concat_ws(" ", *[w["word"] for w in three])
+        # The line of a trigram, or -1 if it goes over a line end.
+        line = F.when(three[0]["line"] == three[2]["line"], three[0]["line"]).otherwise(-1)
+        return F.struct(i.alias("at"), gram.alias("gram"), line.alias("line"))
+
+    runs = words.where(F.size("words") > 2).select("doc_id", "text_id", F.explode(F.transform(at, trigram)).alias("t"))
+    hits = runs.select("doc_id", "text_id", "t.at", "t.gram", "t.line").join(F.broadcast(templates), "gram")
+    hits = written(hits, "trigrams")
+    key = ["text_id", "family", "template"]
+    order = Window.partitionBy(*key).orderBy("at")
+    begins = (F.col("at") - F.lag("at").over(order) > F.col("of")).cast("int")
+    hits = hits.withColumn("notice", F.sum(F.coalesce(begins, F.lit(0))).over(order))
+    lines = hits.groupBy(*key, "notice", "line").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("of").alias("of"),
+        F.min("at").alias("low"),
+        F.max("at").alias("high"),
+        F.collect_set("gram").alias("grams"),
+    )
+    notices = lines.groupBy(*key, "notice").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        (F.size(F.array_distinct(F.flatten(F.collect_list("grams")))) / F.first("of")).alias("similarity"),
+        (F.max(F.when(F.col("line") >= 0, F.size("grams")).otherwise(0)) / F.first("of")).alias("alone"),
+    )
+    notices = notices.where(F.col("similarity") >= SIMILAR)
+    entry = F.struct("low", "high", "family", "similarity", "alone")
+    listed = notices.groupBy("text_id").agg(F.first("doc_id").alias("doc_id"), F.collect_list(entry).alias("all"))
+
+    def better(one):
+        def covers(other):
+            shared = F.least(one["high"], other["high"]) - F.greatest(one["low"], other["low"]) + 3
+            shorter = F.least(one["high"] - one["low"], other["high"] - other["low"]) + 3
+            return (
+                (other["family"] != one["family"]) & (other["similarity"] > one["similarity"]) & (2 * shared > shorter)
+            )
+
+        return covers
+
+    best = F.filter("all", lambda one: (one["alone"] < SIMILAR) & ~F.exists(F.col("all"), better(one)))
+    return listed.select("doc_id", F.explode(best).alias("n")).select("doc_id", "n.family", "n.similarity")
+
+
 def scan(documents: DataFrame, model: Model) -> DataFrame:
     """One row a document: ``doc_id, licences, confirmed, n_paragraphs``.
 
     ``licences`` lists the families predicted and ``confirmed`` those confirmed by a template, each sorted and joined by
-    commas; ``n_paragraphs`` counts the paragraphs predicted.
+    commas; ``n_paragraphs`` counts the paragraphs predicted, and wrapped notices.
     """
     documents = documents.select("doc_id", "text")
-    found = paragraphs(documents, model).groupBy("doc_id").agg(
+    notices = wrapped_notices(documents).select("doc_id", "family", F.lit(True).alias("confirmed"))
+    found = paragraphs(documents, model).select("doc_id", "family", "confirmed").union(notices)
+    found = found.groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licences"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("confirmed"),
         F.count("*").alias("n_paragraphs"),

@@ -1,6 +1,7 @@
 """Personal data against the rules as one pattern each; licence scan against the same model in Python."""
 
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -180,6 +181,22 @@ def test_scan_matches_the_model(read, model, frame):
     assert sorted((r.doc_id or 0, r.licences) for r in shared) == [(0, "mit"), (0, "mit"), (1, "")]
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_wrapped_notices_are_confirmed(model, frame, mark):
+    families = ("agpl-3.0", "apache-2.0", "bsd", "gpl-3.0", "lgpl", "mit")
+    notices = [max(licences.TEMPLATES[f], key=len) for f in families]
+    texts = [
+        "\n".join([f"{mark}Copyright 2020 A", mark, *(mark + line for line in textwrap.wrap(n, width)), mark, "int x;"])
+        for n in notices
+        for width in (28, 76)
+    ]
+    got = {r.doc_id: r for r in licences.scan(frame([*texts, "\n\n".join(texts)]), model).collect()}
+    for k in range(len(texts)):
+        assert got[k + 1].confirmed == families[k // 2], (texts[k], got[k + 1])
+        assert families[k // 2] in got[k + 1].licences.split(",") and got[k + 1].n_paragraphs >= 1
+    assert got[len(texts) + 1].confirmed == ",".join(families)
+
+
 def test_main_path_is_native(read, model):
     plan = licences.scan(read("documents"), model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
