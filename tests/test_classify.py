@@ -82,17 +82,6 @@ def test_large_table_with_short_and_empty_keywords(spark):
     ]
 
 
-def test_rule_table_is_joined_and_not_gathered(spark):
-    rows = [(n, [f"customer {n}", "x" * 300 + str(n), None], f"r{n}", "low", None, "f") for n in range(500)]
-    table = spark.createDataFrame([*rows, (9, None, "none", "low", "c", "f")], schemas.RULE)
-    texts = ["a customer 499 b", "customer 77", "y" * 700 + "x" * 300 + "42", "😀 CUSTOMER 5", "customer", None]
-    got = classify_with_rule_table(lines(spark, [*texts, "customer 77"]), table, F.col("raw_line"))
-    rows = got.orderBy("arrival_seq").collect()
-    assert [r.classification for r in rows] == ["r4", "r7", "r4", "r5", FALLBACK[1], FALLBACK[1], "r7"]
-    assert rows[0].component == FALLBACK.component
-    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_dropped_keywords_are_implied():
     kept = effective_keywords(DEFAULT_RULES)
     for rule, words in zip(DEFAULT_RULES, kept):
