@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultfold.llm import bpe, chat, html_wrapper, licences, packing, pii, quality_classifier, quality_rules, topk
+from faultfold.llm import (
+    alignment,
+    bpe,
+    chat,
+    html_wrapper,
+    licences,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    ranked,
+    repeats,
+    topk,
+)
 from faultfold.llm.common import table
 from faultfold.llm.near_dedup import near_duplicates
 
@@ -97,6 +110,27 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.align(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    )
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    counted = alignment.with_counts(rows.withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_licence_scan": op1_licence_scan,
     "op2_pii": op2_pii,
@@ -108,6 +142,42 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_html_text": op10_html_text,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 
-ORACLE: dict[str, str] = {}
+_TERMS = """unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\\x{80}-\\x{10FFFF}]+'))"""
+
+ORACLE: dict[str, str] = {
+    "op12_ranked_search": f"""
+with occurrences as (select doc_id, {_TERMS} as term from documents),
+tf as (select doc_id, term, count(*) as tf from occurrences group by all),
+lengths as (select doc_id, count(*) as n from occurrences group by all),
+total as (select count(*) as docs, sum(n)::bigint as terms from lengths),
+m as (select doc_id, 25 + (75 * n * docs) // terms as m from lengths, total),
+weight as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w
+    from tf, total group by term, docs),
+asked as (select item_id, {_TERMS} as term from benchmark),
+score as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+    from asked join tf using (term) join weight using (term) join m using (doc_id) group by all)
+select item_id, rank::int as rank, doc_id, score from (
+    select *, row_number() over (partition by item_id order by score desc, doc_id) as rank
+    from score where score > 0)
+where rank <= 10""",
+    "op13_repeated_passages": """
+with split as (select doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words from documents),
+texts as (select doc_id, coalesce(words, []) as words from split),
+starts as (select doc_id, words, unnest(range(1, len(words) - 33)) as place from texts),
+windows as (select doc_id, place, words[place:place + 34] as w from starts),
+repeated as (select doc_id, place from windows
+    where w in (select w from windows group by w having count(*) > 1)),
+covered as (select distinct doc_id, place + k as place from repeated, (select unnest(range(35)) as k)),
+listed as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from texts),
+kept as (select doc_id, count(*) as n_kept, string_agg(word, ' ' order by place) as text
+    from listed anti join covered using (doc_id, place) group by all)
+select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n_kept, 0))::bigint as n_removed,
+    sha256(coalesce(text, '')) as kept_sha256
+from texts left join kept using (doc_id)""",
+}

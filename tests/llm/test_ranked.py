@@ -1,0 +1,115 @@
+"""Ranked search against scores computed one by one."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from faultfold.llm import ranked, spans
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def terms(text):
+    return re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+
+
+def expected(documents, items, k=10):
+    counted = [(d, Counter(terms(t))) for d, t in documents]
+    lengths = [sum(c.values()) for _, c in counted]
+    n, total = sum(x > 0 for x in lengths), sum(lengths)
+    df = Counter(t for _, c in counted for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for (doc, c), length in zip(counted, lengths):
+            score = 0
+            for t in terms(text):
+                if c[t]:
+                    m = 25 + 75 * length * n // total
+                    w = math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1)))
+                    score += w * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m))
+            if score > 0:
+                scores.append((-score, doc is None, doc))
+        for rank, (score, _, doc) in enumerate(sorted(scores)[:k], 1):
+            out.append((item, rank, doc, -score))
+    return sorted(out, key=repr)
+
+
+def found(spark, documents, items, k=10):
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in documents], "doc_id long, text string, item_id string, score int")
+    asked = spark.createDataFrame([(i, t, "y") for i, t in items], "item_id long, text string, doc_id string")
+    rows = ranked.ranked(docs.repartition(3), asked, k)
+    assert rows.columns == ["item_id", "rank", "doc_id", "score"]
+    return sorted([tuple(r) for r in rows.collect()], key=repr)
+
+
+WORDS = ["alpha", "Beta", "gamma", "straße", "été", "数据", "x1", "Z", "of", "İs", "long" * 20, "O'Neil"]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(0, 30))) for _ in range(150)]
+    texts += [None, "", " -- ", "same of words", "same of words", "alpha,beta;GAMMA\x00x1", "alpha " * 5000]
+    return [(i, t) for i, t in enumerate(texts)] + [(3, "alpha twice"), (None, "alpha alpha x1")]
+
+
+ITEMS = [(1, "alpha beta beta"), (2, "of"), (3, None), (4, ""), (5, "nowhere"), (6, " ".join(WORDS)), (6, "straße Z"), (None, "x1 x1 数据")]
+
+
+def test_against_every_score(spark, corpus):
+    assert found(spark, corpus, ITEMS) == expected(corpus, ITEMS)
+    assert found(spark, corpus, ITEMS, k=1) == expected(corpus, ITEMS, k=1)
+
+
+def test_shards_visits_and_item_blocks_change_nothing(spark, corpus, monkeypatch):
+    want = expected(corpus, ITEMS)
+    monkeypatch.setattr(ranked, "QUERY_BYTES", 200)
+    assert found(spark, corpus, ITEMS) == want
+    doc = [(d if d is not None else ranked.NO_ID, Counter(t.encode() for t in terms(x))) for d, x in corpus]
+    lengths = [sum(c.values()) for _, c in doc]
+    names = sorted({t for _, c in doc for t in c})
+    number = {t: i for i, t in enumerate(names)}
+    n, total = sum(x > 0 for x in lengths), sum(lengths)
+    results = set()
+    for size, first in ((1, 8), (40, 1), (1000, 8)):  # documents a shard, strata of the first visit
+        monkeypatch.setattr(ranked, "FIRST_VISIT", first)
+        best = ranked.Best(10)
+        for at in range(0, len(doc), size):
+            part = doc[at : at + size]
+            strata = ranked.Strata(
+                np.array([d for d, _ in part]),
+                np.array([25 + 75 * x * n // total for x in lengths[at : at + size]]),
+                np.repeat(np.arange(len(part)), [len(c) for _, c in part]),
+                np.array([number[t] for _, c in part for t in c], np.int64),
+                np.array([x for _, c in part for x in c.values()], np.int64),
+                len(names),
+            )
+            strata.search(np.array([number[b"alpha"], number[b"of"]]), np.array([700, 900]), best)
+        results.add((tuple(best.doc.tolist()), tuple(best.score.tolist())))
+    assert len(results) == 1
+
+
+def test_empty(spark):
+    assert found(spark, [], ITEMS) == []
+    assert found(spark, [(1, "alpha")], []) == []
+    assert found(spark, [(1, None)], ITEMS) == []
+
+
+def test_hashes_of_unlike_spans_differ():
+    """Strings that cancel out in a polynomial modulo 2**64 have different hashes here."""
+    thue = ["a"]
+    for _ in range(10):
+        thue += ["b" if c == "a" else "a" for c in thue]
+    one = "".join(thue)
+    other = one.translate(str.maketrans("ab", "ba"))
+    for size in (64, 500, 1024):
+        data = np.frombuffer((one[:size] + other[:size]).encode(), np.uint8)
+        hashes = spans.span_hashes(data, np.array([0, size]), np.array([size, 2 * size]))
+        assert hashes[0] != hashes[1]
+        assert not spans.equal_spans(data, np.array([0]), data, np.array([size]), np.array([size]))[0]
+        assert spans.equal_spans(data, np.array([3]), data, np.array([3]), np.array([size]))[0]
