@@ -19,8 +19,7 @@ columns are ignored, whatever their names. Without documents the result is empty
 
 from __future__ import annotations
 
-import json
-import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -29,46 +28,87 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultfold.llm.bpe import byte_characters
+from faultfold.llm import bpe
 from faultfold.llm.common import bounded_batches, dropped, written
 
 #: Bytes of text encoded at once, and of a stack.
 CHUNK_BYTES, STACK_BYTES = 1 << 20, 4 << 20
+#: Bits of the byte offset within a document.
+PLACE_BITS = 40
+
+
+#: Segments remembered by a worker in each of two generations, and the longest of them.
+MEMORY, LONG = 250_000, 48
+
+# A segment begins with its white space; no piece of the model reaches from other characters into white space.
+_segments = re.compile(" +[^ ]*").findall
+#: White space as long as this goes to the merges of :mod:`bpe`, as the pattern would recurse too deep.
+_long_space = re.compile(r"\s{1000}").search
 
 
 class Tokenizers:
-    """Both tokenizers, and each one's token bytes and decimal ids by id."""
+    """Both tokenizers, and each one's token bytes and decimal ids by id.
+
+    A's vocabulary has its merges in the order of its ids, so tiktoken gives the same ids as its own library, several times
+    faster. B's model changes no character, so the segments of a text are encoded one by one and remembered.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(path_a)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
-        with open(path_a, encoding="utf-8") as file:
-            names = json.load(file)["model"]["vocab"]
-        value = {c: b for b, c in enumerate(byte_characters())}
-        size = 1 + max(self.a.get_vocab(with_added_tokens=True).values())
-        strings = [b""] * size
-        for token, i in names.items():
-            strings[i] = bytes(value[c] for c in token if c in value)
-        self.bytes_a = pa.array(strings, pa.large_binary())
+        from tiktoken import Encoding
+
+        self.bpe = bpe.ByteBpe(path_a)
+        strings = {i: b for i, b in self.bpe.strings.items() if i not in self.bpe.special.values()}
+        self.a = None
+        if [i for _, i in sorted(self.bpe.merges.values())] == sorted(set(strings) - set(self.bpe.byte_ids)):
+            ranks = {b: i for i, b in strings.items()}
+            self.a = Encoding("a", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_a = pa.array([strings.get(i, b"") for i in range(self.bpe.wide)], pa.large_binary())
         self.b = SentencePieceProcessor(model_file=path_b)
-        self.bytes_b = pa.array([self._piece(i) for i in range(self.b.get_piece_size())], pa.large_binary())
-        self.decimals = pa.array([str(i) for i in range(max(size, len(self.bytes_b)))], pa.string())
+        size_b = self.b.get_piece_size()
+        self.bytes_b = pa.array([self._piece(i) for i in range(size_b)], pa.large_binary())
+        self.decimals = pa.array([str(i) for i in range(max(self.bpe.wide, size_b))], pa.string())
+        self.whole = any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(size_b)) or self.b.encode(
+            "ﬁ ½  é"
+        ) != [i for part in ("ﬁ", "½", " é") for i in self.b.encode(part)]
+        self.space = self.b.piece_to_id("▁")
+        self.memory = bpe.Memory(MEMORY)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _encode_a(self, spelled: str) -> list[int]:
+        if self.a is not None and not _long_space(spelled):
+            return self.a.encode_ordinary(spelled)
+        return self.bpe.plain(spelled)
+
+    def _encode_b(self, spelled: str) -> list[int]:
+        """The ids of a text that begins with the space that B adds."""
+        if self.whole:
+            return self.b.encode(spelled[1:])
+        memory, out = self.memory, []
+        segments = _segments(spelled)
+        new, old = memory.new, memory.old
+        missing = [x for x in set(segments) if x not in new and x not in old]
+        found = dict(zip(missing, self.b.encode([x[1:] for x in missing], num_threads=1)))
+        if " " in found:
+            found[" "] = [self.space]
+        for segment in segments:
+            ids = found.get(segment)
+            if ids is None:
+                ids = new.get(segment) or old[segment]
+            out.extend(ids)
+        for segment in segments:
+            if len(segment) <= LONG and segment not in memory.new:
+                memory.put(segment, found.get(segment) or old[segment])
+        return out
+
     def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """The token ids of each text, empty where a text has no tokens."""
         spelled = [" " + t if t else "" for t in texts]
-        a = pa.array([e.ids for e in self.a.encode_batch_fast(spelled, add_special_tokens=False)], _IDS)
-        b = pa.array(self.b.encode(texts, num_threads=1), _IDS)
+        a = pa.array([self._encode_a(t) if t else [] for t in spelled], _IDS)
+        b = pa.array([self._encode_b(t) if t else [] for t in spelled], _IDS)
         spelled = pa.array(spelled, pa.large_string())
         good = _spells(a, self.bytes_a, spelled) & _spells(b, self.bytes_b, spelled)
         if good.all():
@@ -102,35 +142,33 @@ def loaded(path_a: str, path_b: str) -> Tokenizers:
 
 
 def _ended(ids: pa.ListArray, strings: pa.Array, name: str) -> pa.Table:
-    """``document, end, <name>``: each token with its document and the byte offset where it ends there."""
+    """``at, <name>``: each token with its document and the byte offset where it ends there, as one number."""
     flat = ids.flatten()
     parent = pc.cast(pc.list_parent_indices(ids), pa.int64())
     running = pc.cumulative_sum(pc.cast(pc.binary_length(strings.take(flat)), pa.int64()))
     first = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids)]
     base = np.concatenate([[0], running.to_numpy()])[first]
-    return pa.table({"document": parent, "end": pc.subtract(running, pa.array(base).take(parent)), name: flat})
+    end = pc.subtract(running, pa.array(base).take(parent))
+    return pa.table({"at": pc.add(pc.shift_left(parent, pa.scalar(PLACE_BITS, pa.int64())), end), name: flat})
 
 
 def _group_strings(tokens: pa.Table, name: str, cuts: np.ndarray, decimals: pa.Array) -> pa.Array:
     """The ids of each group, joined by commas."""
-    group = np.searchsorted(cuts, _places(tokens))
+    group = np.searchsorted(cuts, tokens["at"].to_numpy())
     offsets = np.searchsorted(group, np.arange(len(cuts) + 1))
     listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), decimals.take(tokens[name].combine_chunks()))
     return pc.binary_join(listed, ",")
 
 
-def _places(table: pa.Table) -> np.ndarray:
-    """Document and byte offset as one number, in the order of the text."""
-    return (table["document"].to_numpy() << 40) + table["end"].to_numpy()
-
-
 def _aligned(texts: list[str], tools: Tokenizers) -> pa.Table:
     """Counts, groups and counted links of each text."""
     ids_a, ids_b = tools.encode(texts)
     a, b = _ended(ids_a, tools.bytes_a, "a"), _ended(ids_b, tools.bytes_b, "b")
-    links = a.join(b, keys=["document", "end"], join_type="inner", use_threads=False)
-    cuts = np.unique(_places(links))
-    document = cuts >> 40
+    links = a.join(b, keys="at", join_type="inner", use_threads=False)
+    at = np.sort(links["at"].to_numpy())
+    cuts = at[np.append(True, at[1:] != at[:-1])[: len(at)]]
+    document = cuts >> PLACE_BITS
+    links = links.append_column("document", pc.shift_right(links["at"], pa.scalar(PLACE_BITS, pa.int64())))
     groups = pc.binary_join_element_wise(
         _group_strings(a, "a", cuts, tools.decimals), _group_strings(b, "b", cuts, tools.decimals), "|"
     )
@@ -145,7 +183,7 @@ def _aligned(texts: list[str], tools: Tokenizers) -> pa.Table:
             "n_a": pc.cast(pc.list_value_length(ids_a), pa.int64()),
             "n_b": pc.cast(pc.list_value_length(ids_b), pa.int64()),
             "n_groups": np.diff(np.searchsorted(document, rows)),
-            "n_links": np.bincount(links["document"].to_numpy(), minlength=len(texts)),
+            "n_links": np.bincount(at >> PLACE_BITS, minlength=len(texts)),
             "groups": pc.cast(pc.binary_join(by_document, ";"), pa.string()),
             "pairs": pa.array([triples[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary()),
         }

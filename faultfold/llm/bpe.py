@@ -151,6 +151,12 @@ class ByteBpe:
                     new, old = memory.new, memory.old
             out.extend(ids)
 
+    def plain(self, text: str) -> list[int]:
+        """The ids of a text in which the strings of special tokens are plain text."""
+        out: list[int] = []
+        self._plain(text, out)
+        return out
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         at = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +48,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     and safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of queries run meanwhile go when these end: their result is written, nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that nothing reads any more."""
     spark = df.sparkSession

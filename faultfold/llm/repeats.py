@@ -13,9 +13,10 @@ start anywhere else, in the same document or another, is removed. All windows ar
    the stacks that hold them are told.
 3. Documents with such windows lose the words they cover.
 
-No pair of occurrences is ever formed, and a passage that a third of all documents share costs one row a
-stack. Runs that only share a hash of 64 bits cost a needless comparison; windows are compared by two
-independent hashes of 64 bits, made from hashes of whole words.
+What stacks send is packed by buckets of the hash, of about :data:`BUCKET_RUNS` runs each; so there are more
+buckets of more input, never larger ones. No pair of occurrences is ever formed, and a passage that a
+third of all documents share costs one entry a stack. Within its bucket a run is known by 32 bits: others that share them cost a
+needless comparison. Windows are compared by two independent hashes of 64 bits, made from hashes of whole words.
 
 Words are runs of characters other than space and ``\t`` to ``\r``, unchanged. Null and empty texts have none
 and give an empty text. Texts below ``window`` words stay whole. Rows that repeat an id are documents of their own, so exact
@@ -30,7 +31,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from faultfold.llm.common import bounded_batches, dropped, written
 from faultfold.llm.spans import ranges, span_hashes, window_hashes
@@ -38,6 +38,8 @@ from faultfold.llm.words import Words, word_chunks
 
 WINDOW = 35
 STACK_BYTES = 8 << 20
+#: Runs of a bucket, and bytes of text that are reckoned to hold a word.
+BUCKET_RUNS, WORD_BYTES = 1 << 20, 6
 #: Marks of a run in a stack.
 REFERENCE, SEVERAL = 1, 2
 
@@ -57,8 +59,8 @@ def _runs(words: Words, size: int, window: int, seed: int = 0) -> tuple[np.ndarr
 
 
 def _distinct(hashes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each hash once, with all its marks."""
-    order = np.argsort(hashes, kind="stable")
+    """Each hash once, in order, with all its marks."""
+    order = np.argsort(hashes)
     hashes, marks = hashes[order], marks[order]
     first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
     if not len(first):
@@ -67,36 +69,63 @@ def _distinct(hashes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes[first], np.bitwise_or.reduceat(marks, first) | np.where(several, SEVERAL, 0).astype(np.int8)
 
 
-def _probes(window: int):
-    """The distinct runs of a stack."""
+def _buckets(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of sorted hashes, and where each one's begin."""
+    bucket = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
+    return np.unique(bucket, return_index=True)
+
+
+def _slices(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Values from each of ``first`` to before the next, as bytes."""
+    return pa.array([part.tobytes() for part in np.split(values, first[1:])] if len(first) else [], pa.binary())
+
+
+def _probes(window: int, bits: int):
+    """The distinct runs of a stack by bucket."""
     size = (window + 1) // 2
 
     def run(key, table):
         hashes, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
         for _, _, words in word_chunks(table.column("text")):
             place, found = _runs(words, size, window)
-            hashes.append(found)
+            hashes.append(found >> np.uint64(32 - bits))
             marks.append(np.where((place - words.first()[words.row[place]]) % size == 0, REFERENCE, 0).astype(np.int8))
         found, mark = _distinct(np.concatenate(hashes), np.concatenate(marks))
+        buckets, first = np.unique(found >> np.uint64(32), return_index=True)
         return pa.table(
-            [pa.array(found.view(np.int64)), pa.array(np.full(len(found), key[0].as_py())), pa.array(mark)],
-            names=["run", "stack", "mark"],
+            [
+                pa.array(buckets.astype(np.int64)),
+                pa.array(np.full(len(first), key[0].as_py())),
+                _slices(found.astype("<u4"), first),
+                _slices(mark, first),
+            ],
+            names=["bucket", "stack", "runs", "marks"],
         )
 
     return run
 
 
-def anchors(probes: DataFrame) -> DataFrame:
-    """``stack, run`` of every run that is a reference block somewhere and occurs twice or more."""
-    same = Window.partitionBy("run")
-    met = probes.withColumns(
-        {
-            "stacks": F.count("*").over(same),
-            "is_reference": F.max(F.col("mark").bitwiseAND(F.lit(REFERENCE))).over(same),
-            "is_several": F.max(F.col("mark").bitwiseAND(F.lit(SEVERAL))).over(same),
-        }
+def _anchors(key, table):
+    """The runs of a bucket that are a reference block somewhere and occur twice or more, by the stacks that hold them."""
+    raw = table.column("runs").to_pylist()
+    runs = np.frombuffer(b"".join(raw), "<u4")
+    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.int8)
+    row = np.repeat(np.arange(len(raw)), [len(r) // 4 for r in raw])
+    order = np.argsort(runs, kind="stable")
+    first = np.flatnonzero(np.append(True, runs[order][1:] != runs[order][:-1])[: len(order)])
+    n = np.diff(np.append(first, len(order)))
+    met = np.bitwise_or.reduceat(marks[order], first)
+    anchor = (met & REFERENCE > 0) & ((n > 1) | (met & SEVERAL > 0))
+    held = np.sort(order[np.repeat(anchor, n)])  # in the order of rows again
+    rows, start = np.unique(row[held], return_index=True)
+    return pa.table(
+        [
+            table.column("stack").combine_chunks().take(pa.array(rows)),
+            pa.array(np.full(len(rows), key[0].as_py())),
+            _slices(runs[held], start),
+        ],
+        names=["stack", "bucket", "runs"],
     )
-    return met.where("is_reference > 0 and (stacks > 1 or is_several > 0)").select("stack", "run")
 
 
 def _kept_text(words: Words, kept: np.ndarray) -> pa.Array:
@@ -115,17 +144,20 @@ def _kept_text(words: Words, kept: np.ndarray) -> pa.Array:
     return out.cast(pa.string())
 
 
-def _candidates(window: int):
+def _candidates(window: int, bits: int):
     """Documents of a stack: those without a window around an anchor are done, the others keep their text and
     the places of such windows."""
     size = (window + 1) // 2
     spare = window - size + 1
 
     def run(key, documents, hits):
-        known = np.sort(hits.column("run").to_numpy().view(np.uint64))
+        told = [np.frombuffer(r, "<u4") for r in hits.column("runs").to_pylist()]
+        above = np.repeat(hits.column("bucket").to_numpy().astype(np.uint64), [len(r) for r in told])
+        known = np.sort((above << np.uint64(32)) | np.concatenate([*told, np.zeros(0, "<u4")]))
         columns = []
         for lo, hi, words in word_chunks(documents.column("text")):
             place, found = _runs(words, size, window)
+            found >>= np.uint64(32 - bits)
             hit = np.zeros(len(words.start) + 1, np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -179,44 +211,64 @@ def _marked_windows(column, places, window: int):
         yield lo, hi, words, at, one, other
 
 
+_PAIR = np.dtype([("one", "<u8"), ("other", "<u8")])
+
+
 def _pairs(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    out = np.empty(len(one), [("one", np.uint64), ("other", np.uint64)])
+    out = np.empty(len(one), _PAIR)
     out["one"], out["other"] = one, other
     return out
 
 
-def _windows(window: int):
-    """The distinct candidate windows of a batch by stack, and whether they occur there more than once."""
+def _windows(window: int, bits: int):
+    """The distinct candidate windows of a batch by stack and bucket, and whether they occur there more than once."""
 
     def run(batches):
         for batch in batches:
             stacks = batch.column(0).to_numpy()
             for lo, _, words, at, one, other in _marked_windows(batch.column(1), batch.column(2).to_pylist(), window):
-                stack = stacks[lo + words.row[at]]
-                order = np.lexsort((other, one, stack))
-                stack, one, other = stack[order], one[order], other[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (one[1:] != one[:-1]) | (other[1:] != other[:-1]) | (stack[1:] != stack[:-1])
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(order)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(one[first].view(np.int64)),
-                        pa.array(other[first].view(np.int64)),
-                        pa.array(stack[first], pa.int64()),
-                        pa.array(n, pa.int64()),
-                    ],
-                    ["one", "other", "stack", "n"],
-                )
+                of_window = stacks[lo + words.row[at]]
+                for stack in np.unique(of_window):
+                    mine = of_window == stack
+                    found, n = np.unique(_pairs(one[mine], other[mine]), return_counts=True)
+                    buckets, first = _buckets(found["one"], bits)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(buckets.astype(np.int64)),
+                            pa.array(np.full(len(first), stack), pa.int64()),
+                            _slices(found, first),
+                            _slices((n > 1).astype(np.int8), first),
+                        ],
+                        ["bucket", "stack", "windows", "several"],
+                    )
 
     return run
 
 
+def _repeated(key, table):
+    """The windows of a bucket that occur twice or more, by the stacks that hold them."""
+    raw = table.column("windows").to_pylist()
+    windows = np.frombuffer(b"".join(raw), _PAIR)
+    several = np.frombuffer(b"".join(table.column("several").to_pylist()), np.int8)
+    row = np.repeat(np.arange(len(raw)), [len(r) // _PAIR.itemsize for r in raw])
+    order = np.lexsort((windows["other"], windows["one"]))
+    ordered = windows[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(order)])
+    n = np.diff(np.append(first, len(order)))
+    again = (n > 1) | (np.maximum.reduceat(several[order], first) > 0)
+    held = np.sort(order[np.repeat(again, n)])
+    rows, start = np.unique(row[held], return_index=True)
+    return pa.table(
+        [table.column("stack").combine_chunks().take(pa.array(rows)), _slices(windows[held], start)],
+        names=["stack", "windows"],
+    )
+
+
 def _removed(window: int):
     """The documents of a stack without the words that repeated windows cover."""
 
     def run(key, documents, repeated):
-        known = np.sort(_pairs(*(repeated.column(c).to_numpy().view(np.uint64) for c in ("one", "other"))))
+        known = np.unique(np.frombuffer(b"".join(repeated.column("windows").to_pylist()), _PAIR))
         out = []
         places = documents.column("places").to_pylist()
         for lo, hi, words, at, one, other in _marked_windows(documents.column("text"), places, window):
@@ -256,22 +308,26 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     documents = documents.select(F.col("doc_id").cast("long"), "text")
     size = documents.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
     stacks = max(1, -(-size // STACK_BYTES))
+    bits = min(32, (size // WORD_BYTES // BUCKET_RUNS).bit_length())
     stacked = documents.withColumn("stack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(stacks)))
 
-    probes = stacked.groupBy("stack").applyInArrow(_probes(window), "run long, stack long, mark byte")
-    hits = written(anchors(probes), "anchors")
+    probes = stacked.groupBy("stack").applyInArrow(
+        _probes(window, bits), "bucket long, stack long, runs binary, marks binary"
+    )
+    hits = probes.groupBy("bucket").applyInArrow(_anchors, "stack long, bucket long, runs binary")
+    hits = written(hits, "anchors")
     found = stacked.groupBy("stack").cogroup(hits.groupBy("stack"))
     schema = "doc_id long, stack long, n_words long, text string, places binary"
-    judged = written(found.applyInArrow(_candidates(window), schema), "candidates")
+    judged = written(found.applyInArrow(_candidates(window, bits), schema), "candidates")
+    dropped(hits)
 
     open_rows = judged.where("places is not null")
     sent = open_rows.select("stack", "text", "places").mapInArrow(
-        _windows(window), "one long, other long, stack long, n long"
+        _windows(window, bits), "bucket long, stack long, windows binary, several binary"
     )
-    occurring = sent.withColumn("total", F.sum("n").over(Window.partitionBy("one", "other")))
-    repeated = written(occurring.where("total > 1").select("one", "other", "stack"), "repeated")
+    repeated = sent.groupBy("bucket").applyInArrow(_repeated, "stack long, windows binary")
+    repeated = written(repeated, "repeated")
     met = open_rows.groupBy("stack").cogroup(repeated.groupBy("stack"))
     cut = met.applyInArrow(_removed(window), "doc_id long, n_words long, n_removed long, text string")
     done = judged.where("places is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "text")
-    dropped(hits)
     return done.union(cut)

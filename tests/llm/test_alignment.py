@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from faultfold.llm import alignment
+from faultfold.llm import alignment, bpe
 from faultfold.llm.queries import QUERIES, vocabulary
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -16,6 +16,7 @@ PATHS = "byte_bpe_50k.json", "piece_bpe_32k.model"
 ODD = [
     None, "", " ", "a  b   c\n\n d\t e ", "x<|endoftext|> y</s><s>", "日本語 テキスト一二三", "it's we'll 12 34½ ²", "▁ x▁y",
     "🙂🙂 👍🏽 가 한", "İstanbul ΣΑΣ ΟΔΟΣ'S", "\x00\x7f\xad", "ab\x00cd", "a" * 3000, "long words here " * 3000, "<0x41> <unk>", "same", "same",
+    "  two  ", "x" + " " * 3000 + "y\n" + "\n" * 2500, "\u00a0\u2003 wide", "ﬁ ½ é  ́x",
 ]
 
 
@@ -24,7 +25,7 @@ def token_bytes(texts):
     a = tokenizers.Tokenizer.from_file(vocabulary(PATHS[0]))
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PATHS[1]))
-    value = {c: i for i, c in enumerate(alignment.byte_characters())}
+    value = {c: i for i, c in enumerate(bpe.byte_characters())}
     out = []
     for text in texts:
         ids_a, ids_b, left, right = [], [], [], []
@@ -111,3 +112,14 @@ def test_pair_counts(frame):
     totals = alignment.pair_counts(rows)
     assert sorted(r.total for r in totals.collect())[-1] == 3
     assert totals.groupBy("b").agg(F.max(F.col("best").cast("int")).alias("m")).where("m = 0").isEmpty()
+
+
+def test_segments_and_ranks_are_in_use():
+    """The faster ways give what both libraries give, segment by segment remembered or not."""
+    tools = alignment.Tokenizers(*map(vocabulary, PATHS))
+    assert tools.a is not None and not tools.whole
+    texts = [t for t in ODD if t]
+    for _ in range(2):
+        a, b = tools.encode(texts)
+        for text, ids_a, ids_b, (want_a, want_b, *_) in zip(texts, a.to_pylist(), b.to_pylist(), token_bytes(texts)):
+            assert (ids_a, ids_b) == (want_a, want_b), text[:40]

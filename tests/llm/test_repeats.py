@@ -49,6 +49,7 @@ def texts():
 @pytest.mark.parametrize("window", [35, 6, 1, 2])
 def test_against_all_windows(frame, texts, window, monkeypatch):
     monkeypatch.setattr(repeats, "STACK_BYTES", 2000)
+    monkeypatch.setattr(repeats, "BUCKET_RUNS", 700)
     got = removed(frame(texts).repartition(3), window)
     assert [got[i + 1] for i in range(len(texts))] == expected(texts, window)
 
