@@ -6,7 +6,7 @@ delivery it belongs to), ``failed``, ``output``, ``err_msg`` and ``ts``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,6 +45,7 @@ def run_actions(
     actions: DataFrame,
     fn: Callable[[dict, dict], str],
     attempt: int = 1,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Run the user's ``fn(ticket, action) -> output`` for each ticket, actions in order.
 
@@ -52,14 +53,17 @@ def run_actions(
     run. The actions of an app are gathered first (their number is a matter of
     configuration); each ticket is then one row, and tickets run in parallel on all
     executors. A lost task runs its tickets again: delivery is at least once. A column
-    ``attempt`` of the tickets replaces the argument.
+    ``attempt`` of the tickets replaces the argument. ``keep`` names further columns of the
+    tickets that their runs carry.
     """
     named = actions.withColumn("action_name", action_name()).drop("name")
     details = [c for c in named.columns if c not in ("app", "pos")]
     steps = named.groupBy("app").agg(
         F.sort_array(F.collect_list(F.struct("pos", *details))).alias("_steps")
     )
-    columns = column_names(RUN)
+    columns = [*column_names(RUN), *keep]
+    types = dict(tickets.dtypes)
+    schema = ", ".join([RUN, *[f"`{c}` {types[c]}" for c in keep]])
 
     def sequence(row: dict) -> Iterator[tuple]:
         ticket = {k: v for k, v in row.items() if k != "_steps"}
@@ -77,6 +81,7 @@ def run_actions(
                 output,
                 error,
                 pd.Timestamp.now(tz="UTC"),
+                *[ticket[c] for c in keep],
             )
             if error:
                 return
@@ -86,7 +91,7 @@ def run_actions(
             rows = [done for row in batch.to_dict("records") for done in sequence(row)]
             yield pd.DataFrame(rows, columns=columns)
 
-    return tickets.join(steps, "app").mapInPandas(run, RUN)
+    return tickets.join(steps, "app").mapInPandas(run, schema)
 
 
 def executed_runs(runs: DataFrame) -> DataFrame:
@@ -130,9 +135,12 @@ def action_events(runs: DataFrame) -> DataFrame:
 
 
 def ticket_outcomes(
-    runs: DataFrame, tickets: DataFrame | None = None, attempt: int = 1
+    runs: DataFrame,
+    tickets: DataFrame | None = None,
+    attempt: int = 1,
+    by: Sequence[str] = ("ticket_id", "attempt"),
 ) -> DataFrame:
-    """Per ticket and attempt: done if no action failed, else failed, with the failing position.
+    """Per delivery, which ``by`` tells apart: done if no action failed, else failed, with the failing position.
 
     ``tickets`` are those a delivery was for: one whose app has no actions has no runs, and is
     done. Needs no order and no window: the first failure is a minimum, reduced before the
@@ -140,13 +148,12 @@ def ticket_outcomes(
     """
     if tickets is not None:
         number = F.col("attempt") if "attempt" in tickets.columns else F.lit(attempt)
-        given = tickets.select(
-            F.col("id").alias("ticket_id"), number.cast("bigint").alias("attempt")
-        )
-        found = runs.select("ticket_id", "attempt", "failed", "pos")
-        runs = given.join(found, ["ticket_id", "attempt"], "left")
+        given = tickets.withColumns(
+            {"ticket_id": F.col("id"), "attempt": number.cast("bigint")}
+        ).select(*by)
+        runs = given.join(runs.select(*by, "failed", "pos"), list(by), "left")
     return (
-        runs.groupBy("ticket_id", "attempt")
+        runs.groupBy(*by)
         .agg(F.min(F.when(F.col("failed"), F.col("pos"))).alias("failed_pos"))
         .withColumn("status", F.when(F.col("failed_pos").isNull(), "done").otherwise("failed"))
     )

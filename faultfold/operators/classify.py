@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from faultfold import schemas
 from faultfold.functions.payload import reply_columns
+from faultfold.functions.runs import finder, possible_words
 from faultfold.functions.text import contains_any, dedupe_text, fold_case, with_fingerprint
 from faultfold.plans.rules import DEFAULT_RULES, FALLBACK, Rule, effective_keywords
+from faultfold.session import materialize
+
 
 def _labels(rule: Rule) -> Column:
     return F.struct(
@@ -50,28 +53,31 @@ def classify_by_rules(
 def classify_with_rule_table(
     df: DataFrame, rules: DataFrame, text: Column | None = None
 ) -> DataFrame:
-    """Same labels, with the rules in a table. Map side only: lines are neither shuffled nor copied.
-
-    The table's keywords become one array, sorted by rule, that a line is tested against; a rule
-    table is configuration, and its size is the size of that array. The keyword of the lowest
-    rule decides, and of equal rule numbers the smaller keyword. Null keywords match nothing, a
-    null label is replaced by the fallback's.
+    """Same labels, with the rules in a table of any size.
+
+    Lines are read once and written with the few runs of characters that may be a keyword, which
+    tables of fixed size tell (see ``functions.runs``). Runs and keywords then meet by an
+    equality join of narrow rows, and a line meets the lowest rule found for it. The keyword of
+    the lowest rule decides, and of equal rule numbers the smaller keyword. Null keywords match
+    nothing, a null label is replaced by the fallback's. Lines that repeat cost a row each, and
+    a keyword that a third of all lines hold is one key, which adaptive execution splits where
+    keywords are too many to broadcast.
     """
     text = dedupe_text() if text is None else text
-    words = rules.select("rule_no", F.explode("keywords").alias("word"), *schemas.LABELS)
-    entry = F.struct("rule_no", "word", *schemas.LABELS)
-    table = words.filter("word is not null").agg(F.sort_array(F.collect_list(entry))).scalar()
-    # The text is a variable of the outer function, so it is folded once and not for every word.
-    both = F.array(F.struct(fold_case(text).alias("low"), F.col("_words").alias("words")))
-    hits = F.transform(
-        both, lambda r: F.filter(r["words"], lambda w: r["low"].contains(w["word"]))
-    )
-    found = df.withColumn("_words", table)
-    found = found.withColumn("_rule", F.try_element_at(F.element_at(hits, 1), F.lit(1)))
+    words = rules.select(F.explode("keywords").alias("word"), "rule_no", *schemas.LABELS)
+    rule = F.struct("rule_no", "word", *schemas.LABELS)
+    best = words.filter("word is not null").groupBy("word").agg(F.min(rule).alias("_rule"))
+    best = materialize(best, "keywords")
+    runs = possible_words(fold_case(text), finder(best.select("word")))
+    lines = df.withColumns({"_line": F.monotonically_increasing_id(), "_runs": runs})
+    lines = materialize(lines, "lines")
+    found = lines.select("_line", F.explode("_runs").alias("word")).join(best, "word")
+    hits = found.groupBy("_line").agg(F.min("_rule").alias("_rule"))
+    labelled = lines.drop("_runs").join(hits, "_line", "left")
     fallback = _labels(FALLBACK)
     for label in schemas.LABELS:
-        found = found.withColumn(label, F.coalesce(F.col("_rule")[label], fallback[label]))
-    return found.drop("_rule", "_words")
+        labelled = labelled.withColumn(label, F.coalesce(F.col("_rule")[label], fallback[label]))
+    return labelled.drop("_line", "_rule")
 
 
 def parse_replies(df: DataFrame, reply: str = "reply") -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ a single hot key may hold a third of all rows. Here the sequence number is cut i
 * each block is summarised by partial aggregation, and the summaries are scanned inside
   (key, super-block) of at most 2^22 blocks and then over at most 2^23 super-blocks.
 
-Together that is 63 bits, so the bounds hold for every non-negative bigint sequence. The
+Together that is 63 bits and the sign, so the bounds hold for every bigint sequence. The
 sequence should be unique within a key: rows that share a number share a block.
 
 The summaries are written to the shared folder once, when one of these functions is called: the
@@ -17,8 +17,9 @@ input is read for them and for the rows, and not again for every level of the sc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,11 +108,15 @@ def running_rank(
     return rank_in_blocks(df, block_counts(df, keys, seq), keys, seq, out, ties)
 
 
-def carry_forward(df: DataFrame, keys: list[str], seq: str, value: str, out: str) -> DataFrame:
-    """Latest non-null ``value`` at or before each row."""
+def carry_forward(
+    df: DataFrame, keys: list[str], seq: str, value: str, out: str, ties: list[str] | None = None
+) -> DataFrame:
+    """Latest non-null ``value`` at or before each row; rows of one number are ordered by ``ties``."""
     blocked = with_block(df, seq)
     present = F.when(F.col(value).isNotNull(), F.col(seq))
-    lasts = blocked.groupBy(*keys, BLOCK).agg(F.max_by(value, present).alias("_last"))
+    latest_first = F.struct(present, *ties) if ties else present
+    last = F.max_by(value, F.when(present.isNotNull(), latest_first))
+    lasts = blocked.groupBy(*keys, BLOCK).agg(last.alias("_last"))
     lasts = materialize(lasts, "block-lasts")
 
     def latest(v: Column) -> Column:
@@ -123,7 +128,9 @@ def carry_forward(df: DataFrame, keys: list[str], seq: str, value: str, out: str
     scanned = _prefix(lasts, keys, "_last", newest, latest)
     prefix = scanned.select(*keys, BLOCK, F.coalesce("_inner", "_outer").alias("_prefix"))
     within = (
-        Window.partitionBy(*keys, BLOCK).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, BLOCK)
+        .orderBy(seq, *(ties or []))
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
         blocked.withColumn("_here", F.last(value, ignorenulls=True).over(within))
@@ -131,3 +138,37 @@ def carry_forward(df: DataFrame, keys: list[str], seq: str, value: str, out: str
         .withColumn(out, F.coalesce("_here", "_prefix"))
         .drop(BLOCK, "_here", "_prefix")
     )
+
+
+def running(
+    df: DataFrame,
+    keys: list[str],
+    seq: str,
+    value: str,
+    out: str,
+    fold: Callable[[Column], Column],
+    strict: bool = False,
+) -> DataFrame:
+    """``fold`` (``F.sum``, ``F.min`` or ``F.max``) of ``value`` over all rows up to each one.
+
+    ``strict`` leaves the row itself out; null where there is no value yet. ``seq`` should be
+    unique within a key.
+    """
+    blocked = with_block(df, seq)
+    totals = blocked.groupBy(*keys, BLOCK).agg(fold(F.col(value)).alias("_total_here"))
+    totals = materialize(totals, "block-totals")
+    scanned = _prefix(totals, keys, "_total_here", lambda v, _: fold(v), fold)
+    within = Window.partitionBy(*keys, BLOCK).orderBy(seq)
+    within = within.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    names = ["_here", "_inner", "_outer"]
+    if fold is F.sum:
+        some = F.coalesce(*names).isNotNull()
+        both = F.when(some, reduce(add, [F.coalesce(c, F.lit(0).cast("bigint")) for c in names]))
+    else:
+        both = {F.min: F.least, F.max: F.greatest}[fold](*names)
+    return (
+        blocked.withColumn("_here", fold(F.col(value)).over(within))
+        .transform(join_null_safe, scanned.drop("_total_here"), [*keys, BLOCK])
+        .withColumn(out, both)
+        .drop(BLOCK, "_here", "_inner", "_outer")
+    )

@@ -31,6 +31,18 @@ def _is_closed(status: Column) -> Column:
     return status.isin(*schemas.CLOSED_STATUSES)
 
 
+def folded_columns(carried: list[Column]) -> list[Column]:
+    """What the fold keeps of a ticket: ``n``, ``first_seq``, ``first`` with the ``carried`` columns, and ``last``."""
+    first = F.struct(F.coalesce("ts", "arrival_ts").alias("seen"), *carried)
+    last = F.struct(F.col("raw_line"), F.col("arrival_ts"))
+    return [
+        F.count("*").alias("n"),
+        F.min("arrival_seq").alias("first_seq"),
+        F.min_by(first, F.struct("arrival_seq", "raw_line")).alias("first"),
+        F.max_by(last, F.struct("arrival_seq", "raw_line")).alias("last"),
+    ]
+
+
 def fold_occurrences(
     occ: DataFrame, classify: Callable[[DataFrame, Column], DataFrame] = classify_by_rules
 ) -> DataFrame:
@@ -46,14 +58,7 @@ def fold_occurrences(
     """
     labelled = "fingerprint" in occ.columns
     carried = [F.col(c) for c in schemas.LABELS] if labelled else [dedupe_text().alias("line")]
-    first = F.struct(F.coalesce("ts", "arrival_ts").alias("seen"), *carried)
-    last = F.struct(F.col("raw_line"), F.col("arrival_ts"))
-    folded = occ.groupBy(*KEY).agg(
-        F.count("*").alias("n"),
-        F.min("arrival_seq").alias("first_seq"),
-        F.min_by(first, F.struct("arrival_seq", "raw_line")).alias("first"),
-        F.max_by(last, F.struct("arrival_seq", "raw_line")).alias("last"),
-    )
+    folded = occ.groupBy(*KEY).agg(*folded_columns(carried))
     if labelled:
         return folded
     named = classify(folded, F.col("first.line"))
@@ -61,7 +66,7 @@ def fold_occurrences(
     return named.withColumn("first", labels).drop(*schemas.LABELS)
 
 
-def _new_rows(new: DataFrame, max_id: Column) -> DataFrame:
+def ticket_rows(new: DataFrame, max_id: Column) -> DataFrame:
     """Ticket rows of keys seen for the first time, with ids in order of first arrival."""
     seen = _seconds(F.col("first.seen"))
     return assign_ids(new, max_id, "first_seq", KEY).select(
@@ -128,11 +133,11 @@ def merge_delta(
 ) -> DataFrame:
     """``upsert_tickets`` from an already folded and stored batch."""
     if tickets is None:
-        return _new_rows(delta, F.lit(0) if max_id is None else max_id)
+        return ticket_rows(delta, F.lit(0) if max_id is None else max_id)
     if max_id is None:
         max_id = largest_id(tickets)
     new = join_null_safe(delta, tickets.select(*KEY), KEY, "left_anti")
-    return _repeated_rows(tickets, delta).unionByName(_new_rows(new, max_id))
+    return _repeated_rows(tickets, delta).unionByName(ticket_rows(new, max_id))
 
 
 def upsert_with_status(
@@ -266,23 +271,22 @@ def status_as_of(
     def code(status: Column) -> Column:
         return F.array_position(codes, status).cast("int")
 
-    order = F.col("arrival_seq") * 2
-    changes = status_log.select(*KEY, order.alias("_order"), code(F.col("status")).alias("_code"))
+    seq, change = F.col("arrival_seq"), F.lit(0).alias("_side")
+    changes = status_log.select(*KEY, seq.alias("_order"), change, code(F.col("status")).alias("_code"))
     if initial is not None:
-        start = initial.select(
-            *KEY, F.lit(0).cast("bigint").alias("_order"), code(F.col("status")).alias("_code")
+        before = F.lit(-1).cast("bigint").alias("_order")
+        changes = changes.unionByName(
+            initial.select(*KEY, before, change, code(F.col("status")).alias("_code"))
         )
-        changes = changes.withColumn("_order", F.col("_order") + 2).unionByName(start)
-        order = order + 2
-    rows = occ.withColumn("_order", order + 1)
-    both = rows.withColumn("_row", F.lit(True)).unionByName(changes, allowMissingColumns=True)
-    carried = carry_forward(both, KEY, "_order", "_code", "_at")
+    rows = occ.withColumns({"_order": seq, "_side": F.lit(1), "_row": F.lit(True)})
+    both = rows.unionByName(changes, allowMissingColumns=True)
+    carried = carry_forward(both, KEY, "_order", "_code", "_at", ["_side"])
     status = F.try_element_at(codes, F.nullif(F.col("_at"), F.lit(0)))
     return (
         carried.filter("_row")
         .withColumn("status_as_of", status)
         .withColumn("counted", ~F.coalesce(_is_closed(F.col("status_as_of")), F.lit(False)))
-        .drop("_order", "_code", "_at", "_row")
+        .drop("_order", "_side", "_code", "_at", "_row")
     )
 
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import datetime
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.operators.actions import run_actions, ticket_outcomes
-from faultfold.operators.delivery import route_messages
+from faultfold.operators.delivery import delivery_state, route_messages
+from faultfold.schemas import RUN
 from faultfold.session import materialize
 from faultfold.sources.messages import read_ticket_messages
 
 
 class Work(NamedTuple):
-    """What a step leaves: runs, states (``ticket_id``, ``attempt``, ``status``) and delivery rows."""
+    """What a step leaves: runs, states (``message_id``, ``ticket_id``, ``attempt``, ``status``) and delivery
+    rows. Each message is judged by its own runs, whatever ticket it names."""
 
     runs: DataFrame
     outcomes: DataFrame
@@ -55,15 +59,54 @@ def process_messages(
         *[c for c in parsed.columns if c not in [*routed.columns, "ticket_id", "app_name"]],
     )
     tickets = materialize(tickets, "received")
-    runs = materialize(run_actions(tickets.drop("message_id"), actions, fn), "runs")
-    outcomes = ticket_outcomes(runs, tickets).select("ticket_id", "attempt", "status")
-    own = tickets.select("message_id", F.col("id").alias("ticket_id"), "attempt")
+    runs = materialize(run_actions(tickets, actions, fn, keep=["message_id"]), "runs")
+    by = ["message_id", "ticket_id", "attempt"]
+    outcomes = ticket_outcomes(runs, tickets, by=by).select(*by, "status")
     kind = F.when(F.col("status") == "failed", "failed").otherwise("deleted")
-    worked = own.join(outcomes, ["ticket_id", "attempt"]).select(
-        "message_id", "attempt", kind.alias("kind")
-    )
+    worked = outcomes.select("message_id", "attempt", kind.alias("kind"))
     rest = [
         rows.select("message_id", "attempt", F.lit(what).alias("kind"))
         for rows, what in ((rejects, "deleted"), (back, "mismatched"))
     ]
     return Work(runs, outcomes, worked.unionByName(rest[0]).unionByName(rest[1]))
+
+
+def work_queue(
+    messages: DataFrame,
+    log: DataFrame,
+    workers: DataFrame,
+    actions: DataFrame,
+    fn: Callable[[dict, dict], str],
+    ticks: Sequence[datetime],
+) -> tuple[DataFrame, DataFrame]:
+    """Work a queue off over time: the delivery log after the last of ``ticks``, and all runs.
+
+    At each tick the workers receive every message that is visible then, run its ticket, and log
+    what became of it; a failed one is visible again 30 seconds later, and is tried without a
+    limit. ``log`` holds what happened before, ``published`` rows at least. The loop ends early
+    once no message is left. Each tick is one step of :func:`process_messages`; its rows are
+    written to the shared folder, so lineage does not grow with the ticks.
+    """
+    log = materialize(log.select("message_id", "kind", "ts", "seq"), "delivery-log")
+    parts, runs = [log], []
+    for tick in sorted(ticks):
+        log = reduce(DataFrame.unionByName, parts)
+        at = F.lit(tick).cast("timestamp")
+        state = delivery_state(log.filter(F.col("ts") <= at)).filter("kind <> 'deleted'")
+        due = state.filter(F.col("visible_at") <= at).select("message_id")
+        received = materialize(messages.join(due, "message_id", "left_semi"), "due")
+        if received.isEmpty():
+            if state.isEmpty():
+                break
+            continue
+        step = process_messages(received, log, workers, actions, fn)
+        last = log.groupBy("message_id").agg(F.max("seq").alias("_seq"))
+        begun = received.select("message_id", F.lit("received").alias("kind"), F.lit(1).alias("_step"))
+        ended = step.deliveries.select("message_id", "kind", F.lit(2).alias("_step"))
+        added = begun.unionByName(ended).join(last, "message_id")
+        added = added.select("message_id", "kind", at.alias("ts"), (F.col("_seq") + F.col("_step")).alias("seq"))
+        parts.append(materialize(added, "delivery-log"))
+        runs.append(step.runs)
+    log = reduce(DataFrame.unionByName, parts)
+    empty = log.sparkSession.createDataFrame([], RUN)
+    return log, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs, empty)

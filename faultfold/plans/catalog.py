@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ from faultfold.plans import views as given
 from faultfold.plans.oracle import query
 from faultfold.plans.rules import DEFAULT_RULES
 from faultfold.session import materialize, shared_folder
-from faultfold.sources import logs, messages, records
+from faultfold.sources import fetch, logs, messages, records, sink
 from faultfold.sources import tickets as stored
-from faultfold.streaming import pipeline
+from faultfold.streaming import pipeline, polls, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,6 +148,61 @@ def s4_fetch_event_records(spark, sf_dir):
     return fetched.select("app", "arrival_seq", "ts")
 
 
+def event_fetcher(sf_dir: str) -> fetch.Fetch:
+    """Fetches the raw events of an app from their file, as a service with an export would."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet".removeprefix("file://")
+
+    def events(app: str, since: datetime, until: datetime):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        rows = ds.dataset(path)
+        zone = rows.schema.field("ts").type.tz
+        low, high = (t if zone else t.replace(tzinfo=None) for t in (since, until))
+        unit = rows.schema.field("ts").type
+        wanted = (ds.field("ts") >= pa.scalar(low, unit)) & (ds.field("ts") < pa.scalar(high, unit))
+        kinds = [pa.int64(), pa.timestamp("us", "UTC"), pa.int64(), pa.string(), pa.float64(), pa.string()]
+        names = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+        for batch in rows.to_batches(filter=wanted, columns=names):
+            user = batch.column("user_id").cast(pa.int64())
+            own = pc.equal(pc.subtract(user, pc.multiply(pc.divide(user, 3), 3)), int(app.removeprefix("app")))
+            kept = batch.filter(own)
+            yield pa.RecordBatch.from_arrays([kept.column(n).cast(k) for n, k in zip(names, kinds)], names)
+
+    return events
+
+
+APPS = "app0,app1,app2"
+
+
+@register("x2_fetch_batch", query("v_logs", f"{FETCHED} >= TIMESTAMP '2024-01-29 12:00:00'"))
+def x2_fetch_batch(spark, sf_dir):
+    """The poll of ``s4_fetch_event_records`` through a data source, with its start pushed into the fetch."""
+    fetch.register_source(spark, "faultfold_events", event_fetcher(sf_dir), given.TABLES["events"])
+    source = spark.read.format("faultfold_events").option("apps", APPS).option("until", "2030-01-01")
+    fetched = logs.fetch_since(given.logs_from(source.load()), moment(AS_OF), INTERVAL_S, "event_records")
+    return fetched.select("app", "arrival_seq", "ts")
+
+
+@register("x2_fetch_stream", query("v_logs", f"{FETCHED} >= TIMESTAMP '2024-01-29 12:00:00'"))
+def x2_fetch_stream(spark, sf_dir):
+    """The same lines as a stream that is stopped half way and started again."""
+    fetch.register_source(spark, "faultfold_events", event_fetcher(sf_dir), given.TABLES["events"])
+    root = scratch(spark, "fetched")
+    source = spark.readStream.format("faultfold_events").option("apps", APPS)
+    source = source.option("since", "2024-01-29T12:00:00")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    for until in ("2024-01-30T06:00:00", "2030-01-01"):
+        stream = given.logs_from(source.option("until", until).load())
+        query = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep)
+        query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("app", "arrival_seq", "ts")
+
+
 @register("s4_fetch_structured", query("v_logs", f"{FETCHED} > TIMESTAMP '2024-01-29 12:00:00'"))
 def s4_fetch_structured(spark, sf_dir):
     fetched = logs.fetch_since(given.logs(spark, sf_dir), moment(AS_OF), INTERVAL_S, "structured")
@@ -217,6 +273,30 @@ def s7_written_messages(spark, sf_dir):
     )
 
 
+@register(
+    "s7_stream_sink",
+    query(
+        "v_bodies",
+        """
+        SELECT id AS ticket_id, app AS app_name, severity, classification,
+          id % 3 AS batch FROM v_bodies""",
+    ),
+)
+def s7_stream_sink(spark, sf_dir):
+    """The message of every ticket once, through the streaming sink, in three batches."""
+    root = scratch(spark, "sink")
+    bodies = messages.message_bodies(messages.ticket_messages(given.tickets(spark, sf_dir)), "value")
+    spark.dataSource.register(sink.MessageSink)
+    for part in range(3):
+        bodies.filter(F.col("ticket_id") % 3 == part).select("value").write.parquet(f"{root}/in/{part}")
+        stream = spark.readStream.schema("value string").parquet(f"{root}/in/*")
+        query = stream.writeStream.format(sink.NAME).option("path", f"{root}/out")
+        query = query.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+        query.start().awaitTermination()
+    ok, _ = messages.read_ticket_messages(sink.written_messages(spark, f"{root}/out"), "value")
+    return ok.select("ticket_id", "app_name", "severity", "classification", "batch")
+
+
 @register(
     "s8_messages_read",
     query(
@@ -913,6 +993,33 @@ def j10_upsert_with_status(spark, sf_dir):
     )
 
 
+@register(
+    "j10_text_sources",
+    query(
+        "v_logs v_doclogs",
+        f"""
+        SELECT app, count(*) AS lines, count(*) FILTER (hash[1] NOT BETWEEN '4' AND '7') AS counted
+        FROM (SELECT app, {oracle.hashed('app', 'message')} AS hash FROM (SELECT app, message FROM v_logs
+          UNION ALL SELECT app, message FROM v_doclogs)) GROUP BY app""",
+    ),
+)
+def j10_text_sources(spark, sf_dir):
+    """Status as of arrival for two sources whose lines the library numbers itself."""
+    sources = [given.logs(spark, sf_dir), given.doc_logs(spark, sf_dir)]
+    entries = logs.union_sources(*[logs.as_entries(s.drop("arrival_seq")) for s in sources])
+    occ = classify.occurrences_of(entries, hash_on="message")
+    head = F.substring("fingerprint_hash", 1, 1)
+    keys = occ.select(*schemas.TICKET_KEY).distinct()
+    closed = keys.filter(head.between("0", "7")).withColumn("status", F.lit("done"))
+    reopened = keys.filter(head.between("0", "3")).withColumn("status", F.lit("open"))
+    labelled = tickets.status_as_of(
+        occ, reopened.withColumn("arrival_seq", F.lit(0).cast("bigint")), closed
+    )
+    return labelled.groupBy("app").agg(
+        F.count("*").alias("lines"), F.count_if("counted").alias("counted")
+    )
+
+
 @register(
     "a7_publish_outcomes",
     query(
@@ -1117,6 +1224,98 @@ def z5_worker_step(spark, sf_dir):
     return work.process_messages(received, log, apps, actions, sample_action).deliveries
 
 
+def fails_at_four(fails: Callable[[dict], bool]) -> Callable[[dict, dict], str]:
+    """A user action that fails at the fourth position for some tickets."""
+
+    def action(ticket: dict, step: dict) -> str:
+        if step["pos"] == 4 and fails(ticket):
+            raise RuntimeError("down")
+        return step["action_name"]
+
+    return action
+
+
+def queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message for every ticket, ready to be received."""
+    bodies = messages.message_bodies(messages.ticket_messages(given.tickets(spark, sf_dir)))
+    return messages.message_attributes(bodies).select(
+        F.col("ticket_id").alias("message_id"), "body", "attributes"
+    )
+
+
+@register(
+    "z5_worker_messages",
+    query(
+        "v_tickets v_actions",
+        """
+        SELECT t.id AS message_id, CASE WHEN t.id % 7 = 0 THEN 0 ELSE t.id % 50 END AS ticket_id,
+          CASE WHEN bad.app IS NOT NULL AND t.fingerprint_hash[1] < '5' THEN 'failed'
+            ELSE 'done' END AS status
+        FROM v_tickets t
+        LEFT JOIN (SELECT DISTINCT app FROM v_actions WHERE pos = 4) bad ON t.app = bad.app
+        WHERE t.app <> 'app2'""",
+    ),
+)
+def z5_worker_messages(spark, sf_dir):
+    """Many messages that name one ticket, or none at all: each is judged by its own run."""
+    number = F.when(F.col("message_id") % 7 == 0, F.lit("")).otherwise(
+        F.concat(F.lit('"ticket_id":'), (F.col("message_id") % 50).cast("string"), F.lit(","))
+    )
+    body = F.concat(F.lit("{"), number, F.regexp_replace("body", r'^\{"ticket_id":\d+,', ""))
+    received = queued(spark, sf_dir).withColumn("body", body)
+    apps = spark.createDataFrame([("app0",), ("app1",)], "app string")
+    log = given.delivery_log(spark, sf_dir).limit(0)
+    fn = fails_at_four(lambda ticket: ticket["fingerprint_hash"][0] < "5")
+    done = work.process_messages(received, log, apps, given.actions(spark, sf_dir), fn)
+    return done.outcomes.select("message_id", "ticket_id", "status")
+
+
+TICKS = [0, 20, 40, 60, 80, 400]
+
+
+@register(
+    "z5_redelivery",
+    query(
+        "v_tickets v_actions",
+        f""",
+        m AS (SELECT t.id, t.app, bad.app IS NOT NULL AS bad FROM v_tickets t
+          LEFT JOIN (SELECT DISTINCT app FROM v_actions WHERE pos = 4) bad ON t.app = bad.app),
+        ticks AS (SELECT n, ({TICKS})[n] AS at FROM range(1, {len(TICKS) + 1}) r(n)),
+        w AS (SELECT 0::BIGINT AS n, id, app, bad, 0 AS attempts, 'published' AS kind, -60 AS ts,
+            -60 AS visible FROM m
+          UNION ALL SELECT t.n, id, app, bad, attempts + due::INT,
+            CASE WHEN NOT due THEN kind ELSE outcome END, CASE WHEN due THEN t.at ELSE ts END,
+            CASE WHEN NOT due THEN visible WHEN outcome = 'failed' THEN t.at + 30 ELSE t.at END
+          FROM (SELECT w.*, t.n AS next, t.at, kind <> 'deleted' AND visible <= t.at AS due,
+              CASE WHEN app = 'app2' THEN 'mismatched'
+                WHEN bad AND attempts + 1 <= id % 4 THEN 'failed' ELSE 'deleted' END AS outcome
+            FROM w JOIN ticks t ON t.n = w.n + 1) w JOIN ticks t ON t.n = w.next)
+        SELECT id AS message_id, attempts, kind,
+          TIMESTAMP '2024-01-01 00:01:00' + to_seconds(ts) AS ts
+        FROM w WHERE n = {len(TICKS)}""",
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)
+def z5_redelivery(spark, sf_dir):
+    """The queue worked off over six ticks: failures come back after 30 s, other apps' messages at once."""
+    start = datetime(2024, 1, 1, 0, 1, tzinfo=timezone.utc)
+    queue = queued(spark, sf_dir)
+    log = queue.select(
+        "message_id",
+        F.lit("published").alias("kind"),
+        moment("2024-01-01 00:00:00").alias("ts"),
+        F.lit(1).cast("bigint").alias("seq"),
+    )
+    apps = spark.createDataFrame([("app0",), ("app1",)], "app string")
+    fn = fails_at_four(lambda ticket: ticket["attempt"] <= ticket["id"] % 4)
+    ticks = [start + timedelta(seconds=s) for s in TICKS]
+    log, _ = work.work_queue(queue, log, apps, given.actions(spark, sf_dir), fn, ticks)
+    return log.groupBy("message_id").agg(
+        F.count_if(F.col("kind") == "received").cast("int").alias("attempts"),
+        F.max_by("kind", "seq").alias("kind"),
+        F.max_by("ts", "seq").alias("ts"),
+    )
+
+
 @register(
     "x1_user_classifier",
     query(
@@ -1170,6 +1369,30 @@ def a4_queue_depth(spark, sf_dir):
     return delivery.queue_depth(given.delivery_log(spark, sf_dir), moment(DEPTH_AS_OF))
 
 
+@register(
+    "a4_depth_series",
+    query(
+        "v_delivery",
+        """,
+        spans AS (SELECT kind, ts, ts + to_seconds(CASE kind WHEN 'received' THEN 300
+            WHEN 'failed' THEN 30 ELSE 0 END) AS shown, min(ts) OVER (PARTITION BY message_id
+            ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later
+          FROM v_delivery),
+        ticks AS (SELECT unnest(generate_series(TIMESTAMP '1995-06-14 23:00:00',
+          TIMESTAMP '1995-06-15 01:00:00', INTERVAL 10 SECOND)) AS as_of)
+        SELECT as_of, count(*) FILTER (shown <= as_of) AS visible,
+          count(*) FILTER (shown > as_of) AS in_flight
+        FROM ticks LEFT JOIN spans ON ts <= as_of AND (later IS NULL OR later > as_of)
+          AND kind <> 'deleted' GROUP BY as_of""",
+    ),
+)
+def a4_depth_series(spark, sf_dir):
+    """The depth every ten seconds."""
+    start = datetime(1995, 6, 14, 23, tzinfo=timezone.utc)
+    log = given.delivery_log(spark, sf_dir)
+    return delivery.depth_series(log, start, start + timedelta(hours=2))
+
+
 # ---- views ---------------------------------------------------------------------------------
 
 ACTIVE_SQL = """
@@ -1403,6 +1626,37 @@ def z3_stream_tickets(spark, sf_dir):
     return table.read()
 
 
+def landing(spark: SparkSession, rows: DataFrame, path: str, parts: list[Column]) -> DataFrame:
+    """Rows in files that arrive one after the other, as a stream of a batch each."""
+    for number, part in enumerate(parts):
+        rows.filter(part).coalesce(1).write.parquet(f"{path}/{number:03d}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return stream.parquet(f"{path}/*")
+
+
+def days_of(spark: SparkSession, sf_dir: str, per_part: int) -> list[Column]:
+    """Conditions that cut a month of events into parts of some days."""
+    day = F.dayofmonth("ts")
+    last = 31 // per_part
+    number = F.least(F.floor(day / per_part), F.lit(last))
+    return [number == k for k in range(last + 1)]
+
+
+@register("z3_state_store", A1_SQL)
+def z3_state_store(spark, sf_dir):
+    """The same tickets from Spark's state store, over several batches and a restart."""
+    root = scratch(spark, "states")
+    entries = given.logs(spark, sf_dir)
+    parts = days_of(spark, sf_dir, 8)
+    for run, some in enumerate((parts[:2], parts[2:])):
+        landing(spark, entries, f"{root}/in/{run}", some)
+        stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1)
+        state.stream_states(
+            stream.parquet(f"{root}/in/*/*"), f"{root}/out", f"{root}/checkpoint", available_now=True
+        ).awaitTermination()
+    return state.read_states(spark, f"{root}/out")
+
+
 @register(
     "z3_two_streams",
     f"""
@@ -1488,6 +1742,80 @@ def z7_poll_status(spark, sf_dir):
     return pipeline.poll_status(given.polls(spark, sf_dir))
 
 
+@register(
+    "z7_polled_stream",
+    query(
+        "v_logs",
+        """,
+        p AS (SELECT arrival_seq % 6 AS poll, arrival_seq % 6 IN (1, 4) AS failed, count(*) AS n
+          FROM v_logs GROUP BY ALL)
+        SELECT poll, 'polling' AS status, '' AS error_msg, poll * 2 AS arrival_seq, 0 AS lines FROM p
+        UNION ALL SELECT poll, CASE WHEN failed THEN 'error' ELSE 'idle' END,
+          CASE WHEN failed THEN 'fetch error: no answer to poll ' || poll ELSE '' END,
+          poll * 2 + 1, CASE WHEN failed THEN 0 ELSE n END FROM p""",
+    ),
+)
+def z7_polled_stream(spark, sf_dir):
+    """Six polls of a source that does not answer two of them: their status, and the lines processed."""
+    root = scratch(spark, "polls")
+    entries = given.logs(spark, sf_dir)
+    clock = landing(spark, entries, f"{root}/in", [F.col("arrival_seq") % 6 == k for k in range(6)])
+
+    def answer(batch: DataFrame) -> DataFrame:
+        silent = F.raise_error(F.concat(F.lit("no answer to poll "), (F.col("arrival_seq") % 6).cast("string")))
+        number = batch.select(F.col("arrival_seq") % 6).first()[0]
+        if number == 1:
+            raise RuntimeError("no answer to poll 1")
+        return batch.withColumn("app", F.when(F.col("arrival_seq") % 6 == 4, silent).otherwise(F.col("app")))
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        lines = batch.agg(F.count("*").alias("lines"))
+        lines.write.mode("overwrite").parquet(f"{root}/lines/poll={batch_id}")
+
+    step = polls.poll_step(spark, polls.Source("app", answer), count, f"{root}/status")
+    run_stream(spark, clock, step, "polled")
+    told = polls.read_poll_status(spark, f"{root}/status")
+    lines = spark.read.schema("lines bigint, poll bigint").parquet(f"{root}/lines")
+    text = F.regexp_extract("error_msg", "^fetch error: .*?no answer to poll [0-9]+", 0)
+    short = F.regexp_replace(text, "^fetch error: .*no answer", "fetch error: no answer")
+    done = F.when(F.col("status") == "idle", F.col("lines")).otherwise(0).cast("bigint")
+    return told.join(lines, "poll", "left").select(
+        "poll", "status", short.alias("error_msg"), "arrival_seq", F.coalesce(done, F.lit(0)).alias("lines")
+    )
+
+
+@register(
+    "z9_late_rows",
+    query(
+        "v_logs",
+        f""",
+        parts AS (SELECT *, (arrival_seq * 7) % 5 AS part FROM v_logs),
+        marks AS (SELECT part, max(ts) AS newest FROM parts GROUP BY part),
+        judged AS (SELECT p.*, coalesce(ts < (SELECT max(newest) FROM marks m WHERE m.part < p.part)
+          - INTERVAL 7 DAY, false) AS late FROM parts p)
+        SELECT late, part AS batch, {oracle.day("ts")} AS day, count(*) AS n FROM judged GROUP BY ALL""",
+    ),
+)
+def z9_late_rows(spark, sf_dir):
+    """Shuffled lines in five batches: those a week behind the newest one are kept apart, by their day."""
+    root = scratch(spark, "late")
+    entries = given.logs(spark, sf_dir)
+    part = (F.col("arrival_seq") * 7) % 5
+    stream = landing(spark, entries, f"{root}/in", [part == k for k in range(5)])
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    step = state.late_rows(spark, f"{root}/aside", keep, 7 * 86400)
+    run_stream(spark, stream, step, "late")
+    kept = spark.read.parquet(f"{root}/out").withColumn("late", F.lit(False))
+    late = state.read_late(spark, f"{root}/aside").withColumn("late", F.lit(True))
+    by_day = kept.unionByName(late).groupBy(
+        "late", F.col("batch").cast("bigint").alias("batch"), text.day_key(F.col("ts")).alias("day")
+    )
+    return by_day.agg(F.count("*").alias("n"))
+
+
 @register(
     "z8_day_basis",
     query(

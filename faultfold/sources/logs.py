@@ -149,22 +149,18 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return union if union.isStreaming or "arrival_seq" not in union.columns else with_sequence(union)
 
 
-def poll_batches(df: DataFrame, interval_s: int) -> DataFrame:
-    """Each row once per overlapping poll that would fetch it, with the poll's time.
-
-    A poll looks back two intervals, so a row normally shows up twice. No shuffle.
-    """
-    polls = F.window("ts", f"{2 * interval_s} seconds", f"{interval_s} seconds")
-    return df.withColumn("_poll", polls).withColumn("poll_ts", F.col("_poll.end")).drop("_poll")
-
-
-def dedupe_overlap(df: DataFrame, keys: list[str], delay: str | None = None) -> DataFrame:
-    """Undo the overlap: one row per ``keys``.
+def dedupe_overlap(
+    df: DataFrame, keys: list[str], delay: str | None = None, at: str = "ts"
+) -> DataFrame:
+    """Undo the overlap: one row per ``keys``. Rows with a null key cannot be told apart and all stay.
 
-    A stream needs ``delay``, the time after which a repeat can no longer arrive.
+    A stream needs ``delay``, the time by ``at`` after which a repeat can no longer arrive.
     """
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    own = F.when(whole, F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys])).otherwise(F.uuid())
+    marked = df.withColumn("_own", own)
     if df.isStreaming:
         if delay is None:
             raise ValueError("a stream needs a delay")
-        return df.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
-    return df.dropDuplicates(keys)
+        return marked.withWatermark(at, delay).dropDuplicatesWithinWatermark(["_own"]).drop("_own")
+    return marked.dropDuplicates(["_own"]).drop("_own")

@@ -22,6 +22,9 @@ from faultfold.sources.tickets import TicketTable
 # Fixed value: seconds between polls when none are given.
 DEFAULT_INTERVAL_S = 30
 
+#: What tells the lines of polled sources apart.
+OVERLAP_KEYS = ["app", "arrival_seq"]
+
 
 def start_ingest(
     stream: DataFrame,
@@ -77,12 +80,15 @@ def stream_tickets(
 ) -> StreamingQuery:
     """Tickets from a stream of log entries. Each stream on a table has a ``writer`` of its own.
 
-    Polls look back two intervals, so a source that is polled delivers lines again. With
-    ``overlap_keys``, the columns that tell a source's lines apart, each line counts once.
+    Polls look back two intervals, so a source that is polled delivers lines again. Each line counts
+    once: ``overlap_keys`` tell a source's lines apart, by default its own number for them; lines
+    without a number cannot be delivered again, as only files have none. An empty list keeps repeats.
     """
     interval = options.pop("interval_s", DEFAULT_INTERVAL_S)
-    if overlap_keys:
-        stream = dedupe_overlap(stream, overlap_keys, f"{4 * (interval or DEFAULT_INTERVAL_S)} seconds")
+    keys = OVERLAP_KEYS if overlap_keys is None else overlap_keys
+    if keys:
+        delay = f"{4 * (interval or DEFAULT_INTERVAL_S)} seconds"
+        stream = dedupe_overlap(stream, keys, delay, "arrival_ts")
     step = fold_batch(table, writer, **options)
     return start_ingest(stream, step, checkpoint, interval, available_now)
 

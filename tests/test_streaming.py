@@ -4,12 +4,18 @@ from pyspark.sql import functions as F
 from faultfold.operators import tickets
 from faultfold.operators.classify import occurrences_of
 from faultfold.plans import views as given
-from faultfold.sources.logs import dedupe_overlap, poll_batches
+from faultfold.sources.logs import dedupe_overlap
 from faultfold.sources.messages import read_ticket_messages
 from faultfold.sources.tickets import TicketTable
 from faultfold.streaming import pipeline
 
 
+def poll_batches(df, interval_s):
+    """Each row once per overlapping poll that would fetch it, with the poll's time."""
+    polls = F.window("ts", f"{2 * interval_s} seconds", f"{interval_s} seconds")
+    return df.withColumn("_poll", polls).withColumn("poll_ts", F.col("_poll.end")).drop("_poll")
+
+
 def landed(spark, data, path, parts=4):
     """Log entries as files that arrive one after the other."""
     entries = given.logs(spark, data)
