@@ -8,15 +8,17 @@ with fewer words has one shingle, a text without words none. Two documents are l
 2. Documents with equal sets collapse to the smallest id among them.
 3. Candidates share a band bucket. A bucket never emits all its pairs: each member meets the bucket's
    smallest member. What a bucket then still holds of several components is compared across components
-   in blocks of ``BLOCK`` rows inside tasks, each pair in the first band it shares, and only the links
-   that join components leave the task.
+   in blocks of ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles inside tasks, each pair in the first band it shares
+   by the bands' own hashes, and only the links that join components leave the task.
 4. A candidate's signatures are compared batch by batch; it is dropped as soon as the posterior
    probability that its similarity reaches the threshold falls below ``miss``. The prior is uniform.
 5. Survivors are verified on full sets, recomputed from the texts of the documents that occur in them.
 6. Verified links are joined to components by alternating large-star and small-star steps.
 
 Null text counts as empty. Rows with a null id take no part in links, and keep a null component. Ids
-are taken to be unique; of repeated rows with one id all get the same answer. Other columns are ignored.
+are taken to be unique; of repeated rows with one id all get the same answer. Other columns are ignored, whatever their
+names; ties do not occur, and an empty table has an empty result. A very long text is one set of 8 bytes a shingle in a task.
+Words and sets are known by 64-bit hashes that no bytes cancel out in.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from faultfold.llm.common import bounded_batches, dropped, written
 from faultfold.llm.words import Words, mixed, word_chunks
 
 HASHES, BAND, BATCH, BLOCK = 150, 5, 30, 512
+#: Shingles of a block's documents, about: 8 bytes each.
+BLOCK_SHINGLES = 1 << 20
 MISS = 1e-6
 #: Slots of ids that are broadcast to pick the texts to verify: 4 bytes each, and their hash table.
 SLOTS = 1 << 19
@@ -96,13 +100,13 @@ def _sketches(size: int):
                 lengths = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(lengths)
                 high, low = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
-                raw, bands = [None] * (hi - lo), [None] * (hi - lo)
+                raw, bands, packed = ([None] * (hi - lo) for _ in range(3))
                 if len(full):
                     kept = [sets[i] for i in full]
                     made = signatures(kept)
                     keys, short = band_hashes(made), made.astype(np.uint16)
                     for k, i in enumerate(full.tolist()):
-                        raw[i], bands[i] = short[k].tobytes(), keys[k]
+                        raw[i], bands[i], packed[i] = short[k].tobytes(), keys[k], keys[k].tobytes()
                         high[i] = np.add.reduce(kept[k]).view(np.int64)
                         low[i] = np.bitwise_xor.reduce(mixed(kept[k] + _STEP)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -113,23 +117,21 @@ def _sketches(size: int):
                         pa.array(low),
                         pa.array(raw, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
+                        pa.array(packed, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "high", "low", "signature", "bands"],
+                    ["doc_id", "n_shingles", "high", "low", "signature", "bands", "keys"],
                 )
 
     return run
 
 
 def _set_rows(size: int):
-    """Sets as sorted 48-bit values, six bytes each."""
+    """Sets as sorted 64-bit values."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, words in word_chunks(batch.column(1)):
-                sets = [
-                    np.sort(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                    for s in shingle_sets(words, size)
-                ]
+                sets = [s.astype("<u8").tobytes() for s in shingle_sets(words, size)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["doc_id", "shingles"]
                 )
@@ -138,9 +140,17 @@ def _set_rows(size: int):
 
 
 def _read_set(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets reach the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or 100 * len(a) < percent * len(b):
+        return False
+    both = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 # -- sequential Bayesian pruning ---------------------------------------------------------------
@@ -194,14 +204,11 @@ def _pruned(bounds):
 def _verified(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = _read_set(a.as_py()), _read_set(b.as_py())
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    keep.append(i)
+            keep = [
+                i
+                for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3)))
+                if _linked(_read_set(a.as_py()), _read_set(b.as_py()), percent)
+            ]
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     return run
@@ -250,28 +257,27 @@ def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Bucket members with their component and the bucket's largest one, of buckets that hold several."""
     named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = written(named.withColumn("component", F.coalesce("component", "rep")), "named")
-    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     main = sizes.groupBy("bucket").agg(
         F.max_by("component", F.struct("n", -F.col("component"))).alias("main"),
         F.count("*").alias("parts"),
-        F.sum("n").alias("n"),
+        F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
     )
-    main = written(main.where("parts > 1").select("bucket", "main", "n"), "main")
-    return named.join(main, "bucket").select("bucket", "band", "rep", "component", "main", "n")
+    main = written(main.where("parts > 1").select("bucket", "main", "blocks"), "main")
+    return named.join(main, "bucket").select("bucket", "band", "rep", "component", "main", "blocks")
 
 
 def _blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Rows of each pair of blocks of a bucket: outsiders of one block, marked ``out``, and members of the other."""
-    signed = members.join(sketches.select("rep", "signature"), "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    signed = signed.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("rep"), blocks)})
+    signed = members.join(sketches, "rep")
+    signed = signed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     inside = signed.withColumns({"outer": F.explode(every), "inner": F.col("block"), "out": F.lit(False)})
     outside = signed.where("component <> main").withColumns(
         {"outer": F.col("block"), "inner": F.explode(every), "out": F.lit(True)}
     )
     return inside.unionByName(outside).select(
-        F.xxhash64("bucket", "outer", "inner").alias("key"), "band", "out", "rep", "component", "signature"
+        F.xxhash64("bucket", "outer", "inner").alias("key"), "band", "out", "rep", "component", "signature", "keys"
     )
 
 
@@ -296,13 +302,15 @@ def _crossing(rows, bounds):
         return
     left = np.frombuffer(b"".join(r[5] for r in outside), np.uint16).reshape(-1, HASHES)
     right = np.frombuffer(b"".join(r[5] for r in inside), np.uint16).reshape(-1, HASHES)
+    keys_left, keys_right = (
+        np.frombuffer(b"".join(r[6] for r in part), np.int64).reshape(-1, HASHES // BAND) for part in (outside, inside)
+    )
     component, band = np.array([r[4] for r in inside]), rows[0][1]
     for i, row in enumerate(outside):
         away = np.flatnonzero(component != row[4])
         away = away[plausible(np.broadcast_to(left[i], (len(away), HASHES)), right[away], bounds)]
         if len(away):
-            equal = (right[away] == left[i]).reshape(len(away), -1, BAND).all(2)
-            away = away[equal.argmax(1) == band]
+            away = away[(keys_right[away] == keys_left[i]).argmax(1) == band]
         for j in away.tolist():
             yield row, inside[j]
 
@@ -315,6 +323,7 @@ _ROWS = pa.schema(
         ("rep", pa.int64()),
         ("component", pa.int64()),
         ("signature", pa.binary()),
+        ("keys", pa.binary()),
     ]
 )
 
@@ -348,7 +357,7 @@ def _joining(bounds, percent: int):
 
     def run(batches):
         for rows in _grouped(batches):
-            sets = {r[3]: frozenset(_read_set(r[6]).tolist()) for r in rows}
+            sets = {r[3]: _read_set(r[7]) for r in rows}
             parent: dict[int, int] = {}
 
             def root(x):
@@ -361,9 +370,7 @@ def _joining(bounds, percent: int):
                 here, there = root(one[4]), root(other[4])
                 if here == there:
                     continue
-                a, b = sets[one[3]], sets[other[3]]
-                both = len(a & b)
-                if 100 * both >= percent * (len(a) + len(b) - both):
+                if _linked(sets[one[3]], sets[other[3]], percent):
                     parent[here] = there
                     links.append((one[3], other[3]))
             yield _table(links, _LINKS)
@@ -405,7 +412,8 @@ def joining_links(
     blocks = _blocks(members, sketches).repartition("key").sortWithinPartitions("key")
     paired = written(
         blocks.mapInArrow(
-            _paired(bounds), "key long, band int, out boolean, rep long, component long, signature binary"
+            _paired(bounds),
+            "key long, band int, out boolean, rep long, component long, signature binary, keys binary",
         ),
         "paired",
     )
@@ -426,7 +434,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5, mis
     sketches = written(
         documents.mapInArrow(
             _sketches(words),
-            "doc_id long, n_shingles long, high long, low long, signature binary, bands array<long>",
+            "doc_id long, n_shingles long, high long, low long, signature binary, bands array<long>, keys binary",
         ),
         "sketches",
     )
@@ -434,14 +442,15 @@ def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5, mis
     fingerprint = ["n_shingles", "high", "low"]
     # Documents of a class have equal sets and so equal signatures; the smallest id stands for them.
     classes = full.groupBy(*fingerprint).agg(
-        F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("signature", "bands", "keys")]
     )
     reps = written(classes, "classes")
     named = written(full.join(reps.select(*fingerprint, "rep"), fingerprint).select("doc_id", "rep"), "members")
-    exploded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    exploded = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     crowded = exploded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     buckets = written(exploded.join(crowded.select("bucket", "pivot"), "bucket"), "buckets")
     small = reps.select("rep", "signature")
+    keyed = reps.select("rep", "signature", "keys")
 
     pairs = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(small.withColumnsRenamed({"rep": "a", "signature": "sig_a"}), "a")
@@ -451,7 +460,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, words: int = 5, mis
     links = verify(known, candidates, percent, words)
     labels = written(components(links), "labels")
     members = _unresolved(buckets, labels)
-    more = written(joining_links(known, members, small, bounds, percent, words), "links")
+    more = written(joining_links(known, members, keyed, bounds, percent, words), "links")
     if not more.isEmpty():
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = written(components(stars.where("a <> b").union(more)), "labels")

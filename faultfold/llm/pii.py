@@ -1,16 +1,20 @@
 """Personal data: rules for four kinds of spans, and a character-level tagger that adds to them.
 
 The tagger is a bidirectional LSTM over character classes with a linear-chain CRF, written and trained in
-numpy. Its labelled spans are what the rules find in at most :data:`SAMPLE` documents, chosen by the hash
-of their ids, and written examples in further formats put into the same texts. Windows of
-:data:`WIDTH` characters overlap by :data:`OVERLAP`; each is decoded by itself, every character takes its
-tag from the window it is most central in, and spans are read from the tags of the whole text, so that
-windows do not cut them.
+numpy. Its labelled spans are what patterns find in at most :data:`SAMPLE` documents, chosen by the hash
+of their ids, local telephone numbers included, and written examples in further formats put into the same texts, next to
+numbers that are nobody's (dates, prices, versions). Windows of :data:`WIDTH` characters overlap by :data:`OVERLAP`;
+every character takes its scores from the window it is most central in, and the scores of windows that join are
+decoded as one sequence, so that windows neither cut spans nor disagree.
 
 Every kind needs a digit or an ``@``. A window without one cannot hold a span, so it is not decoded.
 
-A tagged span is added if it passes its kind's check and overlaps no span of the rules; those all stay.
-Null text counts as empty and has no spans. Repeated rows and rows with null ids are searched one by one.
+A tagged span is added if it is one of the kinds by their checks, the tagged kind first, begins and ends where its
+characters do, and overlaps no span of the rules; those all stay. Null text counts as empty and has no
+spans. Repeated rows and rows with null ids are searched one by one; ties do not occur; an empty table has an empty result, and a
+tagger without texts is trained on examples alone. Very long texts are searched whole, with about 40 bytes a character in
+memory where they hold digits throughout. Further columns are ignored, or kept where texts are replaced, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from faultfold.llm.common import bounded_batches, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, OVERLAP = 128, 48
-SAMPLE, STEPS, BATCH, HIDDEN = 400, 200, 48, 12
+SAMPLE, STEPS, BATCH, HIDDEN = 400, 340, 48, 18
 Span = tuple[str, int, int]
 
 
@@ -40,7 +44,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _digits = re.compile(r"[0-9]")
-_local_phone = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")
+_local_phone = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
 
 
 def luhn(digits: str) -> bool:
@@ -188,18 +192,24 @@ def emissions(tagger: Tagger, rows: np.ndarray, keep: bool = False):
     return states @ tagger.output + tagger.bias, (states, kept_a, kept_b)
 
 
-def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The best tag sequence of each column."""
+def viterbi(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The best tag sequence of each column, of which the first ``lengths`` places count."""
     steps, n, tags = scores.shape
-    best, came = scores[0].copy(), np.empty((steps, n, tags), np.int8)
-    for t in range(1, steps):
-        ways = best[:, :, None] + moves[None]
-        came[t] = ways.argmax(1)
-        best = ways.max(1) + scores[t]
-    out = np.empty((steps, n), np.int8)
-    out[-1] = best.argmax(1)
-    for t in range(steps - 1, 0, -1):
-        out[t - 1] = np.take_along_axis(came[t], out[t][:, None].astype(np.int64), 1)[:, 0]
+    lengths = np.full(n, steps) if lengths is None else lengths
+    best, came, last = scores[0].copy(), np.zeros((steps, n, tags), np.int8), np.zeros(n, np.int64)
+    for t in range(1, steps + 1):
+        ended = lengths == t
+        if ended.any():
+            last[ended] = best[ended].argmax(1)
+        if t < steps:
+            ways = best[:, :, None] + moves[None]
+            came[t] = ways.argmax(1)
+            best = ways.max(1) + scores[t]
+    out, tag, column = np.zeros((steps, n), np.int8), last, np.arange(n)
+    for t in range(steps - 1, -1, -1):
+        inside = t < lengths
+        out[t, inside] = tag[inside]
+        tag = np.where(inside, came[t, column, tag], tag)
     return out
 
 
@@ -219,10 +229,9 @@ def _crf_gradient(scores, moves, tags):
         back[t] = _sum_exp(moves + (back[t + 1] + scores[t + 1])[:, None, :], 2)
     total = _sum_exp(ahead[-1], 1)
     by_score = np.exp(ahead + back - total[None, :, None])
-    by_move = np.zeros_like(moves)
-    for t in range(1, steps):
-        both = ahead[t - 1][:, :, None] + moves + (scores[t] + back[t])[:, None, :] - total[:, None, None]
-        by_move += np.exp(both).sum(0)
+    both = ahead[:-1, :, :, None] + moves
+    both += (scores[1:] + back[1:] - total[None, :, None])[:, :, None, :]
+    by_move = np.exp(both, out=both).sum((0, 1))
     np.subtract.at(by_move, (tags[:-1].ravel(), tags[1:].ravel()), 1)
     place, column = np.indices(tags.shape)
     by_score[place, column, tags] -= 1
@@ -232,20 +241,29 @@ def _crf_gradient(scores, moves, tags):
 def _run_back(inputs, recurrent, rows, kept, by_state):
     """Gradients of one direction by backpropagation through time."""
     hidden = len(recurrent)
-    by_inputs, by_recurrent = np.zeros_like(inputs), np.zeros_like(recurrent)
+    back = np.ascontiguousarray(recurrent.T)
     by_h = np.zeros_like(by_state[0])
     by_c = np.zeros_like(by_h)
+    by_gates = np.empty((len(rows), *by_h.shape[:1], 4 * hidden), by_h.dtype)
     for t in range(len(rows) - 1, -1, -1):
-        gates, before, bent, h = kept[t]
+        gates, before, bent, _ = kept[t]
         i, f, o, g = (gates[:, k * hidden : (k + 1) * hidden] for k in range(4))
         by_h = by_h + by_state[t]
         by_c = by_c + by_h * o * (1 - bent * bent)
-        by_gates = np.concatenate(
-            [by_c * g * i * (1 - i), by_c * before * f * (1 - f), by_h * bent * o * (1 - o), by_c * i * (1 - g * g)], 1
-        )
-        by_recurrent += h.T @ by_gates
-        np.add.at(by_inputs, rows[t], by_gates)
-        by_h, by_c = by_gates @ recurrent.T, by_c * f
+        here = by_gates[t]
+        np.multiply(by_c, g, out=here[:, :hidden])
+        np.multiply(by_c, before, out=here[:, hidden : 2 * hidden])
+        np.multiply(by_h, bent, out=here[:, 2 * hidden : 3 * hidden])
+        soft = gates[:, : 3 * hidden]
+        here[:, : 3 * hidden] *= soft * (1 - soft)
+        np.multiply(by_c, i * (1 - g * g), out=here[:, 3 * hidden :])
+        by_h, by_c = here @ back, by_c * f
+    flat = by_gates.reshape(-1, 4 * hidden)
+    by_recurrent = np.stack([h for *_, h in kept]).reshape(-1, hidden).T @ flat
+    order = np.argsort(rows.ravel(), kind="stable")
+    found, first = np.unique(rows.ravel()[order], return_index=True)
+    by_inputs = np.zeros_like(inputs)
+    by_inputs[found] = np.add.reduceat(flat[order], first)
     return by_inputs, by_recurrent
 
 
@@ -273,9 +291,9 @@ def _card_number(rng) -> str:
     return head + next(d for d in "0123456789" if luhn(head + d))
 
 
-def example(rng) -> tuple[str, str]:
+def example(rng, kind: str | None = None) -> tuple[str, str]:
     """A written example of a kind, in one of several formats."""
-    kind = KINDS[rng.integers(len(KINDS))]
+    kind = kind or KINDS[rng.integers(len(KINDS))]
     if kind == "email":
         name, place = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(2))
         middle = rng.choice([".", "_", "+", ""]) + rng.choice(["", "7", "mail"])
@@ -286,8 +304,19 @@ def example(rng) -> tuple[str, str]:
         number, gap = _card_number(rng), rng.choice(["", " ", "-"])
         return kind, gap.join(number[k : k + 4] for k in range(0, 16, 4))
     a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4)
-    forms = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+{_number(rng, 2)} {a} {b} {c}", f"+{a}{b}{c}"]
-    return kind, str(rng.choice(forms))
+    if rng.integers(4):
+        return kind, str(rng.choice([f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"]))
+    return kind, str(rng.choice([f"+1 ({a}) {b}-{c}", f"+{_number(rng, 2)} {a} {b} {c}", f"+{a}{b}{c}"]))
+
+
+def no_example(rng) -> str:
+    """A number that is nobody's."""
+    two, three, four = (_number(rng, n) for n in (2, 3, 4))
+    forms = [
+        f"20{two}-0{two[0]}-1{two[1]}", f"{two}:{two}", f"{three}.{two}", f"{two[0]},{three},{three}", f"v{two[0]}.{two[1]}.{two}",
+        f"{three}-{two}-{four}", f"{four}", f"{four}{four}", f"{two}.{two}.20{two}", f"({four})", f"{three}-{four}", f"no. {three}",
+    ]
+    return str(rng.choice(forms))
 
 
 def tagged(spans: list[Span], n: int) -> np.ndarray:
@@ -300,6 +329,33 @@ def tagged(spans: list[Span], n: int) -> np.ndarray:
     return tags
 
 
+def _shaped(text: str) -> list[Span]:
+    """What is labelled in a text, the kind that wins first."""
+    spans = [s for s in rule_spans(text, checked=False) if s[0] != "card" or s[2] - s[1] >= 13]
+    local = [("phone", m.start(), m.end()) for m in _local_phone.finditer(text) if _stands_alone(text, *m.span())]
+    order = {"email": 0, "phone": 1, "ip": 2, "card": 3}
+    return sorted(spans + local, key=lambda s: (order[s[0]], s[1]))
+
+
+def _put(rng, text: str, label: np.ndarray) -> tuple[str, np.ndarray]:
+    """The text with an example or a number that is none put in between its words."""
+    if rng.integers(4):
+        kind, put = example(rng, "phone" if rng.integers(5) < 3 else None)
+        mid = tagged([(kind, 0, len(put))], len(put))
+    else:
+        put = no_example(rng)
+        mid = np.zeros(len(put), np.int8)
+    free = np.flatnonzero(label == 0)
+    spaces = [int(k) for k in free if k < len(text) and text[k].isspace()]
+    if spaces and rng.integers(5):
+        at = spaces[rng.integers(len(spaces))]
+    else:
+        at = int(free[rng.integers(len(free))]) if len(free) else 0
+    before, behind = rng.choice([" ", " ", ": ", "\n", "(", "### "]), rng.choice([" ", " ", ". ", "\n", ")", "***", ", "])
+    gaps = [np.zeros(len(g), np.int8) for g in (before, behind)]
+    return text[:at] + before + put + behind + text[at:], np.concatenate([label[:at], gaps[0], mid, gaps[1], label[at:]])
+
+
 def training_windows(texts: list[str], n: int, rng) -> tuple[np.ndarray, np.ndarray]:
     """Class and tag windows, time first: near spans, anywhere, and with written examples put in.
 
@@ -307,33 +363,26 @@ def training_windows(texts: list[str], n: int, rng) -> tuple[np.ndarray, np.ndar
     characters, and checked afterwards.
     """
     rows, tags = np.zeros((n, WIDTH), np.uint8), np.zeros((n, WIDTH), np.int64)
-    spans = {}
+    spans: dict[int, list[Span]] = {}
     for i in range(n):
         k = int(rng.integers(len(texts)))
         text = texts[k]
         if k not in spans:
-            shaped = [s for s in rule_spans(text, checked=False) if s[0] != "card" or s[2] - s[1] >= 13]
-            order = {"email": 0, "phone": 1, "ip": 2, "card": 3}
-            spans[k] = sorted(shaped, key=lambda s: (order[s[0]], s[1]))
+            spans[k] = _shaped(text)
         own = spans[k]
-        if own and i % 2:
+        if own and i % 3 == 0:
             rare = KINDS[rng.integers(len(KINDS))]
             near = [s for s in own if s[0] == rare] or own
             _, a, _ = near[rng.integers(len(near))]
             start = max(0, a - int(rng.integers(0, WIDTH - 30)))
         else:
             start = int(rng.integers(max(1, len(text) - WIDTH // 2)))
-        whole = tagged(own, len(text))
-        text, label = text[start : start + WIDTH], whole[start : start + WIDTH]
-        if i % 3 == 0:
-            kind, put = example(rng)
-            gaps = np.flatnonzero(label == 0)
-            at = int(gaps[rng.integers(len(gaps))]) if len(gaps) else 0
-            before, behind = rng.choice([" ", ": ", "\n", "(", "###"]), rng.choice([" ", ". ", "\n", ")", "***"])
-            text = text[:at] + before + put + behind + text[at:]
-            mid = np.concatenate([np.zeros(len(before), np.int8), tagged([(kind, 0, len(put))], len(put)), np.zeros(len(behind), np.int8)])
-            label = np.concatenate([label[:at], mid, label[at:]])
-        text, label = text[:WIDTH], label[:WIDTH]
+        label = tagged(own, len(text))[start : start + WIDTH]
+        text = text[start : start + WIDTH]
+        for _ in range(int(rng.integers(1, 3)) if i % 3 else 0):
+            text, label = _put(rng, text, label)
+        cut = int(rng.integers(max(1, len(text) - WIDTH + 1)))
+        text, label = text[cut : cut + WIDTH], label[cut : cut + WIDTH]
         rows[i, : len(text)], tags[i, : len(text)] = classes(text), label
     return rows.T.copy(), tags.T.copy()
 
@@ -358,7 +407,8 @@ def train(texts: list[str], steps: int = STEPS, seed: int = 5) -> Tagger:
 
 
 def tag_texts(tagger: Tagger, texts: list[str], width: int = WIDTH, overlap: int = OVERLAP) -> list[np.ndarray]:
-    """The tags of whole texts, from overlapping windows."""
+    """The tags of whole texts. Windows that join are scored one by one, each character by the one it is most central in,
+    and decoded together."""
     coded = [classes(t) for t in texts]
     out = [np.zeros(len(c), np.int8) for c in coded]
     stride, margin = width - overlap, overlap // 2
@@ -373,18 +423,46 @@ def tag_texts(tagger: Tagger, texts: list[str], width: int = WIDTH, overlap: int
         final = np.minimum(places // stride, last)
         reach = np.concatenate([first, final, np.minimum(first + 1, final)])
         windows.extend((k, int(w)) for w in np.unique(reach))
+
+    def part_of(k: int, w: int) -> tuple[int, int]:
+        """The characters a window scores."""
+        n = len(coded[k])
+        return w * stride + margin if w else 0, n if w * stride + width >= n else w * stride + width - margin
+
+    runs: list[list[tuple[int, int]]] = []
+    for k, w in windows:
+        if runs and runs[-1][-1] == (k, w - 1):
+            runs[-1].append((k, w))
+        else:
+            runs.append([(k, w)])
+    scores = [np.empty((part_of(*run[-1])[1] - part_of(*run[0])[0], TAGS), np.float32) for run in runs]
+    home = [(r, part_of(*run[0])[0]) for r, run in enumerate(runs) for _ in run]
     for at in range(0, len(windows), 512):
         part = windows[at : at + 512]
         rows = np.zeros((width, len(part)), np.uint8)
         for j, (k, w) in enumerate(part):
             piece = coded[k][w * stride : w * stride + width]
             rows[: len(piece), j] = piece
-        tags = viterbi(emissions(tagger, rows)[0], tagger.moves)
+        scored = emissions(tagger, rows)[0]
         for j, (k, w) in enumerate(part):
-            n = len(coded[k])
-            low = w * stride + margin if w else 0
-            high = n if w * stride + width >= n else w * stride + width - margin
-            out[k][low:high] = tags[low - w * stride : high - w * stride, j]
+            low, high = part_of(k, w)
+            r, base = home[at + j]
+            scores[r][low - base : high - base] = scored[low - w * stride : high - w * stride, j]
+    order = sorted(range(len(runs)), key=lambda r: len(scores[r]))
+    while order:
+        group = [order.pop()]
+        most = 2 * len(scores[group[0]]) // 3
+        while order and len(group) < 256 and len(scores[order[-1]]) >= most:
+            group.append(order.pop())
+        lengths = np.array([len(scores[r]) for r in group])
+        padded = np.zeros((lengths[0], len(group), TAGS), np.float32)
+        for j, r in enumerate(group):
+            padded[: lengths[j], j] = scores[r]
+        tags = viterbi(padded, tagger.moves, lengths)
+        for j, r in enumerate(group):
+            k, w = runs[r][0]
+            low = part_of(k, w)[0]
+            out[k][low : low + lengths[j]] = tags[: lengths[j], j]
     return out
 
 
@@ -402,16 +480,32 @@ def read_spans(tags: np.ndarray) -> list[Span]:
     return spans
 
 
+def _stands_alone(text: str, a: int, b: int) -> bool:
+    """Whether a span is no part of a longer number or word."""
+    before, after = text[a - 1 : a], text[b : b + 1]
+    if before.isalnum() or after.isalnum():
+        return False
+    joined = "-.+/"  # between digits these go on with a number
+    return not (before in joined and before and text[a - 2 : a - 1].isdigit()) and not (
+        after in joined and after and text[b + 1 : b + 2].isdigit()
+    )
+
+
 def added_spans(text: str, base: list[Span], proposed: list[Span]) -> list[Span]:
-    """Proposed spans that pass their check and overlap no span of the rules."""
-    out = []
+    """Proposed spans that are of a kind, stand alone and overlap no span of the rules or one before."""
+    out: list[Span] = []
     for kind, a, b in proposed:
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
-        if a < b and passes(kind, text[a:b]) and not any(x < b and a < y for _, x, y in base):
-            out.append((kind, a, b))
+        if a and text[a - 1] == "(" and ")" in text[a:b] and "(" not in text[a:b]:
+            a -= 1  # a parenthesis that the span closes belongs to it
+        if a >= b or not _stands_alone(text, a, b) or any(x < b and a < y for _, x, y in base + out):
+            continue
+        kinds = [kind, *[other for other in KINDS if other != kind]]
+        if found := next((k for k in kinds if passes(k, text[a:b])), None):
+            out.append((found, a, b))
     return out
 
 

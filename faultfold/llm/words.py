@@ -11,6 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from faultfold.functions.spans import mixed, span_hashes
+
+__all__ = ["CHUNK_BYTES", "LOWER", "Words", "mixed", "per_row", "split_words", "utf8", "word_chunks"]
+
 #: Bytes handled at once. A longer text is handled alone; working memory is about 40 times this.
 CHUNK_BYTES = 1 << 20
 
@@ -25,16 +29,6 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Every bit of ``x`` spread over all 64 bits."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
-    return x
-
-
 def powers(base: int, n: int) -> np.ndarray:
     """``base`` to the powers 0 to n, modulo 2**64."""
     have = _powers.get(base)
@@ -69,12 +63,12 @@ class Words:
         return np.concatenate([[0], np.cumsum(self.counts())])
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; ``lower`` maps A-Z to a-z first."""
-        sums = self.prefix_hashes(lower)
-        return mixed(self.window_hashes(sums, self.start, self.end))
+        """A 64-bit hash of each word, which equal words alone have; ``lower`` maps A-Z to a-z first."""
+        return span_hashes(LOWER[self.data] if lower else self.data, self.start, self.end)
 
-    def prefix_hashes(self, lower: bool = False) -> np.ndarray:
-        codes = _BYTE[LOWER[self.data] if lower else self.data]
+    def prefix_hashes(self) -> np.ndarray:
+        """Sums for :meth:`window_hashes`, whose hashes are good enough for features, not for telling texts apart."""
+        codes = _BYTE[self.data]
         codes *= powers(_BASE, len(codes))[: len(codes)]
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(codes, out=sums[1:])

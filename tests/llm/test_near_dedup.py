@@ -84,3 +84,46 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert bounds[-1] < 0.85 * n and bounds[-1] > 0.5 * n
     assert list(bounds) == sorted(bounds)
     assert near_dedup.least_matches(85, 1e-2)[-1] > bounds[-1]
+
+
+def thue(n):
+    out = ["a"]
+    for _ in range(n):
+        out += ["b" if c == "a" else "a" for c in out]
+    return "".join(out)
+
+
+def test_texts_that_cancel_out_in_polynomials_are_not_equal(frame):
+    one = thue(10)
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert len(one) == 1024
+    got = found(near_duplicates(frame([one, other, one, f"{other} x", f"{one} x"]), 85))
+    assert got == expected(list(enumerate([one, other, one, f"{other} x", f"{one} x"], 1)), 85)
+    assert got[1][1] != got[2][1]
+
+
+def test_a_pair_is_met_in_the_first_band_it_truly_shares():
+    """An earlier band that agrees only in the low bits of its minima does not hide the bands that agree."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 1 << 32, (1, near_dedup.HASHES), dtype=np.uint64).astype(np.uint32)
+    other = one.copy()
+    other[0, : near_dedup.BAND] ^= np.uint32(1 << 20)
+    rows = []
+    for k, made in enumerate((one, other)):
+        keys = near_dedup.band_hashes(made)
+        rows.append((7, 1, k == 0, k, k, made.astype(np.uint16).tobytes(), keys.tobytes()))
+    bounds = near_dedup.least_matches(85, 1e-6)
+    assert len(list(near_dedup._crossing(rows, bounds))) == 1
+    first = [(7, 0, *row[2:]) for row in rows]
+    assert not list(near_dedup._crossing(first, bounds))
+
+
+def test_blocks_are_bounded_by_shingles(frame, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 100)
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join(passage + rng.sample([f"w{k}" for k in range(900)], 12 + k % 5)) for k in range(30)]
+    texts += [f"{t} tail" for t in texts[:10]]
+    assert found(near_duplicates(frame(texts), 85)) == expected(list(enumerate(texts, 1)), 85)

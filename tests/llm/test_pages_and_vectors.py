@@ -125,18 +125,17 @@ def test_null_pages_and_no_pages(spark):
 
 
 def best(rows, k, is_query):
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and len(v) == 3:
-            got = np.floor(64 * np.array(v, np.float64)).astype(np.int64)
-            if i not in vectors or got.tolist() < vectors[i].tolist():
-                vectors[i] = got
+    vectors = [
+        (n, i, np.floor(64 * np.array(v, np.float64)).astype(np.int64))
+        for n, (i, v) in enumerate(rows)
+        if v and all(x is not None and np.isfinite(x) for x in v)
+    ]
     out = []
-    for q, x in vectors.items():
-        if is_query(q):
-            scores = sorted((-int(x @ v), i) for i, v in vectors.items() if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
-    return sorted(out)
+    for n, q, x in vectors:
+        if q is not None and is_query(q):
+            scores = [(-int(x @ v), i is None, i or 0) for m, i, v in vectors if m != n and len(v) == len(x)]
+            out += [(q, r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=str)
 
 
 def test_top_k_matches_all_products(spark, monkeypatch):
@@ -146,11 +145,16 @@ def test_top_k_matches_all_products(spark, monkeypatch):
     rows = [(i, rng.normal(size=3).astype(np.float32).tolist()) for i in range(90)]
     rows += [(100 + i, rows[0][1]) for i in range(30)]
     rows += [(200, None), (201, [1.0, None, 2.0]), (202, [float("nan"), 1.0, 1.0]), (203, []), (None, [1.0, 1.0, 1.0])]
-    rows += [(204, [1.0]), (20, [0.5, 0.5, 0.5]), (40, rows[40][1])]
+    rows += [(20, [0.5, 0.5, 0.5]), (40, rows[40][1]), (40, rows[40][1])]
+    rows += [(i, rng.normal(size=2).tolist()) for i in (20, 60, 61, 61, 62)] + [(80, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("own"))
-    for k in (1, 5, 200):
-        got = topk.top_k(df, F.col("vec_id") % 20 == 0, k).collect()
-        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == best(rows, k, lambda q: q % 20 == 0)
+
+    def got(k):
+        found = topk.top_k(df, F.col("vec_id") % 20 == 0, k).collect()
+        return sorted([(r.query_id, r.rank, r.vec_id, r.score) for r in found], key=str)
+
+    for k in (2, 200):
+        assert got(k) == best(rows, k, lambda q: q % 20 == 0)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     # Blocks meet however many partitions they are dealt over.
     settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
@@ -158,11 +162,31 @@ def test_top_k_matches_all_products(spark, monkeypatch):
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
-        got = topk.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()
+        found = got(5)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == best(rows, 5, lambda q: q % 20 == 0)
+    assert found == best(rows, 5, lambda q: q % 20 == 0)
+
+
+def test_most_candidates_are_never_read(spark, monkeypatch):
+    """Exact vectors are joined in rounds; with clustered vectors the first ones settle every query."""
+    read = []
+    whole = topk._scored
+
+    def scored(width):
+        read.append(width)
+        return whole(width)
+
+    monkeypatch.setattr(topk, "_scored", scored)
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=4) + 8 * (i % 5)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = topk.top_k(df, F.col("vec_id") % 500 == 0, 3).collect()
+    assert sorted([(r.query_id, r.rank, r.vec_id, r.score) for r in found], key=str) == best(
+        [(i, np.float32(v).tolist()) for i, v in rows], 3, lambda q: q % 500 == 0
+    )
+    assert len(read) <= 6
 
 
 def test_tables_of_vectors(spark, data, read):

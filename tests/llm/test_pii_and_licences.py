@@ -100,6 +100,50 @@ def test_tagger_adds_what_the_rules_miss(tagger):
     assert pii.added_spans("a@b.com", [("email", 0, 7)], [("email", 0, 7)]) == []
 
 
+def test_tagger_adds_exact_spans_to_held_out_documents(read):
+    """Local numbers put into documents that the tagger was not trained on are added exactly, and nothing else is."""
+    texts = sorted(r.text for r in read("documents").where("text rlike '[0-9@]'").collect())
+    model = pii.train(texts[::2])
+    rng, right, total, false = np.random.default_rng(17), 0, 0, 0
+    untouched = texts[1::2] + [r.text for r in read("documents").where("not text rlike '[0-9@]'").limit(60).collect()]
+    for text, tags in zip(untouched, pii.tag_texts(model, untouched)):
+        base = pii.rule_spans(text)
+        shaped = {(a, b) for _, a, b in pii._shaped(text)}
+        false += sum((a, b) not in shaped for _, a, b in pii.added_spans(text, base, pii.read_spans(tags)))
+        words = [m.end() for m in re.finditer(r"\S+ ", text)]
+        if not words:
+            continue
+        at = int(rng.choice(words))
+        a, b, c = (pii._number(rng, n) for n in (3, 3, 4))
+        put = str(rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"]))
+        told = f"{text[:at]}{put} {text[at:]}"
+        tags, = pii.tag_texts(model, [told])
+        total += 1
+        right += ("phone", at, at + len(put)) in pii.added_spans(told, pii.rule_spans(told), pii.read_spans(tags))
+    print(right, total, false)
+    assert right >= 0.8 * total and total > 50 and not false
+
+
+def test_numbers_that_are_part_of_others_are_not_added():
+    text = "x (512) 102-9552 1265-905-6252 265-905-62521 265-905-6252-77 id7265-905-6252 265-905-6252."
+    spans = [(m.start(), m.end()) for m in re.finditer(r"\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}", text)]
+    found = pii.added_spans(text, [], [("card", a, b) for a, b in spans] + [("phone", 3, 16)])
+    assert [text[a:b] for _, a, b in found] == ["(512) 102-9552", "265-905-6252"] and {k for k, *_ in found} == {"phone"}
+    assert pii.added_spans("x (512) 102-9552", [], [("phone", 3, 16)]) == [("phone", 2, 16)]
+
+
+def test_joined_windows_are_decoded_as_one():
+    """The path over joined windows is the best of the whole sequence, of whatever length its neighbours are."""
+    rng = np.random.default_rng(4)
+    scores, moves = rng.normal(size=(9, 5, 3)), rng.normal(size=(3, 3))
+    lengths = np.array([9, 1, 4, 7, 9])
+    got = pii.viterbi(scores, moves, lengths)
+    for j, n in enumerate(lengths):
+        paths = np.array(np.meshgrid(*[range(3)] * n, indexing="ij")).reshape(n, -1)
+        value = sum(scores[t, j, paths[t]] for t in range(n)) + sum(moves[paths[t - 1], paths[t]] for t in range(1, n))
+        assert got[:n, j].tolist() == paths[:, value.argmax()].tolist()
+
+
 def test_windows_are_joined(tagger):
     """Tags do not depend on where windows begin, beyond their margins, and long texts are whole."""
     text = "ere " * 500 + "mail sam@site.org or 10.20.30.40 " + "tion " * 500

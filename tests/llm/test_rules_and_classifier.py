@@ -109,3 +109,14 @@ def test_labels_of_one_kind_or_none(frame, spark):
     model = quality_classifier.fit(frame(["a"] * 8), ones)
     assert quality_classifier.score_documents(frame(["a"]), model).first().score > 0.8
     assert quality_classifier.accepted(frame(["a", None]), model).columns == frame(["a"]).columns
+
+
+def test_lines_that_cancel_out_in_polynomials_are_not_equal(frame):
+    line = ["a"]
+    for _ in range(10):
+        line += ["b" if c == "a" else "a" for c in line]
+    one = "".join(line)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = {r.doc_id: r for r in quality_rules.ledger(frame([f"{one}\n{other}", f"{one}\n{one}\n{other}\n\n{one}", f"{one} {other} x {other} {one} x"])).collect()}
+    assert [rows[k].n_dup_lines for k in (1, 2, 3)] == [0, 2, 0]
+    assert rows[3].n_repeat_words == 0
