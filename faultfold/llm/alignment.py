@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,32 +84,33 @@ class Tokenizers:
             return self.a.encode_ordinary(spelled)
         return self.bpe.plain(spelled)
 
-    def _encode_b(self, spelled: str) -> list[int]:
-        """The ids of a text that begins with the space that B adds."""
+    def _encode_b(self, spelled: list[str]) -> list[list[int]]:
+        """The ids of texts that begin with the space that B adds. What is new in any of them is encoded in one call."""
         if self.whole:
-            return self.b.encode(spelled[1:])
-        memory, out = self.memory, []
-        segments = _segments(spelled)
-        new, old = memory.new, memory.old
-        missing = [x for x in set(segments) if x not in new and x not in old]
-        found = dict(zip(missing, self.b.encode([x[1:] for x in missing], num_threads=1)))
+            return self.b.encode([t[1:] for t in spelled], num_threads=1)
+        memory, segments = self.memory, [_segments(t) for t in spelled]
+        parts = [list(map(memory.new.get, own)) for own in segments]
+        found = {x: memory.old.get(x) for own, ids in zip(segments, parts) if None in ids for x, i in zip(own, ids) if i is None}
+        fresh = [x for x, ids in found.items() if ids is None]
+        if fresh:
+            found.update(zip(fresh, self.b.encode([x[1:] for x in fresh], num_threads=1)))
         if " " in found:
             found[" "] = [self.space]
-        for segment in segments:
-            ids = found.get(segment)
-            if ids is None:
-                ids = new.get(segment) or old[segment]
-            out.extend(ids)
-        for segment in segments:
-            if len(segment) <= LONG and segment not in memory.new:
-                memory.put(segment, found.get(segment) or old[segment])
+        out = []
+        for own, ids in zip(segments, parts):
+            if None in ids:
+                ids = [found[x] if i is None else i for x, i in zip(own, ids)]
+            out.append(list(chain.from_iterable(ids)))
+        for x, ids in found.items():
+            if len(x) <= LONG:
+                memory.put(x, ids)
         return out
 
     def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """The token ids of each text, empty where a text has no tokens."""
         spelled = [" " + t if t else "" for t in texts]
         a = pa.array([self._encode_a(t) if t else [] for t in spelled], _IDS)
-        b = pa.array([self._encode_b(t) if t else [] for t in spelled], _IDS)
+        b = pa.array(self._encode_b(spelled), _IDS)
         spelled = pa.array(spelled, pa.large_string())
         good = _spells(a, self.bytes_a, spelled) & _spells(b, self.bytes_b, spelled)
         if good.all():
