@@ -82,14 +82,20 @@ class TicketTable:
     older commits once and for all.
 
     Every stream has a ``writer`` name of its own. A batch that is run again replaces its own
-    commit; a batch id below the writer's last is an error, never skipped. One driver owns a
-    table and hands out commits one at a time; a commit counts once it is complete.
+    commit, or changes nothing once that is compacted; a batch id below the writer's last is an
+    error, never skipped. One driver owns a table and hands out commits one at a time; a commit
+    counts once it is complete.
+
+    What is compacted lies in the order of days, and of keys within a day, so the files and row
+    groups of other days and ids are passed over by their statistics: a batch reads its own days,
+    however long the history is.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
         self._lock = threading.RLock()
+        self._tops: dict[Commit, int] = {}
 
     # -- commits ---------------------------------------------------------------------------
 
@@ -120,39 +126,63 @@ class TicketTable:
             return own[-1].number, [c for c in commits if c.number < own[-1].number]
         return (commits[-1].number + 1 if commits else 1), commits
 
+    def _begin(self, writer: str, batch: int) -> tuple[int, list[Commit]] | None:
+        """As ``_number``; None if the batch is compacted already, so that it need not run again."""
+        number, before = self._number(writer, batch)
+        bases = [c for c in self._commits() if c.writer == BASE]
+        return None if bases and number <= bases[-1].number else (number, before)
+
+    def _largest_id(self, commits: list[Commit]) -> int:
+        """The largest id so far. Each commit is asked for its own once, and a batch's commit is small."""
+        for c in commits:
+            if c not in self._tops:
+                rows = self.spark.read.schema(CHANGE).parquet(self._folder(c.number, c.writer, c.batch))
+                self._tops[c] = rows.agg(F.max("id")).first()[0] or 0
+        self._tops = {c: top for c, top in self._tops.items() if c in commits}
+        return max(self._tops.values(), default=0)
+
     def _write(self, rows: DataFrame, number: int, writer: str, batch: int) -> None:
+        self._tops = {c: top for c, top in self._tops.items() if c.number != number}
         wide = rows.withColumns(
             {n: F.lit(None).cast(t) for n, t in CHANGE_TYPES.items() if n not in rows.columns}
         )
         wide = wide.withColumn("commit", F.lit(number).cast("bigint")).select(*CHANGE_TYPES)
         wide.write.mode("overwrite").parquet(self._folder(number, writer, batch))
 
-    def _changes(self, commits: list[Commit]) -> DataFrame:
+    def _live(self, commits: list[Commit]) -> list[Commit]:
+        """The latest compaction and the commits after it."""
         bases = [c for c in commits if c.writer == BASE]
-        if bases:
-            covered = bases[-1].batch
-            commits = [bases[-1], *[c for c in commits if c.number > covered and c.writer != BASE]]
-        if not commits:
+        return [*bases[-1:], *[c for c in commits if c.writer != BASE and (not bases or c.number > bases[-1].number)]]
+
+    def _changes(self, commits: list[Commit]) -> DataFrame:
+        live = self._live(commits)
+        if not live:
             return self.spark.createDataFrame([], CHANGE)
-        paths = [self._folder(c.number, c.writer, c.batch) for c in commits]
-        return self.spark.read.schema(CHANGE).parquet(*paths)
+        return self.spark.read.schema(CHANGE).parquet(*[self._folder(c.number, c.writer, c.batch) for c in live])
+
+    def compact(self, at_least: int = 2) -> None:
+        """Add up all commits so far, if ``at_least`` so many came since the last time.
 
-    def compact(self) -> None:
-        """Add up all commits but the last of each writer, which may still be run again."""
+        A writer's last commit stays in its place, so that its batch is known if it is run again.
+        What the compaction before this one covered is deleted; readers of it have long ended.
+        """
         with self._lock:
             commits = self._commits()
-            last = {c.writer: c.number for c in commits if c.writer != BASE}
-            covered = [c for c in commits if last and c.number < min(last.values())]
-            if len([c for c in covered if c.writer != BASE]) < 2:
+            fresh = [c for c in self._live(commits) if c.writer != BASE]
+            if len(fresh) < max(2, at_least):
                 return
-            number = covered[-1].number
-            changes = self._changes(covered)
+            number = fresh[-1].number
+            changes = self._changes(commits)
             events = changes.filter("attempt is not null").groupBy(*KEY, "attempt").agg(*_merged())
             state = _summed(changes).unionByName(events, allowMissingColumns=True)
-            self._write(state, number, BASE, number)
-            bases = [c for c in commits if c.writer == BASE]
-            if bases:  # what the compaction before this one covered is read by nobody any more
-                self._delete([c for c in commits if c.number <= bases[-1].number])
+            # Days follow each other in the files, and keys within a day.
+            order = [F.col(c) for c in ("created_date", "fingerprint_hash", "app")]
+            laid = state.repartitionByRange(*order).sortWithinPartitions(*order)
+            self._write(laid, number, BASE, number)
+            last = {c.writer: c.number for c in commits if c.writer != BASE}
+            before = [c.number for c in commits if c.writer == BASE]
+            if before:
+                self._delete([c for c in commits if c.number <= before[-1] and last.get(c.writer) != c.number])
 
     def _delete(self, commits: list[Commit]) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -182,7 +212,10 @@ class TicketTable:
         Keys whose ticket is closed are left out; keys without a ticket get the next ids.
         """
         with self._lock:
-            number, before = self._number(writer, batch_id)
+            begun = self._begin(writer, batch_id)
+            if begun is None:
+                return
+            number, before = begun
             delta = materialize(fold_occurrences(occ), "delta")
             known = self._changes(before)
             first, last = delta.agg(F.min("created_date"), F.max("created_date")).first()
@@ -194,7 +227,7 @@ class TicketTable:
             new = joined.filter("_id is null").drop("_id", "_status")
             closed = F.coalesce(F.col("_status").isin(*schemas.CLOSED_STATUSES), F.lit(False))
             old = joined.filter(F.col("_id").isNotNull() & ~closed).drop("_id", "_status")
-            top = known.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
+            top = F.lit(self._largest_id(self._live(before))).cast("bigint")
             rows = assign_ids(new, top, "first_seq", KEY).unionByName(old, allowMissingColumns=True)
             self._write(rows, number, writer, batch_id)
 
@@ -220,7 +253,10 @@ class TicketTable:
         is done, else in progress. ``actions`` has a row for each ``app`` and ``pos``.
         """
         with self._lock:
-            number, before = self._number(writer, batch_id)
+            begun = self._begin(writer, batch_id)
+            if begun is None:
+                return
+            number, before = begun
             known = self._changes(before)
             done = F.when(F.col("status") == "done", F.col("pos"))
             fresh = (
@@ -228,8 +264,7 @@ class TicketTable:
                 .groupBy(F.col("ticket_id").alias("_id"), "attempt")
                 .agg(F.collect_set(done).alias("done"), F.max(F.col("status") == "failed").alias("failed"))
             )
-            ids = known.filter("id is not null").select(F.col("id").alias("_id"), *KEY)
-            fresh = materialize(fresh.join(ids, "_id"), "events")
+            fresh = materialize(fresh.join(_keys_of(known, fresh), "_id"), "events")
             past = known.filter("attempt is not null")
             past = join_null_safe(past, fresh.select(*KEY).distinct(), KEY, "left_semi")
             both = fresh.drop("_id").unionByName(past.select(*KEY, "attempt", "done", "failed"))
@@ -245,9 +280,20 @@ class TicketTable:
 
     def _append_by_id(self, rows: DataFrame, batch_id: int, writer: str) -> None:
         with self._lock:
-            number, before = self._number(writer, batch_id)
-            ids = self._changes(before).filter("id is not null").select(F.col("id").alias("_id"), *KEY)
-            self._write(rows.join(ids, "_id").drop("_id"), number, writer, batch_id)
+            begun = self._begin(writer, batch_id)
+            if begun is None:
+                return
+            number, before = begun
+            keys = _keys_of(self._changes(before), rows)
+            self._write(rows.join(keys, "_id").drop("_id"), number, writer, batch_id)
+
+
+def _keys_of(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """``_id`` and the key of the tickets that ``rows`` may name. Ids grow with the days, so the range of the
+    rows' ids leaves the row groups of other days unread."""
+    low, high = rows.agg(F.min("_id"), F.max("_id")).first()
+    near = known.filter(F.col("id").between(low, high))
+    return near.select(F.col("id").alias("_id"), *KEY)
 
 
 def _merged() -> list[Column]:

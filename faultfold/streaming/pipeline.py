@@ -22,6 +22,9 @@ from faultfold.sources.tickets import TicketTable
 # Fixed value: seconds between polls when none are given.
 DEFAULT_INTERVAL_S = 30
 
+#: Commits of a ticket table after which they are added up.
+COMPACT_EVERY = 16
+
 #: What tells the lines of polled sources apart.
 OVERLAP_KEYS = ["app", "arrival_seq"]
 
@@ -65,6 +68,7 @@ def fold_batch(
         entries = with_sequence(batch)
         entries = classify(entries) if classify else entries
         table.upsert(occurrences_of(entries, hash_on, day_basis), batch_id, writer)
+        table.compact(at_least=COMPACT_EVERY)
 
     return process
 

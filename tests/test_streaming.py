@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +264,150 @@ def test_stream_text_logs(spark, tmp_path):
     ).awaitTermination()
     got = {r.raw_log.split("] ")[1]: r.classification for r in table.read().collect()}
     assert got == {"ERROR db down": "database_connection_timeout", "ERROR plain": "unknown_error"}
+
+
+def commits(table):
+    return [(c.number, c.writer, c.batch) for c in table._commits()]
+
+
+def test_an_idle_writer_does_not_stop_compaction(spark, data, tmp_path):
+    """Commits are added up whoever wrote them; a batch that is run again afterwards changes nothing."""
+    entries = occurrences_of(given.logs(spark, data))
+    parts = [entries.filter(F.col("arrival_seq") % 6 == k) for k in range(6)]
+    table = TicketTable(spark, str(tmp_path / "t"))
+    table.upsert(parts[0], 0, "old")
+    for k in range(1, 5):
+        table.upsert(parts[k], k, "live")
+    before = table.read()
+    rows = sorted(before.collect())
+    table.compact()
+    assert sorted(table.read().collect()) == rows
+    table.upsert(parts[0], 0, "old")  # both writers' last batches once more
+    table.upsert(parts[4], 4, "live")
+    assert sorted(table.read().collect()) == rows
+    table.upsert(parts[5], 5, "live")
+    table.set_status(table.read().select(F.col("id").alias("ticket_id"), F.lit("done").alias("status")).limit(3), 0, "old.status")
+    table.compact()
+    assert table._live(table._commits())[0].writer == "base" and len(table._live(table._commits())) == 1
+    left = commits(table)
+    assert (1, "old", 0) in left and not [c for c in left if c[1] == "live" and c[2] < 5 and c[0] <= 4]
+    assert table.read().agg(F.sum("occurrence_count")).first()[0] == entries.count()
+    assert table.read().filter("status = 'done'").count() == 3
+    ids = [r.id for r in table.read().collect()]
+    assert sorted(ids) == list(range(1, len(ids) + 1))
+
+
+def test_a_batch_reads_its_own_days_of_a_compacted_table(spark, tmp_path):
+    """Row groups of other days and ids are passed over by their statistics."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    table = TicketTable(spark, str(tmp_path / "t"))
+    keys = spark.range(6000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("fingerprint_hash"),
+        F.lit("app").alias("app"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 200).cast("int")), "yyyy-MM-dd").alias("created_date"),
+        F.lit("line").alias("raw_line"), F.lit("").alias("dedupe_key"),
+        F.current_timestamp().alias("ts"), F.current_timestamp().alias("arrival_ts"),
+        F.col("id").alias("arrival_seq"),
+    )
+    for batch in range(2):
+        table.upsert(keys.filter(F.col("arrival_seq") % 2 == batch), batch, "w")
+    table.compact()
+    base = table._live(table._commits())[0]
+    files = glob.glob(f"{table._folder(base.number, base.writer, base.batch)}/*.parquet")
+    days = sorted(pq.read_table(f, columns=["created_date"]).column(0).to_pylist() for f in files)
+    days = [part for part in days if part]
+    assert all(part == sorted(part) for part in days)
+    assert all(x[-1] <= y[0] for x, y in zip(days, days[1:])) and sum(map(len, days)) == 6000
+    near = table._changes(table._commits()).filter(F.col("created_date").between("2024-01-03", "2024-01-03"))
+    assert "PushedFilters: [IsNotNull(created_date), GreaterThanOrEqual(created_date" in near._sc._jvm.PythonSQLUtils.explainString(
+        near._jdf.queryExecution(), "formatted"
+    )
+
+
+def test_polled_lines_count_once_by_default(spark, data, tmp_path):
+    entries = landed(spark, data, str(tmp_path / "in"), 2)
+    entries.limit(30).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # the next poll delivers them again
+    options = {"available_now": True, "interval_s": 10**6}
+    for keys, name, extra in ((None, "once", 0), ([], "all", 30)):
+        table = TicketTable(spark, str(tmp_path / name))
+        stream = stream_of(spark, entries, str(tmp_path / "in"))
+        pipeline.stream_tickets(
+            stream, table, str(tmp_path / f"{name}-cp"), "w", overlap_keys=keys, **options
+        ).awaitTermination()
+        assert table.read().agg(F.sum("occurrence_count")).first()[0] == entries.count() + extra
+
+
+def test_states_survive_a_restart_and_read_their_days_only(spark, data, tmp_path):
+    from faultfold.streaming import state
+
+    entries = landed(spark, data, str(tmp_path / "in"), 3)
+    for _ in range(2):  # the second run finds nothing new
+        state.stream_states(
+            stream_of(spark, entries, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True
+        ).awaitTermination()
+    batch = tickets.upsert_tickets(occurrences_of(entries))
+    assert same(state.read_states(spark, str(tmp_path / "out")).select(*tickets.COLUMNS), batch.select(*tickets.COLUMNS))
+    day = batch.first().created_date
+    one = state.read_states(spark, str(tmp_path / "out"), [day])
+    assert one.count() == batch.filter(F.col("created_date") == day).count()
+    plan = one._sc._jvm.PythonSQLUtils.explainString(one._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters" in plan
+
+
+def test_a_source_is_polled_and_its_errors_are_told(spark, data, tmp_path):
+    """polling, error, polling, idle: the poll that fails is not processed, the next one is."""
+    from faultfold.streaming import polls
+
+    entries, seen = given.logs(spark, data).limit(5), []
+
+    def answer(batch):
+        if not seen:
+            seen.append("failed")
+            raise TimeoutError("no answer")
+        return entries
+
+    step = polls.poll_step(spark, polls.Source("shop", answer), lambda b, k: seen.append((k, b.count())), str(tmp_path / "s"))
+    for batch_id in range(2):
+        step(entries, batch_id)
+    told = polls.read_poll_status(spark, str(tmp_path / "s")).orderBy("arrival_seq").collect()
+    assert [(r.app, r.status, r.error_msg) for r in told] == [
+        ("shop", "polling", ""), ("shop", "error", "fetch error: no answer"), ("shop", "polling", ""), ("shop", "idle", ""),
+    ]
+    assert seen == ["failed", (1, 5)] and told[1].last_poll is not None and told[0].last_poll is None
+
+
+def test_configured_sources_are_polled_at_their_own_interval(spark, data, tmp_path):
+    from faultfold.streaming import polls
+
+    entries, seen = given.logs(spark, data).limit(3), []
+    sources = [polls.Source("a", lambda batch: entries, 1), polls.Source("b", lambda batch: entries, 1)]
+    queries = polls.start_polls(
+        spark, sources, lambda app: lambda batch, k: seen.append(app), str(tmp_path / "s"), str(tmp_path / "cp")
+    )
+    try:
+        for _ in range(300):  # the clock never ends, so the queries are watched
+            if set(seen) == {"a", "b"}:
+                break
+            time.sleep(0.5)
+    finally:
+        for query in queries:
+            query.stop()
+    assert set(seen) == {"a", "b"}
+    assert polls.read_poll_status(spark, str(tmp_path / "s")).select("app").distinct().count() == 2
+
+
+def test_late_rows_are_kept_apart_and_again_on_a_second_run(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from faultfold.streaming import state
+
+    start, kept = datetime(2024, 1, 10), {}
+    make = lambda hours: spark.createDataFrame([(start + timedelta(hours=h),) for h in hours] + [(None,)], "ts timestamp")
+    step = state.late_rows(spark, str(tmp_path / "l"), lambda b, k: kept.update({k: b.count()}), 3600)
+    for batch_id, hours in ((0, [5, 1]), (1, [9, 4.5, 3]), (2, [7, 8.5]), (1, [9, 4.5, 3])):
+        step(make(hours), batch_id)
+    late = {(r.batch, (r.ts - start).total_seconds() / 3600) for r in state.read_late(spark, str(tmp_path / "l")).collect()}
+    assert late == {(1, 3.0), (2, 7.0)} and kept == {0: 3, 1: 3, 2: 2}
