@@ -31,7 +31,7 @@ from faultfold.llm.common import bounded_batches, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, OVERLAP = 128, 48
-SAMPLE, STEPS, BATCH, HIDDEN = 400, 340, 48, 18
+SAMPLE, STEPS, BATCH, HIDDEN = 400, 400, 48, 18
 Span = tuple[str, int, int]
 
 
@@ -340,7 +340,7 @@ def _shaped(text: str) -> list[Span]:
 def _put(rng, text: str, label: np.ndarray) -> tuple[str, np.ndarray]:
     """The text with an example or a number that is none put in between its words."""
     if rng.integers(4):
-        kind, put = example(rng, "phone" if rng.integers(5) < 3 else None)
+        kind, put = example(rng, "phone" if rng.integers(5) < 2 else None)
         mid = tagged([(kind, 0, len(put))], len(put))
     else:
         put = no_example(rng)
