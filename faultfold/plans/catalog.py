@@ -13,7 +13,7 @@ from faultfold import schemas
 from faultfold.functions import prompts, text
 from faultfold.functions.records import record_component
 from faultfold.operators import actions as act
-from faultfold.operators import classify, delivery, tickets, views, work
+from faultfold.operators import classify, delivery, recent, tickets, views, work
 from faultfold.plans import oracle
 from faultfold.plans import views as given
 from faultfold.plans.oracle import query
@@ -1433,6 +1433,24 @@ def t3_recent_tickets(spark, sf_dir):
     return views.recent_tickets(given.tickets(spark, sf_dir))
 
 
+@register(
+    "t3_listed_tickets",
+    """
+    WITH updates AS (SELECT user_id * 20 + CAST(props->>'k' AS BIGINT) % 20 AS id, event_id AS seq FROM events),
+    walked AS (SELECT list_reduce(list([{'id': id, 'seq': seq}] ORDER BY seq), lambda listed, x:
+        CASE WHEN list_contains(list_transform(listed, lambda y: y['id']), x[1]['id']) THEN listed
+        ELSE (x || listed)[1:200] END) AS listed FROM updates WHERE id <> 0)
+    SELECT row['id'] AS ticket_id, row['seq'] AS seq FROM (SELECT unnest(listed) AS row FROM walked)""",
+)
+def t3_listed_tickets(spark, sf_dir):
+    """The list that updates in order of arrival leave, with tickets that come back after they fell out."""
+    kind = F.get_json_object("props", "$.k").cast("bigint") % 20
+    updates = given.table(spark, sf_dir, "events").select(
+        (F.col("user_id") * 20 + kind).alias("ticket_id"), F.col("event_id").alias("seq")
+    )
+    return recent.listed_tickets(updates)
+
+
 def ordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Worker events with a sequence over all tickets."""
     overall = F.col("seq") * 1000 + F.col("ticket_id")

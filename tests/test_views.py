@@ -1,4 +1,9 @@
+import random
+
+import pytest
+
 from faultfold.operators import views
+from faultfold.operators.recent import listed_tickets
 from faultfold.plans import views as given
 from faultfold.sources.records import log_records
 from faultfold.sources.tickets import as_tickets, backfill_created_date, load_tickets, save_tickets
@@ -123,3 +128,19 @@ def test_unreadable_times_become_null(spark, data):
     )
     row = as_tickets(odd).first()
     assert row.first_seen is None and row.message_id == "" and row.last_seen is not None
+
+
+@pytest.mark.parametrize("tickets, n", [(9, 8), (30, 5)])
+def test_listed_tickets_return_after_they_fell_out(spark, tickets, n):
+    """Against a list kept row by row; going round n + 1 tickets is the case where every row depends on the last one."""
+    draw = random.Random(tickets)
+    updates = [i % tickets if i < 60 else draw.choice([0, 1, 1, draw.randrange(tickets)]) for i in range(150)]
+    listed = []
+    for seq, ticket in enumerate(updates):
+        if ticket != 0 and ticket not in [t for t, _ in listed]:
+            listed = [(ticket, seq), *listed][:n]
+    rows = [(t, 7 * s) for s, t in enumerate(updates)] + [(None, 2000)]
+    df = spark.createDataFrame(rows, "ticket_id bigint, seq bigint")
+    got = listed_tickets(df, n, block_bits=5).collect()
+    assert [(r.ticket_id, r.seq // 7) for r in got] == listed
+    assert listed_tickets(df.limit(0), n).collect() == []
