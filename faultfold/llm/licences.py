@@ -9,7 +9,8 @@ paragraph holds at least :data:`SIMILAR` of the word trigrams of one of the fami
 
 Notices are often wrapped at 72 to 80 columns, so that no line of them holds half of a template. So the
 template trigrams of a text are found across its lines too. Those of one template that follow each other
-within a template's length are a notice; if together they hold :data:`SIMILAR` of the template and no line
+within a template's length are a notice (only texts that hold one of a few words without which there is none are
+cut into trigrams); if together they hold :data:`SIMILAR` of the template and no line
 does alone, the notice counts as a paragraph of that family, predicted and confirmed. Of families whose
 notices cover each other by more than half, as those of the GNU licences do, the most similar one counts.
 
@@ -24,11 +25,13 @@ a row. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +39,8 @@ from faultfold.llm.common import sampled, written
 
 UNKNOWN = "unknown"
 FEATURES, SIMILAR, SAMPLE = 4096, 0.5, 300
+#: Letters of words that are looked for in texts as they are.
+RARE = 6
 
 # Notices as their licences word them, by family.
 TEMPLATES = {
@@ -331,6 +336,37 @@ def paragraphs(documents: DataFrame, model: Model) -> DataFrame:
     )
 
 
+@cache
+def anchors() -> tuple[str, ...]:
+    """Words of which every text with a notice holds one: trigrams without them are less than :data:`SIMILAR` of any
+    template. Words of :data:`RARE` letters or more are taken first, as other texts seldom hold them."""
+    grams: dict[tuple[str, int], list[frozenset[str]]] = {}
+    for family, number, gram in template_grams():
+        if len(gram.split()) == 3:
+            grams.setdefault((family, number), []).append(frozenset(gram.split()))
+
+    def without(words: set[str]) -> list[list[frozenset[str]]]:
+        """Of each template that has enough trigrams without ``words``, these trigrams."""
+        rest = [(len(own), [g for g in own if not g & words]) for own in grams.values()]
+        return [left for n, left in rest if len(left) >= SIMILAR * n]
+
+    chosen: set[str] = set()
+    while still := without(chosen):
+        covers = Counter(w for left in still for gram in left for w in gram - STOP_WORDS)
+        chosen.add(max(sorted(covers), key=lambda w: (len(w) >= RARE, covers[w])))
+    for word in sorted(chosen, key=lambda w: (len(w), w)):
+        if not without(chosen - {word}):
+            chosen.remove(word)
+    return tuple(sorted(chosen))
+
+
+def _may_hold_notice(lower: Column) -> Column:
+    """Whether a text in lower case holds an :func:`anchors` word; short ones as whole words, longer ones anywhere."""
+    short = "|".join(w for w in anchors() if len(w) < RARE)
+    found = [lower.contains(w) for w in anchors() if len(w) >= RARE]
+    return reduce(or_, [*found, *([lower.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])")] if short else [])])
+
+
 def wrapped_notices(documents: DataFrame) -> DataFrame:
     """``doc_id, family, similarity`` of each notice that only several lines together confirm."""
     spark = documents.sparkSession
@@ -339,14 +375,14 @@ def wrapped_notices(documents: DataFrame) -> DataFrame:
     templates = templates.where(F.size(F.split("gram", " ")) == 3).join(sizes, ["family", "template"])
 
     def line_words(line, number):
-        tokens = F.array_remove(F.split(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " "), " "), "")
+        tokens = F.array_remove(F.split(F.regexp_replace(line, "[^a-z0-9]+", " "), " "), "")
         return F.transform(tokens, lambda w: F.struct(w.alias("word"), number.alias("line")))
 
     # Ids may repeat, so texts are told apart by a number of their own.
-    words = documents.where("text is not null").select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("text_id"),
-        F.flatten(F.transform(F.split("text", "\n"), line_words)).alias("words"),
+    # The number keeps Spark from moving the filter before the change of case, which would be made for each word then.
+    lower = documents.select("doc_id", F.monotonically_increasing_id().alias("text_id"), F.lower("text").alias("text"))
+    words = lower.where(_may_hold_notice(F.col("text"))).select(
+        "doc_id", "text_id", F.flatten(F.transform(F.split("text", "\n"), line_words)).alias("words")
     )
     at = F.sequence(F.lit(1), F.size("words") - 2)
 

@@ -1,5 +1,6 @@
 """Personal data against the rules as one pattern each; licence scan against the same model in Python."""
 
+import random
 import re
 import textwrap
 
@@ -244,3 +245,60 @@ def test_wrapped_notices_are_confirmed(model, frame, mark):
 def test_main_path_is_native(read, model):
     plan = licences.scan(read("documents"), model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_no_notice_is_without_an_anchor():
+    for own in (s for sets in licences._template_sets().values() for s in sets):
+        trigrams = [g.split() for g in own if len(g.split()) == 3]
+        assert sum(not set(g) & set(licences.anchors()) for g in trigrams) < licences.SIMILAR * max(1, len(trigrams))
+
+
+def notices_of(texts):
+    """Wrapped notices, one text and template at a time, word by word."""
+    grams = {}
+    for family, number, gram in licences.template_grams():
+        grams.setdefault((family, number), set()).add(gram)
+    found = set()
+    for doc, text in enumerate(texts, 1):
+        tokens = [(w, n) for n, line in enumerate((text or "").split("\n")) for w in licences.words(line)]
+        three = [tokens[i : i + 3] for i in range(len(tokens) - 2)]
+        every = []
+        for (family, _), own in grams.items():
+            if any(len(g.split()) != 3 for g in own):
+                continue
+            hits = [(i, " ".join(w for w, _ in t), t[0][1] if t[0][1] == t[2][1] else -1) for i, t in enumerate(three)]
+            runs = []
+            for hit in (h for h in hits if h[1] in own):
+                if not runs or hit[0] - runs[-1][-1][0] > len(own):
+                    runs.append([])
+                runs[-1].append(hit)
+            for run in runs:
+                lines = {n: {g for _, g, m in run if m == n} for _, _, n in run if n >= 0}
+                share = len({g for _, g, _ in run}) / len(own)
+                alone = max([len(g) for g in lines.values()], default=0) / len(own)
+                if share >= licences.SIMILAR:
+                    every.append((run[0][0], run[-1][0], family, share, alone))
+        for low, high, family, share, alone in every:
+            beaten = any(
+                f != family and s > share and 2 * (min(high, h) - max(low, b) + 3) > min(high - low, h - b) + 3
+                for b, h, f, s, _ in every
+            )
+            if alone < licences.SIMILAR and not beaten:
+                found.add((doc, family, round(share, 9)))
+    return found
+
+
+def test_wrapped_notices_against_brute_force(frame):
+    """Templates cut at random places, with words lost and prose between, some of them broken over lines."""
+    draw = random.Random(4)
+    templates = [t for own in licences.TEMPLATES.values() for t in own]
+    texts = [None, "", "\n"]
+    for _ in range(150):
+        parts = []
+        for _ in range(draw.randrange(1, 4)):
+            kept = [w for w in draw.choice(templates).split() if draw.random() > 0.1]
+            parts.append(textwrap.fill(" ".join(kept[draw.randrange(3) :]), draw.choice([12, 30, 76, 500])))
+            parts.append("the general state of the software and the sea" if draw.random() < 0.3 else "x")
+        texts.append("\n".join(parts) if draw.random() < 0.5 else " ".join(parts).upper())
+    got = {(r.doc_id, r.family, round(r.similarity, 9)) for r in licences.wrapped_notices(frame(texts)).collect()}
+    assert got == notices_of(texts) and len({f for _, f, _ in got}) > 6
