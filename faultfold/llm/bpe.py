@@ -6,7 +6,11 @@ and skipped. Each worker remembers the ids of recent pieces in two generations o
 
 Decoding concatenates the vocabulary strings of the ids and reads their characters as bytes; bytes that
 are no UTF-8 become replacement characters. Null text counts as empty and has no ids. Special tokens in
-a text are encoded as themselves. A null id, or ids no vocabulary has, cannot be decoded and raise.
+a text are encoded as themselves. In a list of ids, null and ids the vocabulary does not have decode to nothing.
+
+Repeated rows and rows with a null ``doc_id`` are each encoded by themselves; of merges of equal rank the leftmost goes first.
+A text is held whole with its ids, a long piece of it with its symbols and queue, about 300 bytes a character. An empty
+table gives an empty one. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -168,7 +172,7 @@ class ByteBpe:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join([self.strings[i] for i in ids]).decode("utf-8", errors="replace")
+        return b"".join([self.strings.get(i, b"") for i in ids]).decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)

@@ -14,7 +14,9 @@ in segments of :data:`SEGMENT` turns, so the work grows with the turns and only
 declaration is checked: each turn is rendered alone too, and each segment's first turn behind the turn before.
 
 Rows are ordered by turn, role and text. A null role or text counts as empty, rows with a null ``conv_id``
-make one conversation, repeated rows are repeated turns. Conversations without rows do not exist.
+make one conversation, repeated rows are repeated turns. Conversations without rows do not exist, and an empty table gives
+an empty one. A very long text is held whole, a few times over while its turn is rendered. Further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

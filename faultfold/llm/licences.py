@@ -19,7 +19,9 @@ The main path is DataFrame functions only. Weights and templates are small fixed
 its score, which says unknown, so only paragraphs with such a word are cut into n-grams.
 
 Null and empty texts have no paragraphs. Rows that share an id, or have none, share one result; each gets
-a row. Other columns are ignored.
+a row. Of families with equal scores the first in the order of :data:`TEMPLATES` is taken; notices of equal similarity all count.
+A very long text that may hold a notice is one array of its words in memory, any other one only its lines. An empty
+table gives an empty one. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ There are thus at most ``length`` queues, however many sources there are.
 
 T is rounded up to whole windows by a last queue of padding, under ``length`` tokens in all. Null
 text counts as empty and has the end token only. Rows with a null source form a queue of their own. Rows
-are packed one by one: repeated rows and null ids too.
+are packed one by one: repeated rows and null ids too. A source's documents are taken in the
+order of reading. A very long text is encoded in one task, whole, and cut into as many pieces as windows
+need. An empty table has no pieces. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

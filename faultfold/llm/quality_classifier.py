@@ -12,7 +12,10 @@ per bucket: the vector's product with the difference of the output rows.
 
 Null and empty texts get the score of the bias alone. If no labelled row can be used the score is 0.5;
 if all have one label it is the smoothed share of label 1. Null labels are left out of training;
-rows with a null id are scored, not held out, and never used for training. Repeated rows are scored alike.
+rows with a null id are scored, not held out, and never used for training. Repeated rows are scored alike; a document
+with several labels is trained on with each. A score equal to the threshold is predicted 1. Very long texts are scored whole,
+with about 40 times their bytes in memory. An empty table gives an empty one. Scores ignore further columns, whatever
+their names; :func:`accepted` keeps them.
 """
 
 from __future__ import annotations

@@ -222,6 +222,8 @@ def test_scan_matches_the_model(read, model, frame):
     for r in licences.scan(frame(odd), model).collect():
         assert (r.licences, r.confirmed, r.n_paragraphs) == expected(model, odd[r.doc_id - 1])
     assert licences.scan(frame(["x"]).limit(0), model).count() == 0
+    long = ["software and the sea " * 60_000 + "\nReleased under the MIT License.", "a b\n" * 100_000]
+    assert [(r.licences, r.confirmed) for r in licences.scan(frame(long), model).orderBy("doc_id").collect()] == [("mit", "mit"), ("", "")]
     shared = licences.scan(frame(["Released under the MIT License.", "x", "y"], ids=[None, None, 1]), model).collect()
     assert sorted((r.doc_id or 0, r.licences) for r in shared) == [(0, "mit"), (0, "mit"), (1, "")]
 

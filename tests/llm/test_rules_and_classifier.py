@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from faultfold.llm import quality_classifier, quality_rules
 from faultfold.llm.queries import QUERIES
-from faultfold.llm.words import word_chunks
+from faultfold.llm.words import _BASE, _BYTE, word_chunks
 
 
 def plain(text):
@@ -120,3 +120,39 @@ def test_lines_that_cancel_out_in_polynomials_are_not_equal(frame):
     rows = {r.doc_id: r for r in quality_rules.ledger(frame([f"{one}\n{other}", f"{one}\n{one}\n{other}\n\n{one}", f"{one} {other} x {other} {one} x"])).collect()}
     assert [rows[k].n_dup_lines for k in (1, 2, 3)] == [0, 2, 0]
     assert rows[3].n_repeat_words == 0
+
+
+def one_score(text, model):
+    """The score of a text, feature by feature in whole numbers."""
+    data, wide = (text or "").encode(), 1 << 64
+
+    def mix(x):
+        return int(quality_classifier.mixed(np.array([x % wide], np.uint64))[0])
+
+    def hashed(part):
+        return sum(int(_BYTE[b]) * pow(_BASE, k, wide) for k, b in enumerate(part)) % wide
+
+    spans = [m.span() for m in re.finditer(rb"[^ \t-\r]+", data)]
+    words = [mix(hashed(data[a:b])) for a, b in spans]
+    buckets = [mix(w + 1) >> 48 for w in words] + [mix((a ^ b) + 2) >> 48 for a, b in zip(words, words[1:])]
+    for a, b in spans:
+        around = data[max(0, a - 1) : b + 1]
+        for size in quality_classifier.GRAMS:
+            for i in range(len(around) - size + 1):
+                buckets.append(mix(hashed(around[i : i + size]) + 2 + size) >> 48)
+    mean = sum(float(model.values[b]) for b in buckets) / max(1, len(buckets))
+    return 1 / (1 + np.exp(-(mean + model.bias)))
+
+
+def test_scores_against_brute_force(frame, read):
+    texts = ["", None, " \n", "a", "aa  bb\taa", "é 日本 x!", "x x x x"]
+    texts += [r.text[:400] for r in read("documents").orderBy("doc_id").limit(25).collect()]
+    rng = np.random.default_rng(1)
+    model = quality_classifier.Model(rng.normal(size=quality_classifier.BUCKETS).astype(np.float32), 0.3)
+    rows = quality_classifier.score_documents(frame(texts), model).collect()
+    assert np.allclose([r.score for r in rows], [one_score(t, model) for t in texts])
+    kept = quality_classifier.accepted(frame(texts), model).collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in rows if r.predicted} and {r.kept for r in kept} == {"own"}
+    assert quality_classifier.score_documents(frame(["x"]).limit(0), model).count() == 0
+    long = quality_classifier.score_documents(frame(["word and 12 é! " * 150_000, "word and 12 é! "]), model).collect()
+    assert abs(long[0].score - long[1].score) < 0.05

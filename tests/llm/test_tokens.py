@@ -40,6 +40,23 @@ def test_columns(frame):
     assert [len(r.ids) for r in rows.collect()] == [2, 0, 0]
     assert [r.text for r in bpe.decode(rows, path).collect()] == ["a b", "", ""]
     assert bpe.encode(frame(["x"]).limit(0), path).count() == 0
+    library = tokenizers.Tokenizer.from_file(path)
+    odd = rows.sparkSession.createDataFrame(
+        [(1, [64, None, 10**6, 65], "x"), (None, None, "y"), (2, [], "z")], "doc_id long, ids array<int>, text string"
+    )
+    assert [r.text for r in bpe.decode(odd, path).collect()] == [library.decode([64, 65]), None, ""]
+
+
+def test_long_texts_and_repeated_rows(frame):
+    """One piece of very many letters, very many pieces, and rows that share an id."""
+    path = vocabulary("byte_bpe_50k.json")
+    texts = ["ab" * 20_000, "word 12 é! " * 20_000, "same", "same"]
+    library = tokenizers.Tokenizer.from_file(path)
+    rows = bpe.encode(frame(texts, ids=[1, 2, None, None]), path, decoded=True).collect()
+    assert [r.ids for r in rows] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [r.decoded for r in rows] == texts
+    packed = packing.pack(frame(texts[:2]), vocabulary("word_bpe_49k.json"), length=64).collect()
+    check(packed, {1: texts[0], 2: texts[1]}, 64)
 
 
 def test_memory_forgets():
