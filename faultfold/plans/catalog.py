@@ -1008,6 +1008,8 @@ def j10_text_sources(spark, sf_dir):
     sources = [given.logs(spark, sf_dir), given.doc_logs(spark, sf_dir)]
     entries = logs.union_sources(*[logs.as_entries(s.drop("arrival_seq")) for s in sources])
     occ = classify.occurrences_of(entries, hash_on="message")
+    # Texts are hashed once; states and occurrences need no more than the ticket key and the place.
+    occ = materialize(occ.select(*schemas.TICKET_KEY, "arrival_seq"), "occurrences")
     head = F.substring("fingerprint_hash", 1, 1)
     keys = occ.select(*schemas.TICKET_KEY).distinct()
     closed = keys.filter(head.between("0", "7")).withColumn("status", F.lit("done"))
