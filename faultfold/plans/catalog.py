@@ -1626,11 +1626,18 @@ def z2_dedupe_overlap(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("arrival_seq", "app", "ts")
 
 
-def streamed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.readStream.schema(given.TABLES["events"]).parquet(
-        f"{sf_dir.rstrip('/')}/events.parque[t]"  # a pattern may name a file, a path may not
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.readStream.schema(given.TABLES[name]).parquet(
+        f"{sf_dir.rstrip('/')}/{name}.parque[t]"  # a pattern may name a file, a path may not
     )
-    return given.logs_from(events)
+
+
+def streamed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given.logs_from(streamed(spark, sf_dir, "events"))
+
+
+def streamed_doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given.doc_logs_from(streamed(spark, sf_dir, "documents"))
 
 
 def run_stream(spark: SparkSession, stream: DataFrame, step, label: str) -> None:
@@ -1692,11 +1699,8 @@ def z3_two_streams(spark, sf_dir):
     """Two streams with writers of their own, both from batch 0, into one table."""
     table = stored.TicketTable(spark, scratch(spark, "two-streams"))
     run_stream(spark, streamed_logs(spark, sf_dir), pipeline.fold_batch(table, "events"), "events")
-    root = scratch(spark, "documents-in")
-    texts = given.doc_logs(spark, sf_dir)
-    texts.write.parquet(root)
-    stream = spark.readStream.schema(texts.schema).parquet(root)
-    run_stream(spark, stream, pipeline.fold_batch(table, "documents", hash_on="message"), "documents")
+    texts = streamed_doc_logs(spark, sf_dir)
+    run_stream(spark, texts, pipeline.fold_batch(table, "documents", hash_on="message"), "documents")
     return (
         table.read()
         .groupBy("app", "created_date")

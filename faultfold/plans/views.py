@@ -104,8 +104,12 @@ def logs_from(events: DataFrame, *extra: str) -> DataFrame:
 
 def doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as log lines of the app named by their source."""
+    return doc_logs_from(table(spark, sf_dir, "documents"))
+
+
+def doc_logs_from(documents: DataFrame) -> DataFrame:
     ts = plus_seconds(F.lit("2024-01-01").cast("timestamp"), F.col("doc_id"))
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("source").alias("app"),
         ts.alias("ts"),
         F.lit("ERROR").alias("severity"),

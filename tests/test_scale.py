@@ -25,3 +25,13 @@ def kept(monkeypatch):
 def test_texts_of_sources_are_hashed_once(spark, data, kept):
     catalog.QUERIES["j10_text_sources"](spark, data)
     assert kept["occurrences"] == [*schemas.TICKET_KEY, "arrival_seq"]
+
+
+def test_documents_are_streamed_from_their_table(spark, data, monkeypatch):
+    def copied(*_):
+        raise AssertionError("documents are copied")
+
+    monkeypatch.setattr(catalog.given, "doc_logs", copied)
+    rows = catalog.QUERIES["z3_two_streams"](spark, data).collect()
+    tables = [catalog.given.table(spark, data, t).count() for t in ("events", "documents")]
+    assert sum(r["lines"] for r in rows) == sum(tables)
