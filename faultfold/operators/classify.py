@@ -57,7 +57,9 @@ def classify_with_rule_table(
 
     Lines are read once and written with the few runs of characters that may be a keyword, which
     tables of fixed size tell (see ``functions.runs``). Runs and keywords then meet by an
-    equality join of narrow rows, and a line meets the lowest rule found for it. The keyword of
+    equality join of narrow rows, and a line meets the lowest rule found for it. Keywords are numbered
+    in the order in which they decide, so that lines, hits and keywords meet by numbers; the labels
+    come last, for the keywords that decided some line. The keyword of
     the lowest rule decides, and of equal rule numbers the smaller keyword. Null keywords match
     nothing, a null label is replaced by the fallback's. Lines that repeat cost a row each, and
     a keyword that a third of all lines hold is one key, which adaptive execution splits where
@@ -67,17 +69,20 @@ def classify_with_rule_table(
     words = rules.select(F.explode("keywords").alias("word"), "rule_no", *schemas.LABELS)
     rule = F.struct("rule_no", "word", *schemas.LABELS)
     best = words.filter("word is not null").groupBy("word").agg(F.min(rule).alias("_rule"))
+    best = best.orderBy("_rule.rule_no", "word").withColumn("_rank", F.monotonically_increasing_id())
     best = materialize(best, "keywords")
     runs = possible_words(fold_case(text), finder(best.select("word")))
     lines = df.withColumns({"_line": F.monotonically_increasing_id(), "_runs": runs})
     lines = materialize(lines, "lines")
-    found = lines.select("_line", F.explode("_runs").alias("word")).join(best, "word")
-    hits = found.groupBy("_line").agg(F.min("_rule").alias("_rule"))
-    labelled = lines.drop("_runs").join(hits, "_line", "left")
+    found = lines.select("_line", F.explode("_runs").alias("word")).join(best.select("word", "_rank"), "word")
+    hits = materialize(found.groupBy("_line").agg(F.min("_rank").alias("_rank")), "hits")
+    used = best.select("_rank", "_rule").join(hits.select("_rank").distinct(), "_rank", "left_semi")
+    used = materialize(used, "deciding-keywords")
+    labelled = lines.drop("_runs").join(hits, "_line", "left").join(used, "_rank", "left")
     fallback = _labels(FALLBACK)
     for label in schemas.LABELS:
         labelled = labelled.withColumn(label, F.coalesce(F.col("_rule")[label], fallback[label]))
-    return labelled.drop("_line", "_rule")
+    return labelled.drop("_line", "_rank", "_rule")
 
 
 def parse_replies(df: DataFrame, reply: str = "reply") -> tuple[DataFrame, DataFrame]:

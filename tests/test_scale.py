@@ -35,3 +35,15 @@ def test_documents_are_streamed_from_their_table(spark, data, monkeypatch):
     rows = catalog.QUERIES["z3_two_streams"](spark, data).collect()
     tables = [catalog.given.table(spark, data, t).count() for t in ("events", "documents")]
     assert sum(r["lines"] for r in rows) == sum(tables)
+
+
+def test_labels_of_keywords_are_not_carried_with_lines(spark, kept):
+    rows = [(7, ["ab", "b"], "seven", "low", "c", "f"), (3, ["xb", "b"], None, "high", "d", "g"), (3, ["a"], "three", "low", "e", "h")]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["ab", "xb", "q", None, "b", "ab"])], "k int, line string")
+    got = classify.classify_with_rule_table(df, spark.createDataFrame(rows, schemas.RULE), df.line)
+    assert {r.k: (r.classification, r.severity) for r in got.collect()} == {
+        0: ("three", "low"), 1: ("unknown_error", "high"), 2: ("unknown_error", "medium"),
+        3: ("unknown_error", "medium"), 4: ("unknown_error", "high"), 5: ("three", "low"),
+    }
+    assert got.columns == ["k", "line", *schemas.LABELS]
+    assert kept["hits"] == ["_line", "_rank"]
