@@ -7,14 +7,23 @@ delivery it belongs to), ``failed``, ``output``, ``err_msg`` and ``ts``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.prompts import with_prompts, with_template_parts
 from faultfold.schemas import RUN, column_names
 
+#: Columns of a run that are its ticket's, and the types of the others.
+OF_TICKET = [
+    ("id", pa.int64()),
+    *[(c, pa.string()) for c in ("app", "classification", "severity")],
+    ("attempt", pa.int64()),
+]
+MADE = [pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.timestamp("us", "UTC")]
+
 
 def action_name() -> Column:
     """Configured name, or the kind followed by its target."""
@@ -64,34 +73,45 @@ def run_actions(
     columns = [*column_names(RUN), *keep]
     types = dict(tickets.dtypes)
     schema = ", ".join([RUN, *[f"`{c}` {types[c]}" for c in keep]])
+    zoned = [c for c, t in tickets.dtypes if t == "timestamp"]
+    zone = tickets.sparkSession.conf.get("spark.sql.session.timeZone")
 
-    def sequence(row: dict) -> Iterator[tuple]:
-        ticket = {k: v for k, v in row.items() if k != "_steps"}
-        for action in row["_steps"]:
+    def sequence(ticket: dict, actions: list[dict]) -> Iterator[tuple]:
+        for action in actions:
             try:
-                output, error = fn(ticket, action), ""
+                output, error = fn(ticket, dict(action)), ""
             except Exception as problem:
                 output, error = "", str(problem) or type(problem).__name__
-            yield (
-                *(ticket[c] for c in ("id", "app", "classification", "severity")),
-                ticket.get("attempt", attempt),
-                action["pos"],
-                action["action_name"],
-                error != "",
-                output,
-                error,
-                pd.Timestamp.now(tz="UTC"),
-                *[ticket[c] for c in keep],
-            )
+            now = datetime.now(timezone.utc)
+            yield action["pos"], action["action_name"], error != "", output, error, now
             if error:
                 return
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [done for row in batch.to_dict("records") for done in sequence(row)]
-            yield pd.DataFrame(rows, columns=columns)
-
-    return tickets.join(steps, "app").mapInPandas(run, schema)
+            given = batch.select([c for c in batch.schema.names if c != "_steps"])
+            frame = given.to_pandas()
+            for c in zoned:
+                frame[c] = frame[c].dt.tz_convert(zone).dt.tz_localize(None)
+            # An app's actions are the same for all its tickets, so a batch converts them once.
+            known: dict[str, list[dict]] = {}
+            rows, place = [], []
+            for k, (app, ticket) in enumerate(zip(frame["app"], frame.to_dict("records"))):
+                if app not in known:
+                    known[app] = batch.column("_steps")[k].as_py()
+                done = list(sequence(ticket, known[app]))
+                rows += done
+                place += [k] * len(done)
+            taken = given.take(pa.array(place, pa.int64()))
+            if "attempt" not in taken.schema.names:
+                taken = taken.append_column("attempt", pa.array([attempt] * len(place), pa.int64()))
+            made = zip(MADE, list(zip(*rows)) or [()] * len(MADE))
+            arrays = [taken.column(c).cast(t) for c, t in OF_TICKET]
+            arrays += [pa.array(values, t) for t, values in made]
+            arrays += [taken.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return tickets.join(steps, "app").mapInArrow(run, schema)
 
 
 def executed_runs(runs: DataFrame) -> DataFrame:

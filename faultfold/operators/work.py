@@ -14,7 +14,7 @@ from faultfold.operators.actions import run_actions, ticket_outcomes
 from faultfold.operators.delivery import delivery_state, route_messages
 from faultfold.schemas import RUN
 from faultfold.session import materialize
-from faultfold.sources.messages import read_ticket_messages
+from faultfold.sources.messages import parse_messages
 
 
 class Work(NamedTuple):
@@ -46,19 +46,25 @@ def process_messages(
     far. A message for an app without a worker goes back (``mismatched``), an unparseable one is
     deleted, one whose ticket fails comes back later (``failed``), the others are deleted. The
     user's actions run once: their rows are written to the shared folder, and all else is
-    derived from them.
+    derived from them. A body is parsed once, and not at all where its message goes back; messages
+    are then written without it. One that a worker takes without a body is ignored.
     """
-    routed = materialize(route_messages(attempts(messages, log), workers), "routed")
-    taken, back = routed.filter("route <> 'returned'"), routed.filter("route = 'returned'")
-    parsed, rejects = read_ticket_messages(taken)
-    tickets = parsed.select(
+    routed = route_messages(attempts(messages, log), workers)
+    taken = routed.withColumn("body", F.when(F.col("route") != "returned", F.col("body")))
+    parsed = parse_messages(taken).withColumn("_has_body", F.col("body").isNotNull())
+    own = [*routed.columns, "ticket_id", "app_name"]
+    received = parsed.select(
         "message_id",
         "attempt",
+        "route",
         F.col("ticket_id").alias("id"),
         F.coalesce("worker_app", "app_name").alias("app"),
-        *[c for c in parsed.columns if c not in [*routed.columns, "ticket_id", "app_name"]],
+        *[c for c in parsed.columns if c not in own],
     )
-    tickets = materialize(tickets, "received")
+    received = materialize(received, "received")
+    back = received.filter("route = 'returned'")
+    rejects = received.filter("_has_body and not _valid")
+    tickets = received.filter("_has_body and _valid").drop("route", "_has_body", "_valid")
     runs = materialize(run_actions(tickets, actions, fn, keep=["message_id"]), "runs")
     by = ["message_id", "ticket_id", "attempt"]
     outcomes = ticket_outcomes(runs, tickets, by=by).select(*by, "status")

@@ -97,13 +97,14 @@ def read_ticket_messages(df: DataFrame, body: str = "body") -> tuple[DataFrame,
 
     Missing fields are zero values, so ``{}`` and ``null`` are valid messages.
     """
-    parsed = _parse_messages(df.filter(F.col(body).isNotNull()), body)
+    parsed = parse_messages(df.filter(F.col(body).isNotNull()), body)
     ok = parsed.filter("_valid").drop("_valid")
     rejects = parsed.filter("not _valid").select(*df.columns)
     return ok, rejects
 
 
-def _parse_messages(df: DataFrame, body: str) -> DataFrame:
+def parse_messages(df: DataFrame, body: str = "body") -> DataFrame:
+    """All rows with the fields of their message, and ``_valid``: false where there is none or it is unparseable."""
     fields = F.col("_fields")
     kinds = {"ticket_id": "BIGINT", **dict.fromkeys([*TEXT_FIELDS, "first_seen"], "STRING")}
 

@@ -47,3 +47,24 @@ def test_labels_of_keywords_are_not_carried_with_lines(spark, kept):
     }
     assert got.columns == ["k", "line", *schemas.LABELS]
     assert kept["hits"] == ["_line", "_rank"]
+
+
+def test_bodies_are_parsed_once(spark, kept):
+    body = '{"ticket_id":%d,"app_name":"a","classification":"c","severity":"low"}'
+    rows = [(1, body % 1, {"AppName": "a"}), (2, body % 2, {"AppName": "z"}), (3, "{", {"AppName": "a"}),
+            (4, None, {"AppName": "a"}), (5, None, {"AppName": "z"}), (6, "null", None)]
+    messages = spark.createDataFrame(rows, "message_id bigint, body string, attributes map<string,string>")
+    log = spark.createDataFrame([(1, "received")], "message_id bigint, kind string")
+    apps = spark.createDataFrame([("a",)], "app string")
+    actions = spark.createDataFrame(
+        [("a", 1, "webhook", "", "u", "c"), ("a", 2, "webhook", "n", "u", "c")],
+        "app string, pos int, type string, name string, url string, command string",
+    )
+    done = work.process_messages(messages, log, apps, actions, lambda t, a: f"{t['id']} {a['action_name']}")
+    assert {tuple(r) for r in done.deliveries.collect()} == {
+        (1, 2, "deleted"), (2, 1, "mismatched"), (3, 1, "deleted"), (5, 1, "mismatched"), (6, 1, "deleted"),
+    }
+    assert [(r.message_id, r.pos, r.output, r.attempt) for r in done.runs.orderBy("pos").collect()] == [
+        (1, 1, "1 webhook:u", 2), (1, 2, "1 n", 2),
+    ]
+    assert "body" not in kept["received"] and "routed" not in kept
