@@ -1,5 +1,6 @@
 """What wrappers decide from the evidence of a host's pages."""
 
+import json
 import random
 
 import pytest
@@ -76,6 +77,62 @@ def test_evidence_of_other_pages_decides(spark):
     assert "Reader 0" in empty(page(1))
 
 
+@pytest.mark.parametrize("shown", [3, 77, 150, 298])
+def test_every_page_of_a_host_is_evidence(spark, monkeypatch, shown):
+    """One page of 300 shows that the comments repeat; the others have a single comment."""
+
+    def page(k):
+        talk = "".join(f"<div><b>Reader {j}</b>said {k}.{j}</div>" for j in range(3 if k == shown else 1))
+        return f"<article><h1>T{k}</h1><p>Words {k}</p><section id='comments'>{talk}</section></article>"
+
+    monkeypatch.setattr(wrap, "GROUP", 20)
+    monkeypatch.setattr(wrap, "FAN", 3)
+    assert extracted(spark, [page(k) for k in range(300)]) == [f"T{k}\n\nWords {k}" for k in range(300)]
+
+
+def test_groups_of_pages_give_one_wrapper_despite_odd_pages(spark, monkeypatch):
+    def page(k):
+        if k % 50 == 7:
+            return f"<body><div>New site</div><div><h1>T{k}</h1><p>Odd {k}</p></div></body>"
+        body = "".join(f"<p>Story {k}.{j} {STORY}</p><h2>Part</h2>" for j in range(1 + k % 5))
+        return f"<body><div>Our site</div><div><h1>Title {k}</h1>{body}<p>End {k}</p></div><div>Call us</div></body>"
+
+    def text(k):
+        if k % 50 == 7:
+            return f"New site\n\nT{k}\n\nOdd {k}"
+        parts = [b for j in range(1 + k % 5) for b in (f"Story {k}.{j} {STORY.strip()}", "Part")]
+        return "\n\n".join([f"Title {k}", *parts, f"End {k}"])
+
+    rows = [(k, "http://a.example/x", page(k % 200)) for k in range(400)]  # every page twice
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group, parts in ((1000, 1), (25, 3), (25, 7)):
+        monkeypatch.setattr(wrap, "GROUP", group)
+        monkeypatch.setattr(wrap, "FAN", 3)
+        got = {r.page_id: r.text for r in wrap.extract_pages(df.repartition(parts)).collect()}
+        assert got == {k: text(k % 200) for k in range(400)}
+
+
+def test_packed_nodes_come_back():
+    pages = ["<dl>" + "<dt>t</dt><dd>d</dd>" * n + "</dl><p>x<b>y</b></p>" * (n % 3) for n in range(1, 20)]
+    nodes = wrap.infer(pages)
+    assert wrap.unpacked(wrap.packed(nodes)) == nodes
+    deep = wrap.fold(wrap.parse("<div>" * 5000 + "x"))
+    assert wrap.packed(wrap.unpacked(wrap.packed(deep))) == wrap.packed(deep)
+
+
+def test_a_wrapper_of_many_pages_stays_bounded():
+    rng = random.Random(5)
+    tags = "p div ul blockquote h2 pre".split()
+
+    def page():
+        inner = lambda: "".join(rng.choice(["x ", "<b>y</b>", "<i>z</i>", "<a>w</a>"]) for _ in range(rng.randint(1, 12)))
+        return "".join(f"<{t}>{inner()}</{t}>" for t in rng.choices(tags, k=rng.randint(1, 30)))
+
+    pages = [page() for _ in range(400)]
+    few, many = (len(json.loads(wrap.packed(wrap.infer(pages[:n])))) for n in (50, 400))
+    assert many == few
+
+
 def test_hosts_without_marks_against_their_making(spark):
     """Pages put together from constant and varying parts give the varying ones and what stands between them."""
     rng = random.Random(3)
