@@ -121,6 +121,11 @@ RUNNING = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A form is left out too, but for what it holds.
 HARD_TAGS = ASIDE_TAGS - {"form"}
+#: Tags that wrappers tell apart, with custom elements. Others, as in ``vector<int>``, are one, or each would be a node.
+KNOWN = BLOCK | RUNNING | VOID | RAW | ASIDE_TAGS | frozenset(
+    "acronym applet bdi bdo big blink colgroup data del dfn frame frameset ins kbd label marquee math meter nobr output picture "
+    "progress rp rt ruby s samp slot strike tt var".split()
+)
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
@@ -168,7 +173,8 @@ class Element:
 
     @property
     def key(self) -> str:
-        return self.tag + "".join("." + w for w in self.words)
+        tag = self.tag if self.tag in KNOWN or "-" in self.tag or self.tag == "#page" else "?"
+        return tag + "".join("." + w for w in self.words)
 
 
 def _role(token: str) -> str | None:
@@ -504,7 +510,7 @@ def absorb(one: list[Node], other: list[Node]) -> list[Node]:
             added[node.key] = at, node
     for k, node in enumerate(out):
         node.optional = node.optional or k not in met
-    for where, node in sorted(added.values(), key=lambda a: a[0], reverse=True):
+    for where, node in reversed(sorted(added.values(), key=lambda a: a[0])):
         out.insert(where, node)
     return out
 
@@ -568,13 +574,16 @@ def unpacked(raw: str) -> list[Node]:
     return levels[0]
 
 
+_NO_FORM = RUNNING | VOID | HARD_TAGS | {"#text", "?"}
+
+
 def form(nodes: list[Node]) -> int:
     """A hash of a page's form: its elements but for those of running text and those left out by their tag."""
     digest = hashlib.blake2b(digest_size=8)
     left = [(n, 0) for n in reversed(nodes)]
     while left:
         node, depth = left.pop()
-        if node.key != "#text" and node.tag not in RUNNING | VOID | HARD_TAGS:
+        if node.tag not in _NO_FORM:
             digest.update(f"{depth} {node.key}\n".encode("utf-8", "replace"))
         left.extend((n, depth + 1) for n in reversed(node.inside))
     return int.from_bytes(digest.digest(), signed=True)

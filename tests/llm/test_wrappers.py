@@ -131,6 +131,16 @@ def test_a_wrapper_of_many_pages_stays_bounded():
     pages = [page() for _ in range(400)]
     few, many = (len(json.loads(wrap.packed(wrap.infer(pages[:n])))) for n in (50, 400))
     assert many == few
+    sizes = [len(json.loads(wrap.packed(wrap.infer([f"<p>a<tag{k}>b</tag{k}></p>" for k in range(n)])))) for n in (50, 400)]
+    assert sizes[0] == sizes[1]
+
+
+def test_elements_that_a_wrapper_has_not_come_in_their_order():
+    pages = ["<h1>a</h1><p>x</p>"] * 12 + ["<h1>b</h1><hr><div>y</div><p>z</p><ul><li>1<li>2</ul><p>v</p>"]
+    nodes = wrap.infer(pages)
+    assert [(n.key, n.optional, n.pages, n.again) for n in nodes] == [
+        ("h1", False, 13, 0), ("hr", True, 1, 0), ("div", True, 1, 0), ("p", False, 14, 1), ("ul", True, 1, 0)
+    ]
 
 
 def test_hosts_without_marks_against_their_making(spark):
