@@ -112,6 +112,15 @@ def test_groups_of_pages_give_one_wrapper_despite_odd_pages(spark, monkeypatch):
         assert got == {k: text(k % 200) for k in range(400)}
 
 
+def test_a_page_with_an_article_does_not_undo_the_wrapper_of_the_others(spark):
+    def page(k):
+        tag = "article" if k == 20 else "main" if k in (3, 9) else "div"
+        return f"<body><div>Our site</div><{tag}><h1>Title {k}</h1><p>Story {k} {STORY}</p></{tag}><div>Call us</div></body>"
+
+    pages = [page(k) for k in range(60)]
+    assert extracted(spark, pages) == [f"Title {k}\n\nStory {k} {STORY.strip()}" for k in range(60)]
+
+
 def test_packed_nodes_come_back():
     pages = ["<dl>" + "<dt>t</dt><dd>d</dd>" * n + "</dl><p>x<b>y</b></p>" * (n % 3) for n in range(1, 20)]
     nodes = wrap.infer(pages)
