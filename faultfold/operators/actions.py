@@ -14,15 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.prompts import with_prompts, with_template_parts
-from faultfold.schemas import RUN, column_names
+from faultfold.schemas import RUN
 
-#: Columns of a run that are its ticket's, and the types of the others.
-OF_TICKET = [
-    ("id", pa.int64()),
-    *[(c, pa.string()) for c in ("app", "classification", "severity")],
-    ("attempt", pa.int64()),
-]
-MADE = [pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.timestamp("us", "UTC")]
+#: What a run adds to its ticket, and its Arrow types.
+MADE = "array<struct<pos:int,action_name:string,failed:boolean,output:string,err_msg:string,ts:timestamp>>"
+MADE_TYPES = {
+    "pos": pa.int32(),
+    "action_name": pa.string(),
+    "failed": pa.bool_(),
+    "output": pa.string(),
+    "err_msg": pa.string(),
+    "ts": pa.timestamp("us", "UTC"),
+}
 
 
 def action_name() -> Column:
@@ -58,22 +61,38 @@ def run_actions(
 ) -> DataFrame:
     """Run the user's ``fn(ticket, action) -> output`` for each ticket, actions in order.
 
+    The rows of :func:`ticket_runs`, one for each run. A column ``attempt`` of the tickets
+    replaces the argument. ``keep`` names further columns of the tickets that their runs carry.
+    """
+    own = ["id", "app", "classification", "severity", *(["attempt"] if "attempt" in tickets.columns else [])]
+    ran = ticket_runs(tickets, actions, fn, carry=[*own, *(c for c in keep if c not in own)])
+    return runs_of(ran, attempt, keep)
+
+
+def ticket_runs(
+    tickets: DataFrame,
+    actions: DataFrame,
+    fn: Callable[[dict, dict], str],
+    carry: Sequence[str],
+    aside: Sequence[str] = (),
+) -> DataFrame:
+    """One row for each ticket: its columns named in ``carry``, and ``runs``, what its actions made.
+
     An exception fails the action and ends its ticket's sequence, so later actions do not
     run. The actions of an app are gathered first (their number is a matter of
     configuration); each ticket is then one row, and tickets run in parallel on all
-    executors. A lost task runs its tickets again: delivery is at least once. A column
-    ``attempt`` of the tickets replaces the argument. ``keep`` names further columns of the
-    tickets that their runs carry.
+    executors. A lost task runs its tickets again: delivery is at least once. A ticket whose app
+    has no actions has no runs. ``aside`` names columns that ``fn`` is not given.
     """
     named = actions.withColumn("action_name", action_name()).drop("name")
     details = [c for c in named.columns if c not in ("app", "pos")]
     steps = named.groupBy("app").agg(
         F.sort_array(F.collect_list(F.struct("pos", *details))).alias("_steps")
     )
-    columns = [*column_names(RUN), *keep]
     types = dict(tickets.dtypes)
-    schema = ", ".join([RUN, *[f"`{c}` {types[c]}" for c in keep]])
-    zoned = [c for c, t in tickets.dtypes if t == "timestamp"]
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in carry], f"runs {MADE}"])
+    seen = [c for c in tickets.columns if c not in aside]
+    zoned = [c for c in seen if types[c] == "timestamp"]
     zone = tickets.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def sequence(ticket: dict, actions: list[dict]) -> Iterator[tuple]:
@@ -89,29 +108,45 @@ def run_actions(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = batch.select([c for c in batch.schema.names if c != "_steps"])
-            frame = given.to_pandas()
+            frame = batch.select(seen).to_pandas()
             for c in zoned:
                 frame[c] = frame[c].dt.tz_convert(zone).dt.tz_localize(None)
             # An app's actions are the same for all its tickets, so a batch converts them once.
             known: dict[str, list[dict]] = {}
-            rows, place = [], []
-            for k, (app, ticket) in enumerate(zip(frame["app"], frame.to_dict("records"))):
+            rows, ends = [], [0]
+            # As to_dict("records") gives them, column by column.
+            for k, values in enumerate(zip(*[frame[c].tolist() for c in seen])):
+                ticket = dict(zip(seen, values))
+                app = ticket["app"]
                 if app not in known:
-                    known[app] = batch.column("_steps")[k].as_py()
-                done = list(sequence(ticket, known[app]))
-                rows += done
-                place += [k] * len(done)
-            taken = given.take(pa.array(place, pa.int64()))
-            if "attempt" not in taken.schema.names:
-                taken = taken.append_column("attempt", pa.array([attempt] * len(place), pa.int64()))
-            made = zip(MADE, list(zip(*rows)) or [()] * len(MADE))
-            arrays = [taken.column(c).cast(t) for c, t in OF_TICKET]
-            arrays += [pa.array(values, t) for t, values in made]
-            arrays += [taken.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
-
-    return tickets.join(steps, "app").mapInArrow(run, schema)
+                    known[app] = batch.column("_steps")[k].as_py() or []
+                rows += sequence(ticket, known[app])
+                ends.append(len(rows))
+            made = zip(MADE_TYPES.values(), list(zip(*rows)) or [()] * len(MADE_TYPES))
+            made = pa.StructArray.from_arrays([pa.array(v, t) for t, v in made], list(MADE_TYPES))
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], made], [*carry, "runs"])
+
+    return tickets.join(steps, "app", "left").mapInArrow(run, schema)
+
+
+def runs_of(ran: DataFrame, attempt: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+    """The rows of :func:`ticket_runs`, one for each run."""
+    number = F.col("attempt") if "attempt" in ran.columns else F.lit(attempt)
+    rows = ran.select(
+        F.col("id").alias("ticket_id"),
+        *["app", "classification", "severity"],
+        number.alias("attempt"),
+        *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        F.inline("runs"),
+    )
+    given = [F.col(name).cast(kind).alias(name) for name, kind in (f.split() for f in RUN.split(", "))]
+    return rows.select(*given, *[F.col(f"_keep_{c}").alias(c) for c in keep])
+
+
+def status_of(runs: Column) -> Column:
+    """State of one delivery from its ``runs``: done if no action failed, else failed."""
+    return F.when(F.exists(runs, lambda r: r["failed"]), "failed").otherwise("done")
 
 
 def executed_runs(runs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ The delivery log has ``message_id``, ``kind``, ``ts`` and ``seq``. Kinds: ``publ
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from collections.abc import Sequence
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from faultfold.operators.scan import running
 
 # Seconds a message stays hidden after each kind of log row.
 HIDDEN_SECONDS = {"published": 0, "received": 300, "failed": 30, "mismatched": 0}
+KINDS = [*HIDDEN_SECONDS, "deleted"]
+
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def route_messages(
@@ -51,23 +55,53 @@ def unrouted_messages(
     return named.filter("_target is not null").join(apps, "_target", "left_anti").drop("_target")
 
 
-def delivery_state(log: DataFrame) -> DataFrame:
-    """Latest state per message: its kind and the time from which it is visible.
+def latest(order: Column | str = "seq") -> list[Column]:
+    """Aggregates for the last row of a message: its kind as a number, ``_code``, and its ``ts``.
 
     Kinds travel as numbers and times as they are, so the aggregation needs no sort.
     """
-    kinds = [*HIDDEN_SECONDS, "deleted"]
-    names = F.array(*[F.lit(k) for k in kinds])
+    code = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
+    return [F.max_by(code, order).alias("_code"), F.max_by("ts", order).alias("ts")]
+
+
+def kind_of(code: Column | str = "_code") -> Column:
+    """Name of a kind that :func:`latest` gave as a number."""
+    return F.try_element_at(F.array(*[F.lit(k) for k in KINDS]), F.nullif(code, F.lit(0)))
+
+
+def visible_from(code: Column | str = "_code", ts: Column | str = "ts") -> Column:
+    """Time from which a message with that last row is visible; null if it is never again."""
     hidden = F.array(*[F.lit(s) for s in [*HIDDEN_SECONDS.values(), None]])
-    code = F.array_position(names, F.col("kind")).cast("int")
-    return (
-        log.groupBy("message_id")
-        .agg(F.max_by(code, "seq").alias("_code"), F.max_by("ts", "seq").alias("ts"))
-        .withColumn("kind", F.try_element_at(names, F.nullif(F.col("_code"), F.lit(0))))
-        .withColumn("_hidden", F.try_element_at(hidden, F.nullif(F.col("_code"), F.lit(0))))
-        .withColumn("visible_at", F.col("ts") + F.make_dt_interval(secs=F.col("_hidden")))
-        .select("message_id", "kind", "ts", "visible_at")
-    )
+    return F.col(ts) + F.make_dt_interval(secs=F.try_element_at(hidden, F.nullif(code, F.lit(0))))
+
+
+def delivery_state(log: DataFrame) -> DataFrame:
+    """Latest state per message: its kind and the time from which it is visible."""
+    state = log.groupBy("message_id").agg(*latest())
+    return state.select("message_id", kind_of().alias("kind"), "ts", visible_from().alias("visible_at"))
+
+
+def tick_number(moment: Column, ticks: Sequence[datetime]) -> Column:
+    """Place of the first of ``ticks``, which are in order, at or after ``moment``; their number if there is none."""
+    micros = F.array(*[F.lit((t - EPOCH) // timedelta(microseconds=1)).cast("bigint") for t in ticks])
+    passed = F.size(F.filter(micros, lambda t: t < F.unix_micros(moment)))
+    return F.when(moment.isNotNull(), passed)
+
+
+def first_due(log: DataFrame, ticks: Sequence[datetime]) -> DataFrame:
+    """``message_id, due``: the place of the first tick at which the log lets the message be received.
+
+    A row holds from its time until a row with a higher ``seq`` does, so it counts if the first
+    tick at which it shows its message comes before that. As in :func:`depth_series`, a message's
+    history need not lie in one task. Only messages that are due at some tick come back.
+    """
+    rows = log.filter(F.col("seq").isNotNull() & (F.col("ts") <= F.lit(ticks[-1])))
+    code = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
+    rows = rows.select("message_id", (-F.col("seq")).alias("_back"), code.alias("_code"), "ts")
+    rows = running(rows, ["message_id"], "_back", "ts", "_next", F.min, strict=True)
+    rows = rows.withColumn("due", tick_number(visible_from(), ticks)).filter(F.col("due") < len(ticks))
+    until = tick_number(F.col("_next"), ticks)
+    return rows.filter(until.isNull() | (F.col("due") < until)).groupBy("message_id").agg(F.min("due").alias("due"))
 
 
 def queue_depth(log: DataFrame, as_of: Column) -> DataFrame:

@@ -1311,11 +1311,9 @@ def z5_redelivery(spark, sf_dir):
     fn = fails_at_four(lambda ticket: ticket["attempt"] <= ticket["id"] % 4)
     ticks = [start + timedelta(seconds=s) for s in TICKS]
     log, _ = work.work_queue(queue, log, apps, given.actions(spark, sf_dir), fn, ticks)
-    return log.groupBy("message_id").agg(
-        F.count_if(F.col("kind") == "received").cast("int").alias("attempts"),
-        F.max_by("kind", "seq").alias("kind"),
-        F.max_by("ts", "seq").alias("ts"),
-    )
+    received = F.count_if(F.col("kind") == "received").cast("int").alias("attempts")
+    last = log.groupBy("message_id").agg(received, *delivery.latest())
+    return last.select("message_id", "attempts", delivery.kind_of().alias("kind"), "ts")
 
 
 @register(

@@ -1,5 +1,7 @@
 """What queries write, read and carry where tables are large."""
 
+from datetime import datetime, timedelta, timezone
+
 import pytest
 
 from faultfold import schemas
@@ -68,3 +70,27 @@ def test_bodies_are_parsed_once(spark, kept):
         (1, 1, "1 webhook:u", 2), (1, 2, "1 n", 2),
     ]
     assert "body" not in kept["received"] and "routed" not in kept
+
+
+def test_a_message_is_parsed_once_however_often_it_is_received(spark, kept, monkeypatch):
+    parsed, real = [], work.parse_messages
+    monkeypatch.setattr(work, "parse_messages", lambda *a: parsed.append(a) or real(*a))
+    body = '{"ticket_id":%d,"app_name":"a","raw_log":"x"}'
+    rows = [(k, body % k, {"AppName": "z" if k == 3 else "a"}) for k in range(4)]
+    messages = spark.createDataFrame(rows, "message_id bigint, body string, attributes map<string,string>")
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    log = spark.createDataFrame([(k, "published", start, 1) for k in range(4)], "message_id bigint, kind string, ts timestamp, seq bigint")
+    apps = spark.createDataFrame([("a",)], "app string")
+    actions = spark.createDataFrame(
+        [("a", 1, "webhook", "", "u", "c")], "app string, pos int, type string, name string, url string, command string"
+    )
+
+    def fn(ticket, action):
+        return str(1 // (ticket["attempt"] > ticket["id"]))
+
+    ticks = [start + timedelta(seconds=30 * n) for n in range(4)]
+    log, runs = work.work_queue(messages, log, apps, actions, fn, ticks)
+    tries = log.filter("kind = 'received'").groupBy("message_id").count().collect()
+    assert {tuple(r) for r in tries} == {(0, 1), (1, 2), (2, 3), (3, 4)}
+    assert runs.count() == 6 and log.count() == 4 + 20
+    assert len(parsed) == 1 and not any("body" in columns for columns in kept.values())
