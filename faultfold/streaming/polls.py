@@ -28,12 +28,12 @@ class Source(NamedTuple):
 
 
 def _told(spark: SparkSession, path: str, app: str, batch_id: int, error: str | None, ended: datetime | None) -> None:
-    """Write a poll's status rows: the first one alone while it runs."""
+    """Write a poll's status rows: the first one before it runs, and the other beside it, so that a poll that is
+    stopped meanwhile keeps the first. A poll that runs again replaces both."""
     row = spark.createDataFrame([(app, ended, batch_id, error)], "app string, poll_ts timestamp, seq bigint, fetch_error string")
-    rows = poll_status(row)
-    if ended is None:
-        rows = rows.filter("status = 'polling'")
-    rows.drop("app").coalesce(1).write.mode("overwrite").parquet(f"{path}/poll={batch_id}/app={app}")
+    wanted, mode = ("status = 'polling'", "overwrite") if ended is None else ("status <> 'polling'", "append")
+    rows = poll_status(row).filter(wanted)
+    rows.drop("app").coalesce(1).write.mode(mode).parquet(f"{path}/poll={batch_id}/app={app}")
 
 
 def poll_step(
